@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import pii, quality_rules, secrets
+from emberline.llm import packing, pii, quality_rules, secrets
 from emberline.llm.common import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -20,5 +24,5 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_pii, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op7_pii, op8_secret_scans)}
 ORACLES: dict[str, str] = {}
