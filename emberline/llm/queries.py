@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import packing, pii, quality_rules, secrets
+from emberline.llm import licenses, mixing, packing, pii, quality_classifier, quality_rules, secrets
 from emberline.llm.common import table
 
 
@@ -16,6 +17,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_score", "page_score", "quality_score", F.col("quality_kept").alias("kept"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), pii.train(spark))
 
@@ -24,5 +35,21 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op7_pii, op8_secret_scans)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op3_quality_rules,
+        op4_license_scans,
+        op6_quality_classifier,
+        op7_pii,
+        op8_secret_scans,
+        op10_mixing,
+    )
+}
 ORACLES: dict[str, str] = {}
