@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import licenses, mixing, packing, pii, quality_classifier, quality_rules, secrets
+from emberline.llm import licenses, mixing, packing, pii, quality_classifier, quality_rules, secrets, toxicity
 from emberline.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.train(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +54,7 @@ QUERIES = {
         op6_quality_classifier,
         op7_pii,
         op8_secret_scans,
+        op9_toxicity,
         op10_mixing,
     )
 }
