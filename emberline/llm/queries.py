@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, toxicity
+from emberline.llm import licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
 from emberline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +60,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_quality_rules,
         op4_license_scans,
+        op5_document_fingerprints,
         op6_quality_classifier,
         op7_pii,
         op8_secret_scans,
