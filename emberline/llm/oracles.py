@@ -1,0 +1,42 @@
+"""SQL for the corpus queries that SQL can express."""
+
+from __future__ import annotations
+
+import string
+
+from emberline.llm.quality_rules import BOILERPLATE
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+NGRAM_JOIN = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), {_WORDS}) as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+ else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * o >= 80 * (na + nb - o)),
+r as (select doc_id, doc_id as c from s union select r.doc_id, l.b from r join l on l.a = r.c)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, min(c) as component_id from s join r on r.doc_id = s.doc_id group by s.doc_id, len(sh)"""
+
+QUALITY_RULES = rf"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d),
+lw as (select doc_id, k, line, regexp_extract_all(line, {_WORDS}) as ws from l),
+j as (select *, cast(len(ws) as double) as n, cast(list_sum(list_transform(ws, lambda w: length(w))) as bigint) as chars,
+ row_number() over (partition by doc_id, line order by k) > 1 as again from lw where len(ws) > 0),
+f as (select *, (n < 4 and not regexp_matches(regexp_replace(line, '\s+$', ''), '[.!?…:;"''”»)。]$'))
+ or len(list_filter(ws, lambda w: regexp_full_match(w, '[|»>/·•-]+'))) >= 0.3::double * n
+ or len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&|<>=~^_]{{2,}}$'))) >= 0.3::double * n
+ or (n >= 4 and len(list_filter(ws, lambda w: ends_with(w, '!!'))) >= 0.5::double * n)
+ or (n <= 30 and regexp_matches(line, '(?i){"|".join(BOILERPLATE)}')) as failed from j),
+a as (select doc_id, cast(sum(n) as bigint) as n_words, cast(sum(chars) as bigint) as word_chars, count(*) filter (where again) as n_dup_lines, count(*) as n_lines,
+ count(*) filter (where failed) as lines_failed, cast(coalesce(sum(chars) filter (where failed), 0) as bigint) as lost from f group by 1),
+t as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select doc_id, regexp_extract_all(text, {_WORDS}) as ws from d)),
+x as (select doc_id, i, w, lead(w) over v as w2, lead(w, 2) over v as w3 from t window v as (partition by doc_id order by i)),
+y as (select doc_id, i from (select *, count(*) over (partition by doc_id, w, w2, w3) as c from x where w3 is not null) where c > 1),
+z as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from y) group by 1),
+b as (select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
+ coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(lines_failed, 0) as lines_failed, coalesce(lost, 0) as lost
+ from d left join a on a.doc_id = d.doc_id left join z on z.doc_id = d.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= 0.5 * word_chars as kept, n_lines, lines_failed from b"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
+from emberline.llm import licenses, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
 from emberline.llm.common import table
 
 
@@ -68,4 +68,4 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_quality_rules": oracles.QUALITY_RULES}
