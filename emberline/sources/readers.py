@@ -48,7 +48,7 @@ def fact_sheet(spark: SparkSession, folder: str, suffix: str = ".md") -> DataFra
     plain = F.trim(F.regexp_replace(F.regexp_replace("value", r"(?m)^#+\s*|[*_`]", ""), r"\s+", " "))
     return files.select(
         F.input_file_name().alias("path"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"),
-        F.regexp_extract_all("value", F.lit(r"(?m)^#{1,6}\s+(.+?)\s*$"), F.lit(1)).alias("headings"), F.length(plain).alias("n_chars"),
+        F.regexp_extract_all("value", F.lit(r"(?m)^#{1,6}[ \t]+([^\n]+)"), F.lit(1)).alias("headings"), F.length(plain).alias("n_chars"),
     )
 
 

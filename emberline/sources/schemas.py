@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+
+
+def flat(columns: str) -> T.StructType:
+    """A schema from "name type, ..."; needs no session, unlike Spark's own parser."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
 TABLES: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl)
-    for name, ddl in {
+    name: flat(columns)
+    for name, columns in {
         "events": "id string, simulation int, priority_factors string, preferred_name string, ra_deg double, dec_deg double, coordinate_error_arcsec double, "
         "discovery_time string, first_detection_time string, discovery_survey string, discovery_instrument string, discovery_magnitude double, status string, "
         "host_name string, host_redshift double, transient_redshift double, distance_mpc double, consensus_class string, consensus_probability double, "
