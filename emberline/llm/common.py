@@ -42,5 +42,10 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def packed_rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """`_row`, holding all columns of docs, and those of `needed` that docs has: working columns then can't clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c for c in needed if c in docs.columns))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

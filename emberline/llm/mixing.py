@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shared_folder, stored
+from emberline.llm.common import packed_rows, shared_folder, stored
 from emberline.llm.features import PAGE_VIEW, TEXT_VIEW, Linear, sampled, with_features
 
 DOMAINS = ("clean", "junk", "toxic")
@@ -71,10 +71,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, lexicon
 
 
 def members(docs: DataFrame, model: Memberships) -> DataFrame:
-    """docs, all columns kept, with n_tokens and a posterior p_<domain> for each domain."""
-    names = docs.columns
-    out = with_features(docs, model.lexicon)
-    return out.select(*names, F.col("n_words").alias("n_tokens"), *(c.alias(f"p_{d}") for c, d in zip(model.columns(), DOMAINS, strict=True)))
+    """`_row` (all columns of docs), doc_id, source and text where docs has them, n_tokens, and a posterior p_<domain> for each domain."""
+    out = with_features(packed_rows(docs, "doc_id", "text", "lang", "source"), model.lexicon)
+    kept = [c for c in ("doc_id", "source", "text") if c in docs.columns]
+    return out.select("_row", *kept, F.col("n_words").alias("n_tokens"), *(c.alias(f"p_{d}") for c, d in zip(model.columns(), DOMAINS, strict=True)))
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
@@ -130,8 +130,7 @@ def resampled(docs: DataFrame, model: Memberships, targets: dict[str, float] | N
     Rates come from the compact stored table; a document's own rate needs only its posteriors, so the
     texts are read once more and not shuffled.
     """
-    names = docs.columns
     table = stored(members(docs, model).select("n_tokens", *(f"p_{d}" for d in DOMAINS)), shared_folder(docs.sparkSession), "members")
     steps = fit(table, targets or TARGETS)
     again = with_rates(members(docs, model).withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))), steps)
-    return again.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return again.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import texts
+from emberline.llm.common import packed_rows, texts
 from emberline.llm.trees import Boosted, boost
 
 BASE = ("email", "ip", "card", "phone")
@@ -291,11 +291,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, selector: Selector) -> DataFrame:
     """docs, all columns kept, with personal data replaced in text (null stays null) and n_chars following where it exists."""
-    names = docs.columns
-    found = find(docs, selector).withColumn("text", F.when(F.size("base") + F.size("added") > 0, redacted(F.col("text"), F.concat("base", "added"))).otherwise(F.col("text")))
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(*names)
+    found = find(packed_rows(docs, "text"), selector)
+    new = F.when(F.size("base") + F.size("added") > 0, redacted(F.col("text"), F.concat("base", "added"))).otherwise(F.col("text"))
+    found = found.select("_row", new.alias("_new"))
+    changed = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").isNull(), F.lit(None)).otherwise(F.length("_new"))}
+    out = []
+    for c in docs.columns:
+        kept = F.col("_row")[c]
+        out.append((F.coalesce(changed[c].cast(docs.schema[c].dataType), kept) if c in changed else kept).alias(c))
+    return found.select(*out)
 
 
 def report(docs: DataFrame, selector: Selector) -> DataFrame:

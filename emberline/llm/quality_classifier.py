@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.common import packed_rows
 from emberline.llm.features import PAGE_VIEW, TEXT_VIEW, Linear, sampled, with_features
 
 
@@ -102,12 +103,13 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_po
 
 
 def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:
-    """docs, all columns kept, with text_score, page_score, quality_score (0 to 1) and quality_kept."""
-    names = docs.columns
+    """docs, all columns kept, with text_score, page_score, quality_score (0 to 1) and quality_kept (replacing columns so named)."""
+    new = ("text_score", "page_score", "quality_score", "quality_kept")
+    rows = packed_rows(docs, "doc_id", "text", "lang", "source")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
     if model is None:
-        half = [F.lit(0.5).alias(c) for c in ("text_score", "page_score", "quality_score")]
-        return docs.select(*names, *half, F.lit(True).alias("quality_kept"))
+        return rows.select(*kept, *(F.lit(0.5).alias(c) for c in new[:3]), F.lit(True).alias("quality_kept"))
     p = lambda odds: 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), odds))))
-    t, m, both = model.columns()
-    scored = with_features(docs).withColumn("text_score", p(t)).withColumn("page_score", p(m)).withColumn("quality_score", p(both))
-    return scored.select(*names, "text_score", "page_score", "quality_score", (F.col("quality_score") >= least).alias("quality_kept"))
+    text, page, both = model.columns()
+    scored = with_features(rows).withColumn("_both", p(both))
+    return scored.select(*kept, p(text).alias("text_score"), p(page).alias("page_score"), F.col("_both").alias("quality_score"), (F.col("_both") >= least).alias("quality_kept"))
