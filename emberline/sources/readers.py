@@ -44,7 +44,7 @@ def read_status(spark: SparkSession, path: str | None, candidates: DataFrame) ->
 
 def fact_sheet(spark: SparkSession, folder: str, suffix: str = ".md") -> DataFrame:
     """Facts about a folder of text files: path, SHA-256 of the content, headings, and the plain text's length."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
     plain = F.trim(F.regexp_replace(F.regexp_replace("value", r"(?m)^#+\s*|[*_`]", ""), r"\s+", " "))
     return files.select(
         F.input_file_name().alias("path"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"),

@@ -7,7 +7,7 @@ from emberline.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "6g")
+    session = local_session(4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
