@@ -10,10 +10,11 @@ discarded as soon as it is:
 2. All columns, the rows left: the same bound again, and each remaining set's rarest shingles, as many as a
    partner can't all miss, become its blocking columns.
 3. Pairs that share a blocking column and whose sizes allow the similarity are candidates; their overlap
-   is the product of their whole rows. To lose no component without making all pairs of a group, each
-   set first meets the centre it shares most blocking columns with, for a few rounds; then all pairs
-   that share a blocking column but aren't in one component yet are checked. Columns whose sets are all in
-   one component have nothing left to tell.
+   is the product of their whole rows. To lose no component without making all pairs of a group,
+   in a few rounds the sets of a column first meet in parties of about eight, and each is checked with the one
+   whose sketch is likest its own; then all pairs that aren't in one component yet and share a blocking column so early in
+   both their orders that they can link are checked. Columns whose sets are all in one component have nothing
+   left to tell. Sketches only choose what is checked first, so they can't lose a link.
 
 Components are found by stars over stored links. Every stage spreads by hash of shingle or set; the
 only hot keys (frequent shingles) are met by partial aggregates or by joins that can be split.
@@ -39,6 +40,9 @@ from emberline.llm.graph import components
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_SEEDS = np.random.default_rng(17).integers(0, 2**63, 64, dtype=np.uint64)
+#: Sets of a column that meet each other in a round.
+_PARTY = 8
 #: Up to this many ids (8 bytes each) are broadcast to filter a scan; more are joined by shuffle.
 _BROADCAST_IDS = 500_000
 
@@ -104,8 +108,23 @@ def _overlapping(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame
     return joined.withColumn("_o", shared).filter(F.col("_o") * 100 >= (F.size("_x") + F.size("_y") - F.col("_o")) * percent).select("a", "b")
 
 
-def _sizes_allow(x: Column, y: Column, percent: int) -> Column:
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+def _may_link(n: Column, r: Column, m: Column, q: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can link if a common one stands at places r and q of their orders, and is the first.
+
+    They need an overlap of percent * (n + m) / (100 + percent), so the first common shingle stands among the first n + 1
+    - overlap of the one and the first m + 1 - overlap of the other.
+    """
+    least = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    return (F.least(n, m) >= least) & (r <= n + 1 - least) & (q <= m + 1 - least)
+
+
+def _sketch(found: np.ndarray) -> int:
+    """64 one-bit minima of the set under different mixes: sets agree on more bits, the more alike they are."""
+    if not len(found):
+        return 0
+    mixed = (found.view(np.uint64)[None, :] ^ _SEEDS[:, None]) * _MIX
+    bits = (mixed ^ (mixed >> np.uint64(32))).min(1) & np.uint64(1)
+    return int(np.int64((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)))
 
 
 def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -115,7 +134,7 @@ def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(known) if small else known, "doc_id", "left_semi")
 
 
-def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5, blocks: int = 4, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5, blocks: int = 4, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(rows, components): rows has doc_id, n, s; components has (node, root) over linked sets s."""
     plain = texts(docs)
     rows = stored(_rows(plain, width, blocks), folder, "rows")
@@ -127,45 +146,55 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
         memo = _Words()
         for batch in batches:
             found = [shingles(t, width, memo) for t in batch["text"]]
-            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "shingles": found})
+            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "shingles": found, "k": [_sketch(f) for f in found]})
 
     # a class whose rows all lack a doc_id can't be found by it, so rows without one come along
     named = _restricted(plain, live.select("doc_id")).union(plain.filter("doc_id is null"))
-    full = named.mapInPandas(whole, "s long, shingles array<long>").dropDuplicates(["s"])
+    full = named.mapInPandas(whole, "s long, shingles array<long>, k long").dropDuplicates(["s"])
     first = stored(live.select("s", "n").join(full, "s"), folder, "matrix-1")
     again = _lone(first.select("s", F.explode("shingles").alias("t")))
-    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "shingles"), folder, "matrix-2")
+    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", "shingles"), folder, "matrix-2")
 
-    held = matrix.select("s", "n", F.explode("shingles").alias("t"))
+    held = matrix.select("s", "n", "k", F.explode("shingles").alias("t"))
     often = held.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = held.join(often, "t").groupBy("s", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_by"))
-    wanted = _most_missed(F.col("n"), percent) + 1 - (F.col("n") - F.size("_by"))
-    blocking = stored(
-        shared.withColumn("_k", wanted.cast("int")).filter("_k > 0").select("s", "n", F.explode(F.slice("_by", F.lit(1), F.col("_k"))["t"]).alias("t")), folder, "blocking"
-    )
+    shared = held.join(often, "t").groupBy("s", "n", "k").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_by"))
+    alone = F.col("n") - F.size("_by")  # these come first in the set's order
+    wanted = _most_missed(F.col("n"), percent) + 1 - alone
+    taken = shared.withColumn("_a", alone).withColumn("_k", wanted.cast("int")).filter("_k > 0")
+    taken = taken.withColumn("_early", F.slice("_by", F.lit(1), F.col("_k"))["t"])
+    placed = taken.select("s", "n", "k", "_a", "_early", F.posexplode("_early").alias("_i", "t"))
+    before = F.slice("_early", F.lit(1), F.col("_i")).alias("p")  # the blocking shingles before this one
+    blocking = stored(placed.select("t", "s", "n", "k", (F.col("_a") + F.col("_i") + 1).alias("r"), before), folder, "blocking")
 
     links, found = None, None
 
-    def open_columns(turn: int) -> DataFrame:
-        """(t, s, n, c) of the blocking columns whose sets are in two components or more, with a centre of each column."""
+    def open_columns() -> DataFrame:
+        """The blocking columns whose sets are in two components (c) or more, with the number of their sets (f)."""
         if found is None:
             placed = blocking.withColumn("c", F.col("s"))
         else:
             placed = blocking.join(found.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
-        centre = placed.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min(F.struct(F.xxhash64("s", F.lit(turn)).alias("h"), "s", "n", "c")).alias("m"))
-        return placed.join(centre.filter("_lo < _hi").select("t", "m"), "t")
+        told = placed.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("f")).filter("_lo < _hi")
+        return placed.join(told.select("t", "f"), "t")
 
     for turn in range(rounds + 1):
-        columns = open_columns(turn)
+        columns = open_columns()
+        if turn < rounds:
+            party = F.pmod(F.xxhash64("s", "t", F.lit(turn)), F.ceil(F.col("f") / _PARTY))
+            columns = columns.withColumn("g", party).drop("p")
+        columns = stored(columns.drop("f"), folder, f"open-{turn}")
+        on = ["t", "g"] if turn < rounds else ["t"]
+        other = columns.select(*on, F.col("s").alias("b"), F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("c").alias("_c"), *([] if turn < rounds else [F.col("p").alias("_p")]))
+        met = columns.withColumnRenamed("s", "a").join(other, on)
+        met = met.filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & _may_link(F.col("n"), F.col("r"), F.col("_n"), F.col("_r"), percent))
         if turn < rounds:
-            meets = columns.filter((F.col("c") != F.col("m.c")) & _sizes_allow(F.col("n"), F.col("m.n"), percent))
-            best = meets.groupBy("s", F.col("m.s").alias("o")).agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "o")).alias("best"))
+            alike = (64 - F.bit_count(F.col("k").bitwiseXOR(F.col("_k")))).alias("alike")
+            seen = met.select("a", "b", alike)
+            both = seen.select(F.col("a").alias("s"), F.col("b").alias("o"), "alike").union(seen.select(F.col("b").alias("s"), F.col("a").alias("o"), "alike"))
+            best = both.groupBy("s").agg(F.max(F.struct("alike", "o")).alias("best"))
             pairs = best.select(F.least("s", "best.o").alias("a"), F.greatest("s", "best.o").alias("b")).distinct()
         else:
-            columns = stored(columns.select("t", "s", "n", "c"), folder, "open")
-            other = columns.select("t", F.col("s").alias("b"), F.col("n").alias("_n"), F.col("c").alias("_c"))
-            met = columns.withColumnRenamed("s", "a").join(other, "t").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & _sizes_allow(F.col("n"), F.col("_n"), percent))
-            pairs = met.select("a", "b").distinct()
+            pairs = met.filter(~F.arrays_overlap("p", "_p")).select("a", "b")  # each pair at its first common shingle
         good = stored(_overlapping(pairs, matrix, percent), folder, f"links-{turn}")
         if good.isEmpty():
             if turn < rounds:
