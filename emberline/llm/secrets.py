@@ -4,7 +4,8 @@ A value's guess cost is found by dynamic programming: the cheapest way to cut it
 words, dates, repeats, keyboard walks and brute-force spans, each with its own number of guesses, in
 log10, plus the cost of arranging them. A value found after a credential word is a secret if its
 cost reaches `least_cost`. The base kinds (assign, access, hex) always stay; added spans (kind
-"guess") cover the value alone and never lie within a base span.
+"guess") cover the value alone and never lie within a base span or another added one. A credential word
+may follow a name and '_' or '-'; password, passwd, secret, token and api key may end any name.
 
 Null text is empty text. Repeated rows repeat. Whole texts are scanned; values over `longest_value`
 characters are costed by brute force per character, which is what the dynamic program gives a
@@ -30,13 +31,14 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Credential words whose values the base patterns miss, then the value.
+#: Credential words, then (looked ahead to, since it can itself hold the next credential word) the value.
 _CONTEXT = re.compile(
-    r"""\b(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|session[_-]?id|pin|login)\b"""
-    r"""["']?\x20*(?:is\x20+|[:=]\x20*|\x20)(?:bearer\x20+|basic\x20+)?["']?([^\x20\x09-\x0D"'<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|bearer|(?:private|access|secret)[_-]?key|session[_-]?id|pin|login)"""
+    r"""|password|passwd|secret|token|api[\x20_-]?key)\b"""
+    r"""["']?\x20*(?:is\x20+|[:=]\x20*|\x20)(?:bearer\x20+|basic\x20+)?["']?(?=([^\x20\x09-\x0D"'<>,;]{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
-_TRIGGER = re.compile("pwd|pass|credential|auth|bearer|key|secret|session|pin|login", re.IGNORECASE | re.ASCII)
+_TRIGGER = re.compile("pwd|pass|credential|auth|bearer|key|secret|token|session|pin|login", re.IGNORECASE | re.ASCII)
 
 #: Common passwords and words, most common first; a word's guesses are its rank.
 WORDS = (
@@ -147,7 +149,7 @@ def find(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str]
         for m in _CONTEXT.finditer(text):
             value, start = m[1].rstrip(".)]}:!?"), m.start(1)
             end = start + len(value)
-            if len(value) < 6 or any(s < end and start < e for s, e, _ in base):
+            if len(value) < 6 or any(s <= start and end <= e for s, e, _ in base) or (added and start < added[-1][1]):
                 continue
             mixed = any(c.isdigit() for c in value) or (value.lower() != value and not value.istitle())
             if mixed and guess_cost(value) >= least_cost:

@@ -92,6 +92,17 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, []).filter("1 = 0")).count() == 0
 
 
+def test_secrets_in_common_contexts():
+    """Strong values that no base pattern covers, after the commonest credential words and prefixed names."""
+    for text, value in (
+        ("password: Xk$9!vQ2zLm#7", "Xk$9!vQ2zLm#7"), ('db_password = "$h7!Kq2^vZp9"', "$h7!Kq2^vZp9"), ("secret: {Zk39!qpv@71xB", "{Zk39!qpv@71xB"),
+        ("password is Xk9vQ2zLm7Rt", "Xk9vQ2zLm7Rt"), ("DB_PASS=Xk9vQ2zLm7Rt!", "Xk9vQ2zLm7Rt"), ("my_pwd=Xk9vQ2zLm7Rt", "Xk9vQ2zLm7Rt"), ("my-token $h7!Kq2^vZp9", "$h7!Kq2^vZp9"),
+        ("api key: $h7!Kq2^vZp9", "$h7!Kq2^vZp9"), ("login password: Xk$9!vQ2zLm#7", "Xk$9!vQ2zLm#7"), ("password: Xk9vQ2z$Lm#7Rt", "Xk9vQ2z$Lm#7Rt"),
+    ):
+        assert [text[s:e] for s, e, _ in secrets.find(text)[1]] == [value], text
+    assert secrets.find("token=Xk9vQ2zLm7Rt")[1] == [] and secrets.find("compass: Xk9vQ2zLm7Rt!")[1] == []
+
+
 def test_guess_cost_orders_values():
     cost = secrets.guess_cost
     assert cost("password") < cost("password1999") < cost("kX9!vQ2z") < cost("kX9!vQ2zPw7#")
