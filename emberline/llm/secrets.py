@@ -7,9 +7,9 @@ cost reaches `least_cost`. The base kinds (assign, access, hex) always stay; add
 "guess") cover the value alone and never lie within a base span or another added one. A credential word
 may follow a name and '_' or '-'; password, passwd, secret, token and api key may end any name.
 
-Null text is empty text. Repeated rows repeat. Whole texts are scanned; values over `longest_value`
-characters are costed by brute force per character, which is what the dynamic program gives a
-random value of that length, so that time stays linear.
+Null text is empty text. Repeated rows repeat. Whole texts are scanned, and values of every length run
+through the dynamic program, in linear time. Letters alone are costed like any value: ordinary words
+that can follow a credential word in prose are in the word list.
 """
 
 from __future__ import annotations
@@ -49,6 +49,42 @@ WORDS = (
     "the", "and", "for", "that", "with", "this", "from", "have", "they", "your", "time", "year", "people", "good", "work", "home",
     "house", "green", "black", "white", "blue", "red", "correct", "horse", "battery", "staple", "please", "none", "null", "true",
     "false", "required", "expired", "invalid", "field", "reset", "value", "string", "number", "name", "email", "account",
+    "protected", "protection", "requirement", "requirements", "including", "included", "includes", "include", "changes", "changed", "changing", "generation",
+    "generator", "generated", "authentication", "authorization", "authorized", "authority", "verification", "validation", "validated", "validator",
+    "management", "manager", "recovery", "recovered", "expiration", "expires", "mechanism", "information", "informations", "response", "request", "requests",
+    "requested", "requester", "headers", "parameter", "parameters", "argument", "arguments", "variable", "variables", "function", "functions", "document",
+    "documents", "documentation", "configuration", "configured", "settings", "security", "securely", "services", "service", "servers", "software",
+    "hardware", "protocol", "protocols", "policies", "contains", "containing", "consists", "consist", "characters", "character", "encryption", "encrypted",
+    "decryption", "transmitted", "transferred", "transfer", "storage", "strength", "different", "difference", "following", "followed", "important",
+    "incorrect", "incorrectly", "correctly", "successful", "successfully", "unsuccessful", "available", "unavailable", "necessary", "possible", "impossible",
+    "something", "anything", "everything", "nothing", "someone", "everyone", "anybody", "somebody", "themselves", "yourself", "himself", "herself",
+    "together", "otherwise", "therefore", "however", "although", "because", "between", "through", "throughout", "without", "against", "whether", "another",
+    "several", "already", "usually", "generally", "probably", "certainly", "agreement", "agreements", "ingredient", "ingredients", "admirer", "admirers",
+    "societies", "society", "conversation", "conversations", "negotiation", "negotiations", "operation", "operations", "organization", "organizations",
+    "intelligence", "government", "president", "minister", "ministry", "meetings", "chamber", "chambers", "weapons", "passage", "passages", "entrance",
+    "location", "locations", "identity", "identities", "identifier", "identifiers", "interface", "interfaces", "implementation", "implementations",
+    "integration", "application", "applications", "developer", "developers", "development", "environment", "environments", "production", "exchange",
+    "exchanged", "economy", "economics", "economic", "distribution", "distributed", "introspection", "revocation", "revoked", "endpoint", "endpoints",
+    "provider", "providers", "permission", "permissions", "privileges", "privilege", "accounts", "administrator", "administrators", "customer", "customers",
+    "employee", "employees", "attempts", "attempted", "attempting", "forgotten", "remembered", "rotation", "rotated", "replaced", "replacement", "assigned",
+    "assignment", "submitted", "submission", "provided", "providing", "according", "specified", "specifies", "specific", "specification", "specifically",
+    "standard", "standards", "personal", "personally", "private", "privately", "publicly", "history", "historical", "question", "questions", "answers",
+    "answered", "knowledge", "learning", "students", "teachers", "practice", "practices", "problem", "problems", "solution", "solutions", "technique",
+    "techniques", "technology", "certificate", "certificates", "certification", "qualified", "qualification", "qualifications", "references", "reference",
+    "experience", "experiences", "education", "educational", "published", "publisher", "publication", "reported", "reporter", "registered", "registration",
+    "represented", "represents", "representation", "representative", "gesture", "gestures", "payments", "payment", "ceremony", "appointment", "appreciation",
+    "sentences", "sentence", "language", "languages", "analysis", "analyzer", "counting", "processing", "processor", "processes", "process", "limitation",
+    "dropping", "hijacking", "stuffing", "managers", "spraying", "cracking", "crackers", "guessing", "matching", "sniffing", "stealing", "phishing",
+    "attackers", "attacker", "compromise", "compromised", "vulnerability", "vulnerabilities", "disclosure", "disclosed", "exposed", "exposure", "leakage",
+    "complexity", "minimum", "maximum", "special", "uppercase", "lowercase", "letters", "numbers", "authenticate", "authenticated", "authenticates",
+    "authorize", "authorizes", "connection", "connections", "controller", "controllers", "component", "components", "constant", "constants", "directory",
+    "directories", "download", "downloads", "exception", "exceptions", "filename", "handler", "handlers", "instance", "instances", "loading", "message",
+    "messages", "modified", "modification", "multiple", "notification", "notifications", "objective", "objectives", "optional", "original", "passwords",
+    "previous", "previously", "property", "properties", "protecting", "received", "receives", "recently", "relationship", "relationships", "remaining",
+    "returned", "returning", "selected", "selection", "sensitive", "separate", "separately", "sessions", "sometimes", "standing", "statement", "statements",
+    "structure", "subscription", "temporary", "temporarily", "terminal", "transaction", "transactions", "translation", "underlying", "understand",
+    "understanding", "universal", "unknown", "validity", "versions", "website", "websites", "written", "yesterday", "tomorrow", "afternoon", "children",
+    "daughter", "mountain", "community", "business", "position",
 )
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
@@ -65,74 +101,90 @@ def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 2.0
 
 
-def patterns(value: str) -> list[list[tuple[int, float]]]:
-    """For each start, the (end, log10 guesses) of the words, dates, repeats, walks and runs found there."""
+def _arcs(value: str) -> Iterator[list[tuple[int, float]]]:
+    """For each start, the (end, log10 guesses) of the words, dates, repeats, walks and runs found there.
+
+    The end of a run holds for all starts within it, so each run is followed once.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
-    arcs: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    same = near = steps = 0
+    unlike = {2: -1, 3: -1, 4: -1}  # the first place whose character isn't that a width further on
     for i in range(n):
+        arcs = []
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
                 if form[i:j] in _RANK:
                     case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i].isupper() and value[i + 1 : j] == low[i + 1 : j] else 1.0
-                    arcs[i].append((j, math.log10(_RANK[form[i:j]] + 1) + extra + case))
+                    arcs.append((j, math.log10(_RANK[form[i:j]] + 1) + extra + case))
         if m := _DATE.match(value, i):
-            arcs[i].append((m.end(), 4.6 if m.end() - i > 4 else 2.1))
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            arcs[i].append((j, _alphabet(value[i]) + math.log10(j - i)))
-        for width in (2, 3, 4):
-            k = i + width
-            while low[k : k + width] == low[i : i + width] and k + width <= n:
-                k += width
-            if k - i >= 2 * width and k - i > 3:
-                arcs[i].append((k, sum(map(_alphabet, value[i : i + width])) + math.log10((k - i) / width)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEAR:
-            j += 1
-        if j - i >= 4:
-            arcs[i].append((j, math.log10(47 * (j - i)) + 0.5))
-        j = i + 1
-        step = ord(low[j]) - ord(low[i]) if j < n else 0
-        while j < n and abs(step) == 1 and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-            j += 1
-        if j - i >= 3:
-            arcs[i].append((j, 1.2 + math.log10(j - i)))
-    return arcs
-
-
-def guess_cost(value: str, longest_value: int = 256) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs.
+            arcs.append((m.end(), 4.6 if m.end() - i > 4 else 2.1))
+        if same <= i:
+            same = i + 1
+            while same < n and low[same] == low[i]:
+                same += 1
+        if same - i >= 3:
+            arcs.append((same, _alphabet(value[i]) + math.log10(same - i)))
+        for width in unlike:
+            k = unlike[width]
+            if k < i:
+                k = i
+                while k + width < n and low[k] == low[k + width]:
+                    k += 1
+                unlike[width] = k
+            times = (k - i) // width + 1
+            if times >= 2:
+                arcs.append((i + times * width, sum(map(_alphabet, value[i : i + width])) + math.log10(times)))
+        if near <= i:
+            near = i + 1
+            while near < n and (low[near - 1], low[near]) in _NEAR:
+                near += 1
+        if near - i >= 4:
+            arcs.append((near, math.log10(47 * (near - i)) + 0.5))
+        if steps <= i + 1:
+            steps = i + 1
+            step = ord(low[steps]) - ord(low[i]) if steps < n else 0
+            while steps < n and abs(step) == 1 and ord(low[steps]) - ord(low[steps - 1]) == step and low[steps].isalnum():
+                steps += 1
+        if steps - i >= 3:
+            arcs.append((steps, 1.2 + math.log10(steps - i)))
+        yield arcs
+
+
+def patterns(value: str) -> list[list[tuple[int, float]]]:
+    """The patterns of all starts."""
+    return list(_arcs(value))
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of value needs; once none can stay below `enough`, that.
 
     The states are the characters used and the number of segments so far: the k-th segment also pays
-    log10(k) for its place in the arrangement. Brute-force spans grow by a character at a time.
+    log10(k) for its place in the arrangement. Brute-force spans grow by a character at a time. Costs only
+    grow, and a state is dropped when it is passed, so time is linear and memory holds the open ends alone.
     """
-    n = len(value)
-    if n > longest_value:
-        return sum(map(_alphabet, value))
-    arcs = patterns(value)
     most = 8  # segments told apart; further ones pay like the eighth
-    inf = float("inf")
-    best = [[inf] * (most + 1) for _ in range(n + 1)]
-    brute = [[inf] * (most + 1) for _ in range(n + 1)]  # ends within a brute-force span
-    best[0][0] = 0.0
-    for i in range(n):
+    inf = math.inf
+    best = {0: [0.0] + [inf] * most}  # by the end of the last pattern
+    brute = [inf] * (most + 1)  # ends within a brute-force span
+    for i, arcs in enumerate(_arcs(value)):
+        cut, on, grown = best.pop(i, None), brute, [inf] * (most + 1)
         one = _alphabet(value[i])
         for k in range(most + 1):
-            at, on = min(best[i][k], brute[i][k]), brute[i][k]
-            if on + one < brute[i + 1][k]:
-                brute[i + 1][k] = on + one
+            begun = cut[k] if cut else inf
+            at = min(begun, on[k])
             if at == inf:
                 continue
             to, place = min(most, k + 1), math.log10(min(most, k + 1))
-            if best[i][k] + one + place < brute[i + 1][to]:
-                brute[i + 1][to] = best[i][k] + one + place
-            for j, cost in arcs[i]:
-                if at + cost + place < best[j][to]:
-                    best[j][to] = at + cost + place
-    return min(min(best[n]), min(brute[n]))
+            grown[k] = min(grown[k], on[k] + one)
+            grown[to] = min(grown[to], begun + one + place)
+            for j, cost in arcs:
+                row = best.setdefault(j, [inf] * (most + 1))
+                row[to] = min(row[to], at + cost + place)
+        brute = grown
+        if min(brute) >= enough and all(min(row) >= enough for row in best.values()):
+            return enough
+    return min(*brute, *best.get(len(value), brute))
 
 
 def find(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -151,8 +203,7 @@ def find(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str]
             end = start + len(value)
             if len(value) < 6 or any(s <= start and end <= e for s, e, _ in base) or (added and start < added[-1][1]):
                 continue
-            mixed = any(c.isdigit() for c in value) or (value.lower() != value and not value.istitle())
-            if mixed and guess_cost(value) >= least_cost:
+            if guess_cost(value, least_cost) >= least_cost:
                 added.append((start, end, "guess"))
     return base, added
 

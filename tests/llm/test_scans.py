@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -123,6 +124,18 @@ def test_guess_cost_is_the_cheapest_cut():
         assert secrets.guess_cost(value) == pytest.approx(best)
 
 
+def test_guess_cost_alone_decides():
+    """Letters alone and values of every length go by their cost, and long runs take linear time."""
+    found = lambda text: [text[s:e] for s, e, _ in secrets.find(text)[1]]
+    assert found("pwd: xkqvzjwtrbnphdgm") == ["xkqvzjwtrbnphdgm"] and found("pwd: Xkqvzjwtrbnphdgm") == ["Xkqvzjwtrbnphdgm"]
+    assert found("pwd: " + "A1" * 150) == found("pwd: " + "0" * 300) == found("pwd: " + "A1" * 128) == []
+    assert found("the password protected file, pass through, login required, auth configuration") == []
+    mixed = "kX9!vQ2z" + "A1" * 200
+    assert found("pwd: " + mixed) == [mixed]
+    start = time.monotonic()
+    assert secrets.guess_cost("0" * 50_000) == pytest.approx(1 + math.log10(50_000)) and time.monotonic() - start < 20
+
+
 def dice(a, b):
     x, y = set(licenses.bigrams(a)), set(licenses.bigrams(b))
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
