@@ -2,7 +2,12 @@
 
 A document's units are its sentences (cut at line ends and after closing punctuation) and its whole
 text. A unit is compared with a template only if their numbers of bigrams allow the wanted Dice at
-all: with a and b bigrams it is at most 2 min(a, b) / (a + b). All in Spark expressions within the row: no shuffle, no join.
+all: with a and b bigrams it is at most 2 min(a, b) / (a + b).
+
+Licences that no unit shows are looked for across the cuts: in sentences joined over the line ends of a paragraph
+(lines without letters or digits part paragraphs), and in all windows of a template's number of words that hold one of
+its bigrams needed for the wanted Dice. A window gives way to a better one that it overlaps. Each such licence adds one
+match. All in Spark expressions within the row: no shuffle, no join.
 
 Cases: null text is empty text and matches nothing. Ties go to the template listed first. Repeated rows
 repeat. A unit of one word has no bigram. Units are compared whole, whatever their length.
@@ -11,6 +16,7 @@ repeat. A unit of one word has no bigram. Units are compared whole, whatever the
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,52 +74,110 @@ def _pairs(unit: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+_PLACE = "struct<s:int,e:int,dice:double,rank:int,name:string>"
+
+
+def _apart(places: Column) -> Column:
+    """Places, in order of their starts, less those that overlap the last one kept and are no better; a better one replaces it."""
+
+    def merge(state: Column, w: Column) -> Column:
+        last = state["last"]
+        better = F.struct(w["dice"], w["rank"]) > F.struct(last["dice"], last["rank"])
+        over = w["s"] < last["e"]
+        done = F.when(over, state["done"]).otherwise(F.concat(state["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(over & ~better, last).otherwise(w).alias("last")).cast(kind)
+
+    kind = f"struct<done:array<{_PLACE}>,last:{_PLACE}>"
+    first = F.struct(F.slice(places, 1, 0).alias("done"), F.get(places, F.lit(0)).alias("last")).cast(kind)
+    found = F.aggregate(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), first, merge, lambda x: F.concat(x["done"], F.array(x["last"])))
+    return F.when(F.size(places) > 1, found).otherwise(places.cast(f"array<{_PLACE}>"))
+
+
 def scan(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """doc_id, license and dice of the best match (null without one), n_matches, licenses (distinct, joined)."""
-    known = [(name, bigrams(text)) for name, text in templates]
-    sizes = [len(b) for _, b in known]
-    low, high = least / (2 - least) * min(sizes), (2 - least) / least * max(sizes)
-    table = F.array(
-        *(F.struct(F.lit(-k).alias("rank"), F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*(F.lit(x) for x in b)).alias("grams")) for k, (name, b) in enumerate(known))
-    )
-    # a unit with the wanted Dice misses fewer than `missed` of a template's bigrams, so it holds the
-    # last word of one of any so many: a single regular expression rules out nearly all units
-    needed: set[str] = set()
-    for _, grams in known:
+    known = [(name, len(normal(text)), bigrams(text)) for name, text in templates]
+    sizes = [len(grams) for *_, grams in known]
+    p, q = Fraction(str(least)).as_integer_ratio()
+    low, high = _overlap(min(sizes), least), max(sizes) * (2 * q - p) // p
+    # a unit with the wanted Dice misses fewer than `missed` of a template's bigrams, so it holds one of
+    # any so many: a single regular expression for their last words rules out nearly all texts and units
+    needed = []
+    for *_, grams in known:
         missed = len(grams) - _overlap(len(grams), least) + 1
-        needed |= {g.split()[-1] for g in sorted(grams, key=_commonness)[:missed]}
-    any_word = r"(?:^| )(?:" + "|".join(sorted(map(re.escape, needed))) + r")(?: |$)"
+        needed.append(sorted(grams, key=_commonness)[:missed])
+    any_word = r"(?:^| )(?:" + "|".join(sorted({re.escape(g.split()[-1]) for grams in needed for g in grams})) + r")(?: |$)"
+    listed = lambda values: F.array(*map(F.lit, values))
+    table = F.array(
+        *(
+            F.struct(
+                F.lit(-k).alias("rank"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), listed(grams).alias("grams"),
+                F.lit(m).alias("m"), F.lit(_overlap(len(grams), least)).alias("shared"), listed(some).alias("needed"),
+            )
+            for k, ((name, m, grams), some) in enumerate(zip(known, needed, strict=True))
+        )
+    )
 
+    dice = lambda t, grams: 2.0 * F.size(F.array_intersect(t["grams"], grams)) / (t["n"] + F.size(grams))
     best = lambda unit: F.array_max(
         F.transform(
-            F.filter(table, lambda t: (unit["n"] * (2 - least) >= t["n"] * least) & (t["n"] * (2 - least) >= unit["n"] * least)),
-            lambda t: F.struct((2.0 * F.size(F.array_intersect(t["grams"], unit["grams"])) / (t["n"] + unit["n"])).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")),
+            F.filter(table, lambda t: (unit["n"] * (2 * q - p) >= t["n"] * p) & (t["n"] * (2 * q - p) >= unit["n"] * p)),
+            lambda t: F.struct(dice(t, unit["grams"]).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")),
         )
     )
-    marked = F.regexp_replace(F.lower("text"), r"(?<=[.!?])\s+", "\n")
-    plain = F.regexp_replace(marked, r"[^0-9a-z\n]+", " ")
-    out = texts(docs).withColumn("_plain", plain).withColumn("_whole", F.trim(F.regexp_replace("_plain", r"\s+", " ")))
     spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    fits = lambda u: (spaces(u) >= F.lit(low)) & u.rlike(any_word)
-    units = F.transform(F.split("_plain", "\n", -1), lambda u: F.trim(u))
-    units = F.filter(F.array_append(units, F.when(F.col("_plain").contains("\n"), F.col("_whole")).otherwise("")), fits)
-    scored = F.transform(
-        F.filter(
-            F.transform(F.transform(units, _pairs), lambda g: F.struct(F.size(g).alias("n"), g.alias("grams"))), lambda u: (u["n"] >= F.lit(low)) & (u["n"] <= F.lit(high))
-        ),
-        best,
-    )
-    hits = F.filter(scored, lambda m: m["dice"] >= least)
-    top = F.array_max("_hits")
-    return out.withColumn("_hits", hits).select(
-        "doc_id", top["name"].alias("license"), top["dice"].alias("dice"), F.size("_hits").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda m: m["name"]))), ",").alias("licenses"),
+
+    def hits(units: Column) -> Column:
+        """(dice, rank, name) of the best template of each unit that matches one."""
+        fit = F.filter(units, lambda u: (spaces(u) >= F.lit(low)) & u.rlike(any_word))
+        sized = F.transform(F.transform(fit, _pairs), lambda g: F.struct(F.size(g).alias("n"), g.alias("grams")))
+        return F.filter(F.transform(F.filter(sized, lambda u: (u["n"] >= F.lit(low)) & (u["n"] <= F.lit(high))), best), lambda m: m["dice"] >= least)
+
+    def places(t: Column) -> Column:
+        """The best windows of a template's size: all that hold one of its needed bigrams are compared."""
+        last = F.size("_grams") - t["m"] + 1  # the last start
+        first = lambda i: F.greatest(i - t["m"] + 2, F.lit(0))
+        at = F.filter(F.sequence(F.lit(0), F.size("_grams") - 1), lambda i: F.array_contains(t["needed"], F.get(F.col("_grams"), i)) & (first(i) <= last))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(first(i), F.least(i, last)))))
+        scored = F.transform(
+            starts,
+            lambda s: F.struct(
+                s.alias("s"), (s + t["m"]).alias("e"), dice(t, F.array_distinct(F.slice(F.col("_grams"), s + 1, t["m"] - 1))).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")
+            ),
+        )
+        return _apart(F.sort_array(F.filter(scored, lambda w: w["dice"] >= least)))
+
+    cut = lambda text, mark: F.regexp_replace(text, r"(?<=[.!?])\s+", mark)
+    plain = F.regexp_replace(cut(F.lower("text"), "\n"), r"[^0-9a-z\n]+", " ")
+    out = texts(docs).withColumn("_plain", plain).withColumn("_whole", F.trim(F.regexp_replace("_plain", r"\s+", " "))).withColumn("_may", F.col("_whole").rlike(any_word))
+    of_may = lambda value: F.when(F.col("_may"), value)
+    lines = F.transform(F.split("_plain", "\n", -1), lambda u: F.trim(u))
+    out = out.withColumn("_units", of_may(F.array_append(lines, F.when(F.col("_plain").contains("\n"), F.col("_whole")).otherwise(""))))
+    # sentences of paragraphs, joined over their line ends; \x01 stands for a cut
+    paragraphs = F.regexp_replace(F.translate(F.lower("text"), "\x01", " "), r"\n(?:[^0-9a-z\n]*\n)+", "\x01")
+    joined = F.transform(F.split(F.regexp_replace(cut(paragraphs, "\x01"), r"[^0-9a-z\x01]+", " "), "\x01", -1), lambda u: F.trim(u))
+    out = out.withColumn("_joined", of_may(F.array_except(joined, "_units")))
+    found = F.split("_whole", " ")
+    out = out.withColumn("_grams", of_may(F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found)), lambda a, b: F.concat_ws(" ", a, b))))
+    out = out.withColumn("_distinct", F.array_distinct("_grams"))
+    near = F.filter(table, lambda t: (F.size("_grams") >= t["m"] - 1) & (F.size(F.array_intersect(t["grams"], F.col("_distinct"))) >= t["shared"]))
+    out = out.withColumn("_near", of_may(near)).withColumn("_hits", of_may(hits(F.col("_units")))).withColumn("_over", of_may(hits(F.col("_joined"))))
+    out = out.withColumn("_windows", F.when(F.size("_near") > 0, _apart(F.sort_array(F.flatten(F.transform("_near", places))))))
+    none = F.slice(F.col("_hits"), 1, 0)
+    windows = F.coalesce(F.transform("_windows", lambda w: F.struct(w["dice"].alias("dice"), w["rank"].alias("rank"), w["name"].alias("name"))), none)
+    more = F.filter(F.concat(F.col("_over"), windows), lambda w: ~F.exists("_hits", lambda m: m["name"] == w["name"]))
+    out = out.withColumn("_more", more).withColumn("_all", F.concat("_hits", "_more"))
+    top = F.array_max("_all")
+    names = lambda c: F.array_distinct(F.transform(c, lambda m: m["name"]))
+    return out.select(
+        "doc_id", top["name"].alias("license"), top["dice"].alias("dice"), F.coalesce(F.size("_hits") + F.size(names("_more")), F.lit(0)).cast("long").alias("n_matches"),
+        F.coalesce(F.array_join(F.array_sort(names("_all")), ","), F.lit("")).alias("licenses"),
     )
 
 
 def _overlap(n: int, least: float) -> int:
     """The fewest of n template bigrams that a unit with the wanted Dice shares."""
-    return int(-(-(least / (2 - least) * n) // 1))
+    p, q = Fraction(str(least)).as_integer_ratio()
+    return -(-p * n // (2 * q - p))
 
 
 #: Words that ordinary text holds often.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import textwrap
 import time
 from itertools import combinations
 
@@ -158,6 +159,23 @@ def test_licences(spark):
             assert got[i]["license"] is None and got[i]["n_matches"] == 0
 
 
+def test_licences_across_cuts(spark):
+    """Wrapped texts, notices within longer sentences, and a Dice of exactly 0.8 that floating point would lose."""
+    wrap = lambda text: "\n".join(" * " + line for line in textwrap.wrap(text, 80))
+    mit, isc = licenses.TEMPLATES[-1][1], licenses.TEMPLATES[-2][1]
+    code = "int main() {\n  return 0;\n}\n"
+    long = "the parts that stand in this folder are " + "and so on " * 3 + "released under the MIT License and of use to all who " + prose(2, 8)
+    texts = [
+        "Some words\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n\n" + prose(1, 90), "/*\n" + wrap(mit) + "\n */\n" + code, "/*\n" + wrap(isc) + "\n */\n" + code * 9,
+        long, "license " * 50, "Licensed under the Apache\nLicense, Version 2.0. Licensed\nunder CC BY-NC 4.0.", prose(1, 400),
+    ]
+    got = every_row(spark, licenses.scan(documents(spark, texts)), len(texts))
+    assert [got[i]["licenses"] for i in range(7)] == ["GPL-3.0", "MIT", "ISC", "MIT", "", "Apache-2.0,CC-BY-NC-4.0", ""]
+    assert [got[i]["n_matches"] for i in range(7)] == [1, 1, 1, 1, 0, 2, 0] and got[0]["dice"] == got[3]["dice"] == 1.0
+    template = (("X", "a b c d e f g h i j k l m"),)
+    assert licenses.scan(documents(spark, ["a b c d e f g h i"]), templates=template).first()["dice"] == 0.8
+
+
 def test_quality_rules(spark):
     nav = " | ".join(f"Item{i}" for i in range(60))
     texts = [*AWKWARD, prose(3, 200), nav, prose(4, 60) + "\n" + nav + " | " + nav, "same three words " * 40, prose(5, 100) + "\nWe use cookies to track you."]
