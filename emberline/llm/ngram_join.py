@@ -220,15 +220,28 @@ def joined(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     )
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """64-bit hash of all columns; those that hash functions don't take are hashed as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
+
+
 def one_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs, its columns alone, with one document of each component: that with the least doc_id.
+    """docs, its columns alone, with one document of each component: that with the least doc_id (null last), set and row hash.
 
-    Of rows with that same doc_id, one row stays (they can differ in other columns: then the first by all columns).
-    Rows without a doc_id stay.
+    Rows are told apart by a hash of all their columns, not by doc_id: rows with one doc_id whose texts don't link all stay,
+    and of linked rows without a doc_id one stays. Rows without words link with nothing and stay, repeated ones too.
     """
-    result = joined(docs, percent, width)
-    gone = result.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if result.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"])).select(*docs.columns)
+    keyed = docs.select(_row_hash(docs).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    named = keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))  # linked by row hash instead of doc_id
+    rows, found = linked_sets(named, shared_folder(docs.sparkSession), percent, width)
+    linked = rows.filter("n > 0").select(F.col("doc_id").alias("_key"), "s").distinct()
+    rooted = linked.join(found.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    ids = keyed.select("_key", F.col("_row.doc_id").alias("doc_id")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "s", "_key")
+    least = rooted.join(ids, "_key").groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least._key").alias("_stays"))
+    gone = rooted.join(least, "root").filter("_key != _stays").select("_key")
+    kept = keyed.join(gone, "_key", "left_anti")
+    if rows.filter("n > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept.select("_row.*")
+    worded = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.filter(~worded).union(kept.filter(worded).dropDuplicates(["_key"])).select("_row.*")

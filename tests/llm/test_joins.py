@@ -65,6 +65,15 @@ def test_one_each_and_empty(spark):
     assert ngram_join.joined(docs.filter("1 = 0")).count() == 0
 
 
+def test_one_each_decides_by_row(spark):
+    """Clashing ids with different texts, texts without an id, and rows without words."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(3, a + " end"), (5, a), (5, b), (7, b + " end"), (None, c), (None, c), (None, c + " end"), (8, " "), (8, " ")]
+    kept = ngram_join.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["doc_id"]) == sorted([(3, a + " end"), (5, b), (8, " "), (8, " ")])
+    assert len(kept) == 5 and [r["text"] for r in kept if r["doc_id"] is None][0] in (c, c + " end")
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101), (200, 201)]
     folder = shared_folder(spark)
