@@ -1,20 +1,22 @@
 """N-gram Jaccard join: a blocked sparse product of the document by shingle matrix.
 
-Rows are the distinct shingle sets (exact copies of a set are one row), columns are shingles by
-64-bit hash. Overlaps are accumulated block by block of columns, and what its size rules out is
-discarded as soon as it is:
+Rows are the distinct shingle sets (exact copies of a set are one row), columns are shingles by 64-bit hash,
+in blocks by hash. What its size rules out is discarded as soon as it is:
 
-1. First block of columns (a quarter, by hash), all rows: a set of n shingles that links with anything
+1. First block of columns, all rows: a set of n shingles that links with anything
    misses at most n - ceil(0.8 n) of its partner's. Shingles that only one set holds are misses with every
    partner, so a set with more of them is discarded. Counting them takes one aggregate by shingle.
-2. All columns, the rows left: the same bound again, and each remaining set's rarest shingles, as many as a
-   partner can't all miss, become its blocking columns.
-3. Pairs that share a blocking column and whose sizes allow the similarity are candidates; their overlap
-   is the product of their whole rows. To lose no component without making all pairs of a group,
-   in a few rounds the sets of a column first meet in parties of about eight, and each is checked with the one
-   whose sketch is likest its own; then all pairs that aren't in one component yet and share a blocking column so early in
-   both their orders that they can link are checked. Columns whose sets are all in one component have nothing
-   left to tell. Sketches only choose what is checked first, so they can't lose a link.
+2. All blocks, the rows left: the same bound again, and each remaining set's rarest shingles, as many as a
+   partner can't all miss, open its pairs: only pairs that share one of them, so early in both orders that
+   they can link, become entries of the product. All other entries are known to miss their bound.
+3. Entries accumulate their overlap block by block. After each block an entry goes if what it has, plus the fewer of the
+   two sets' shingles in the blocks to come, stays below the overlap that its sizes ask for. What is left after the last
+   block are the links.
+
+To lose no component without opening all pairs of a group, in a few rounds the sets of a column first meet in parties of
+about eight, and each opens the entry with the one whose sketch is likest its own; then all entries are opened whose sets
+aren't in one component yet. Columns whose sets are all in one component have nothing left to tell. Sketches only choose
+what is opened first, so they can't lose a link.
 
 Components are found by stars over stored links. Every stage spreads by hash of shingle or set; the
 only hot keys (frequent shingles) are met by partial aggregates or by joins that can be split.
@@ -72,6 +74,11 @@ def shingles(text: str, width: int, memo: dict) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
+def _block(found: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each column."""
+    return (found.view(np.uint64) >> np.uint64(32)) % np.uint64(blocks)
+
+
 def _rows(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     """doc_id, n, s (the set's own hash), head (its shingles in the first of `blocks` blocks of columns)."""
 
@@ -83,7 +90,7 @@ def _rows(docs: DataFrame, width: int, blocks: int) -> DataFrame:
                 found = shingles(text, width, memo)
                 n.append(len(found))
                 s.append(np.int64(xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63))
-                head.append(found[(found.view(np.uint64) >> np.uint64(32)) % np.uint64(blocks) == 0])
+                head.append(found[_block(found, blocks) == 0])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "s": s, "head": head})
 
     return docs.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, s long, head array<long>")
@@ -99,13 +106,25 @@ def _lone(held: DataFrame) -> DataFrame:
     return held.groupBy("t").agg(F.min("s").alias("s"), F.max("s").alias("_last")).filter("s = _last").groupBy("s").agg(F.count("*").alias("lone"))
 
 
-def _overlapping(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose rows have the wanted similarity."""
-    left = matrix.select(F.col("s").alias("a"), F.col("shingles").alias("_x"))
-    right = matrix.select(F.col("s").alias("b"), F.col("shingles").alias("_y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return joined.withColumn("_o", shared).filter(F.col("_o") * 100 >= (F.size("_x") + F.size("_y") - F.col("_o")) * percent).select("a", "b")
+def _least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least overlap o of sets of n and m that link: 100 o >= percent (n + m - o)."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+
+def _overlapping(pairs: DataFrame, matrix: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, n, m: sizes) with the wanted overlap, accumulated over the blocks of columns.
+
+    Blocks start with a and b in turn, so that the sums of one block lie as the next one needs them.
+    """
+    now = pairs.select("a", "b", _least_overlap(F.col("n"), F.col("m"), percent).alias("_least"), F.lit(0).cast("long").alias("_o"), F.col("n").alias("_n"), F.col("m").alias("_m"))
+    for k in range(blocks):
+        sides = [matrix.select(F.col("s").alias("a"), F.col(f"x{k}").alias("_x")), matrix.select(F.col("s").alias("b"), F.col(f"x{k}").alias("_y"))]
+        for key, side in list(zip("ab", sides, strict=True))[:: -1 if k % 2 else 1]:
+            now = now.join(side, key)
+        shared = (F.col("_o") + F.size(F.array_intersect("_x", "_y"))).alias("_o")
+        now = now.select("a", "b", "_least", shared, (F.col("_n") - F.size("_x")).alias("_n"), (F.col("_m") - F.size("_y")).alias("_m"))
+        now = now.filter(F.col("_o") + F.least("_n", "_m") >= F.col("_least"))
+    return now.select("a", "b")
 
 
 def _may_link(n: Column, r: Column, m: Column, q: Column, percent: int) -> Column:
@@ -114,7 +133,7 @@ def _may_link(n: Column, r: Column, m: Column, q: Column, percent: int) -> Colum
     They need an overlap of percent * (n + m) / (100 + percent), so the first common shingle stands among the first n + 1
     - overlap of the one and the first m + 1 - overlap of the other.
     """
-    least = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    least = _least_overlap(n, m, percent)
     return (F.least(n, m) >= least) & (r <= n + 1 - least) & (q <= m + 1 - least)
 
 
@@ -146,16 +165,21 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
         memo = _Words()
         for batch in batches:
             found = [shingles(t, width, memo) for t in batch["text"]]
-            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "shingles": found, "k": [_sketch(f) for f in found]})
+            parts = [_block(f, blocks) for f in found]
+            columns = {f"x{k}": [f[p == k] for f, p in zip(found, parts, strict=True)] for k in range(blocks)}
+            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "k": [_sketch(f) for f in found], **columns})
+
+    names = [f"x{k}" for k in range(blocks)]
+    every = F.explode(F.concat(*names)).alias("t")
 
     # a class whose rows all lack a doc_id can't be found by it, so rows without one come along
     named = _restricted(plain, live.select("doc_id")).union(plain.filter("doc_id is null"))
-    full = named.mapInPandas(whole, "s long, shingles array<long>, k long").dropDuplicates(["s"])
+    full = named.mapInPandas(whole, "s long, k long, " + ", ".join(f"{x} array<long>" for x in names)).dropDuplicates(["s"])
     first = stored(live.select("s", "n").join(full, "s"), folder, "matrix-1")
-    again = _lone(first.select("s", F.explode("shingles").alias("t")))
-    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", "shingles"), folder, "matrix-2")
+    again = _lone(first.select("s", every))
+    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", *names), folder, "matrix-2")
 
-    held = matrix.select("s", "n", "k", F.explode("shingles").alias("t"))
+    held = matrix.select("s", "n", "k", every)
     often = held.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
     shared = held.join(often, "t").groupBy("s", "n", "k").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_by"))
     alone = F.col("n") - F.size("_by")  # these come first in the set's order
@@ -189,13 +213,15 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
         met = met.filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & _may_link(F.col("n"), F.col("r"), F.col("_n"), F.col("_r"), percent))
         if turn < rounds:
             alike = (64 - F.bit_count(F.col("k").bitwiseXOR(F.col("_k")))).alias("alike")
-            seen = met.select("a", "b", alike)
-            both = seen.select(F.col("a").alias("s"), F.col("b").alias("o"), "alike").union(seen.select(F.col("b").alias("s"), F.col("a").alias("o"), "alike"))
-            best = both.groupBy("s").agg(F.max(F.struct("alike", "o")).alias("best"))
-            pairs = best.select(F.least("s", "best.o").alias("a"), F.greatest("s", "best.o").alias("b")).distinct()
+            seen = met.select("a", "b", F.col("n"), F.col("_n").alias("m"), alike)
+            back = seen.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "alike")
+            best = seen.union(back).groupBy("a", "n").agg(F.max(F.struct("alike", "b", "m")).alias("best")).select("a", "n", "best.b", "best.m")
+            low = F.col("a") < F.col("b")
+            sizes = (F.when(low, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(low, F.col("m")).otherwise(F.col("n")).alias("m"))
+            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *sizes).distinct()
         else:
-            pairs = met.filter(~F.arrays_overlap("p", "_p")).select("a", "b")  # each pair at its first common shingle
-        good = stored(_overlapping(pairs, matrix, percent), folder, f"links-{turn}")
+            pairs = met.filter(~F.arrays_overlap("p", "_p")).select("a", "b", "n", F.col("_n").alias("m"))  # each pair at its first common shingle
+        good = stored(_overlapping(pairs, matrix, percent, blocks), folder, f"links-{turn}")
         if good.isEmpty():
             if turn < rounds:
                 continue

@@ -112,7 +112,7 @@ def test_ranges_give_the_same(spark):
 def test_block_tables_find_all(spark):
     base = [prose(i, 100) for i in range(4)]
     texts = [edited(base[k % 4], 0.01 * (k % 6), k) for k in range(60)] + base
-    members, pairs = simhash.near(documents(spark, texts), radius=12, blocks=14)
+    members, pairs = simhash.near(documents(spark, texts), radius=12)
     prints = sorted({r["p"] for r in members.collect()})
     apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
     wanted = {(a, b, apart(a, b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if apart(a, b) <= 12}
