@@ -19,9 +19,9 @@ first piece can be shorter. Nothing is truncated or dropped.
 
 from __future__ import annotations
 
-import base64
-import heapq
+import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,79 +34,104 @@ from emberline.llm.common import shared_folder, stored, texts
 
 _MEMO_ENTRIES = 400_000
 _SPECIAL = "<|endoftext|>"
+_MARKS = ".,;:!?"
 _coders: dict = {}
 
 
 class Coder:
-    """Token ids of a text, as little-endian 32-bit numbers in one bytes object.
+    """Token ids of texts, as little-endian 32-bit numbers in one bytes object each.
 
     A run of non-space characters after exactly one space is encoded alike wherever it stands (the
-    pre-tokenizer never joins across that space), so such runs are kept in a bounded memo. Other
-    texts go to the encoder whole, and texts with the special token's string to the full tokenizer.
+    pre-tokenizer never joins across that space), so such runs are kept in a bounded memo, and so are
+    the parts that the pre-tokenizer cuts them into at single line ends and before closing marks. Other
+    texts, and those with the special token's string, go to the tokenizer whole.
     """
 
-    def __init__(self, vocabulary: str, ranks: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._fast = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self._full = Tokenizer.from_file(vocabulary)
-        self._memo: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._fast.encode_ordinary(text), "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if _SPECIAL in text or any("\ud800" <= c <= "\udfff" for c in text if c > "퟿"):
-            return np.array(self._full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split(" ")
-        first = parts[0]
-        if "" in parts or first[-1].isspace():
-            return self._encode(text)
-        memo, out = self._memo, [self._encode(first)]
-        if len(memo) > _MEMO_ENTRIES:
-            memo.clear()
-        for part in parts[1:]:
-            ids = memo.get(part)
-            if ids is None:
-                if part[0].isspace() or part[-1].isspace():
-                    return self._encode(text)
-                ids = self._encode(" " + part)
-                if len(part) < 40:
-                    memo[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-
-def _coder(vocabulary: str, ranks: str) -> Coder:
-    if (vocabulary, ranks) not in _coders:
-        _coders[vocabulary, ranks] = Coder(vocabulary, ranks)
-    return _coders[vocabulary, ranks]
-
-
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+        self._tokenizer = Tokenizer.from_file(vocabulary)
+        self._runs: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    @staticmethod
+    def _cut(run: str) -> list[str]:
+        """The parts of a run of characters that stands after a space."""
+        lines = run.split("\n")
+        if any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
+            return [" " + run]
+        out = []
+        for k, line in enumerate(lines):
+            space, plain = "" if k else " ", line.rstrip(_MARKS)
+            if k:
+                out.append("\n")
+            if plain != line and plain.isalpha() and max(plain) < "\u0500":
+                out += [space + plain, line[len(plain) :]]
+            else:
+                out.append(space + line)
+        return out
+
+    def __call__(self, batch: list[str]) -> list[bytes]:
+        runs, parts = self._runs, self._parts
+        if len(runs) > _MEMO_ENTRIES:
+            runs.clear()
+            parts.clear()
+        whole: dict[int, str] = {}
+        split: dict[int, list[str]] = {}
+        new: set[str] = set()
+        for k, text in enumerate(batch):
+            found = text.split(" ")
+            if _SPECIAL in text or "" in found or found[0][-1].isspace():
+                whole[k] = text
+                continue
+            rest = found[1:]
+            fresh = {r for r in rest if r not in runs}
+            if any(r[0].isspace() or r[-1].isspace() for r in fresh):
+                whole[k] = text
+                continue
+            split[k] = found
+            new |= fresh
+        cut = {r: self._cut(r) for r in new}
+        unknown = list({p for ps in cut.values() for p in ps if p not in parts})
+        parts.update(zip(unknown, self._encoded(unknown), strict=True))
+        for r, ps in cut.items():
+            runs[r] = b"".join([parts[p] for p in ps])
+        firsts = dict(zip(split, self._encoded([f[0] for f in split.values()]), strict=True))
+        wholes = dict(zip(whole, self._encoded(list(whole.values())), strict=True))
+        return [wholes[k] if k in wholes else firsts[k] + b"".join([runs[r] for r in split[k][1:]]) for k in range(len(batch))]
+
+
+def _coder(vocabulary: str) -> Coder:
+    if vocabulary not in _coders:
+        _coders[vocabulary] = Coder(vocabulary)
+    return _coders[vocabulary]
+
+
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, at_once: int = 200) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each document's tokens."""
     import public_tokenizers
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = _coder(vocabulary, ranks)
+        code = _coder(vocabulary)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = code(text) + end
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n % capacity or capacity) if at == 0 else capacity
-                    rows.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at, k = at + size, k + 1
+            for first in range(0, len(batch), at_once):
+                part = batch.iloc[first : first + at_once]
+                for doc, found in zip(part["doc_id"], code(part["text"].tolist()), strict=True):
+                    ids = found + end
+                    n = len(ids) // 4
+                    at, k = 0, 0
+                    while at < n:
+                        size = (n % capacity or capacity) if at == 0 else capacity
+                        rows.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                        at, k = at + size, k + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     plain = texts(docs)
@@ -115,23 +140,14 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: s
 
 @dataclass
 class Run:
-    """`count` sequences from number `first`, filled alike: slots of (length, first rank, offset)."""
+    """`count` sequences filled alike, with pieces of these lengths."""
 
-    first: int
     count: int
-    slots: list[tuple[int, int, int]] = field(default_factory=list)
-    used: int = 0
-
-    def split(self, n: int) -> Run:
-        """Cut off and return the first n sequences."""
-        head = Run(self.first, n, list(self.slots), self.used)
-        self.first, self.count = self.first + n, self.count - n
-        self.slots = [(size, rank + n, offset) for size, rank, offset in self.slots]
-        return head
+    sizes: list[int] = field(default_factory=list)
 
-    def put(self, size: int, rank: int) -> None:
-        self.slots.append((size, rank, self.used))
-        self.used += size
+    @property
+    def used(self) -> int:
+        return sum(self.sizes)
 
 
 def grouped(counts: np.ndarray, small: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +167,76 @@ def grouped(counts: np.ndarray, small: int, groups: int) -> tuple[np.ndarray, np
     return np.array(sizes, int), np.array(numbers, int)
 
 
+def _best_fill(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How often to take each size so that their worth is largest and they fit: an unbounded knapsack.
+
+    Rooms are done in stretches of the least size, within which no room builds on another.
+    """
+    value, taken, least = np.zeros(capacity + 1), np.full(capacity + 1, -1), int(sizes.min())
+    for first in range(least, capacity + 1, least):
+        rooms = np.arange(first, min(first + least, capacity + 1))
+        before = rooms[:, None] - sizes
+        gains = np.where(before >= 0, value[np.maximum(before, 0)] + worth, 0.0)
+        best = gains.argmax(1)
+        gain = gains[np.arange(len(rooms)), best]
+        grown = np.maximum.accumulate(np.maximum(gain, value[first - 1]))
+        value[rooms] = grown
+        taken[rooms] = np.where(gain >= grown, best, -1)
+        taken[rooms[0]] = best[0] if gain[0] > value[first - 1] else -1
+    use, room = np.zeros(len(sizes)), capacity
+    while room >= least:
+        if taken[room] < 0 or (room > least and value[room] == value[room - 1]):
+            room -= 1
+        else:
+            use[taken[room]] += 1
+            room -= int(sizes[taken[room]])
+    return use
+
+
+def best_mix(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
+    """(times, indices of sizes): the configurations of an optimal fractional covering of numbers, times rounded down.
+
+    A linear program over configurations, solved by the simplex method: in each turn the configuration of most worth at the
+    present prices comes in. Few sizes keep it small: it sees the groups and the capacity, whatever the corpus.
+    """
+    m = len(sizes)
+    columns = np.diag(capacity // sizes).astype(float)
+    inverse = np.linalg.inv(columns)
+    for turn in range(20 * m):
+        if turn % 64 == 63:
+            inverse = np.linalg.inv(columns)
+        prices = inverse.sum(0)
+        use = _best_fill(sizes, prices, capacity)
+        if prices @ use <= 1 + 1e-3:
+            break
+        step, amount = inverse @ use, inverse @ numbers
+        can = step > 1e-9
+        out = int(np.argmin(np.where(can, amount / np.where(can, step, 1.0), np.inf)))
+        columns[:, out] = use
+        row = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, row)
+        inverse[out] = row
+    times = np.floor(np.linalg.solve(columns, numbers) + 1e-6).astype(int)
+    left, found = numbers.astype(int).copy(), []
+    for k in range(m):
+        use = columns[:, k].astype(int)
+        n = min(int(times[k]), int((left[use > 0] // use[use > 0]).min()))  # never more of a size than there is
+        if n > 0:
+            left -= n * use
+            found.append((n, np.repeat(np.arange(m), use).tolist()))
+    return found
+
+
 def configurations(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
+    """(times, indices of sizes) that use up all numbers: the best mix, then what its rounding leaves."""
+    out = best_mix(sizes, numbers, capacity) if len(sizes) else []
+    left = numbers.astype(int).copy()
+    for times, chosen in out:
+        left -= times * np.bincount(chosen, minlength=len(sizes))
+    return out + filled(sizes, left, capacity)
+
+
+def filled(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     """(times, indices of sizes) that use up all numbers: the largest size left, best filled, as often as it lasts."""
     left, out = numbers.astype(int).copy(), []
     for top in range(len(sizes)):
@@ -193,27 +278,22 @@ def configurations(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> lis
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 1000) -> list[Run]:
-    """Runs that hold counts[length] pieces of each length."""
-    small = capacity // 16
-    ranks = np.zeros(capacity + 1, int)
-    runs: list[Run] = []
-    opened = 0
-
-    whole = int(counts[capacity])
-    if whole:
-        runs.append(Run(0, whole))
-        runs[0].put(capacity, 0)
-        opened = whole
+def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 48, large: int = 4) -> list[Run]:
+    """Runs that hold counts[length] pieces of each length. Pieces of over capacity / `large` are large."""
+    small = capacity // large
     part = counts.copy()
     part[capacity] = 0
-    sizes, numbers = grouped(part, small, groups)
+    runs = substituted(part, *grouped(part, small, groups), capacity)
+    add_small(runs, part, small, capacity)
+    runs = refilled(runs, capacity)
+    return runs + ([Run(int(counts[capacity]), [capacity])] if counts[capacity] else [])
+
 
-    # what is left of each group's actual lengths, longest first
+def substituted(part: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[Run]:
+    """The configurations of the rounded sizes with actual lengths, each group's longest first."""
     queue: list[list[list[int]]] = [[] for _ in sizes]
-    size, left = capacity - 1, int(part[capacity - 1]) if capacity > 1 else 0
-    for g, n in enumerate(numbers):
-        n = int(n)
+    size, left = capacity, 0
+    for g, n in enumerate(numbers.tolist()):
         while n:
             while not left:
                 size -= 1
@@ -221,75 +301,86 @@ def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 1000) -> list[R
             k = min(n, left)
             queue[g].append([size, k])
             n, left = n - k, left - k
-
-    free: dict[int, list[Run]] = {}
-    heap: list[int] = []
-
-    def open_room(run: Run) -> None:
-        room = capacity - run.used
-        if room not in free:
-            free[room] = []
-        free[room].append(run)
-
+    runs = []
     for times, chosen in configurations(sizes, numbers, capacity):
+        need = {g: chosen.count(g) for g in set(chosen)}
         while times:
-            # the slots of one size take their documents one after the other, so a step must serve them all
-            step, need = times, {g: chosen.count(g) for g in set(chosen)}
-            for g, k in need.items():
-                step = min(step, queue[g][0][1] // k)
-            if step == 0:
-                step = 1
-            run = Run(opened, step)
+            # as many sequences as the first lengths of the groups can serve alike, or one
+            step = max(1, min(times, *(queue[g][0][1] // k for g, k in need.items())))
+            run = Run(step)
             for g in chosen:
-                if queue[g][0][1] < step:  # only when step is 1
-                    queue[g].pop(0)
-                size = queue[g][0][0]
-                run.put(size, int(ranks[size]))
-                ranks[size] += step
+                run.sizes.append(queue[g][0][0])
                 queue[g][0][1] -= step
                 if not queue[g][0][1]:
                     queue[g].pop(0)
-            opened, times = opened + step, times - step
             runs.append(run)
-            open_room(run)
+            times -= step
+    return runs
+
+
+def add_small(runs: list[Run], part: np.ndarray, small: int, capacity: int) -> None:
+    """Put the small pieces, longest first, where they fit best, or into new sequences."""
+    free: dict[int, list[Run]] = {}
+    rooms: list[int] = []
+
+    def open_room(run: Run) -> None:
+        room = capacity - run.used
+        if not free.get(room):
+            insort(rooms, room)
+        free.setdefault(room, []).append(run)
 
-    heap = sorted(free)
+    for run in runs:
+        open_room(run)
     for size in range(small, 0, -1):
         left = int(part[size])
         while left:
-            fits = [r for r in heap if r >= size and free.get(r)]
-            if not fits:
-                each = capacity // size
-                count, rest = divmod(left, each)
-                run = Run(opened, count) if count else Run(opened, 1)
-                for _ in range(each if count else rest):
-                    run.put(size, int(ranks[size]))
-                    ranks[size] += run.count
-                left -= run.count * (each if count else rest)
-                opened += run.count
+            k = bisect_left(rooms, size)
+            if k == len(rooms):
+                each = min(capacity // size, left)
+                run = Run(left // each, [size] * each)
+                left -= run.count * each
                 runs.append(run)
             else:
-                run = free[fits[0]].pop()
+                room = rooms[k]
+                run = free[room].pop()
                 if run.count > left:
-                    head = run.split(left)
-                    free[fits[0]].append(run)
-                    runs.append(head)
-                    run = head
-                run.put(size, int(ranks[size]))
-                ranks[size] += run.count
+                    free[room].append(Run(run.count - left, list(run.sizes)))
+                    runs.append(free[room][-1])
+                    run.count = left
+                if not free[room]:
+                    rooms.pop(k)
+                run.sizes.append(size)
                 left -= run.count
-            room = capacity - run.used
-            if room:
-                if room not in free:
-                    free[room] = []
-                    heapq.heappush(heap, room)
-                    heap.sort()
-                free[room].append(run)
-    assert (ranks[:capacity] == counts[:capacity]).all()
-    return runs
+            open_room(run)
+
 
+def refilled(runs: list[Run], capacity: int, loose: float = 0.01) -> list[Run]:
+    """Sequences with more than the share `loose` of room are filled anew from their actual lengths, if fewer then do."""
+    open_, shut = [], []
+    for run in runs:
+        (open_ if capacity - run.used > loose * capacity else shut).append(run)
+    counts = np.zeros(capacity + 1, int)
+    for run in open_:
+        np.add.at(counts, run.sizes, run.count)
+    sizes = np.flatnonzero(counts)[::-1]
+    again = [Run(times, [int(sizes[k]) for k in chosen]) for times, chosen in filled(sizes, counts[sizes], capacity)]
+    return shut + (again if sum(r.count for r in again) < sum(r.count for r in open_) else open_)
+
+
+def placed(runs: list[Run], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, ranks from, ranks to, first sequence, offset) of all slots."""
+    ranks, opened, out = np.zeros(capacity + 1, int), 0, []
+    for run in runs:
+        offset = 0
+        for size in run.sizes:
+            out.append((size, int(ranks[size]), int(ranks[size]) + run.count, opened, offset))
+            ranks[size] += run.count
+            offset += size
+        opened += run.count
+    return out
 
-def pack(cut: DataFrame, capacity: int = 1024, groups: int = 1000, per_bucket: int = 20_000) -> DataFrame:
+
+def pack(cut: DataFrame, capacity: int = 1024, groups: int = 48, per_bucket: int = 20_000) -> DataFrame:
     """cut (of pieces(), stored) with sequence_id and offset."""
     spark = cut.sparkSession
     counts = np.zeros(capacity + 1, int)
@@ -305,17 +396,14 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = 1000, per_bucket: i
         .select("length", "_bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_before"))
     )
     ranked = own.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_own") + F.col("_before"))
-    placed = spark.createDataFrame(
-        [(int(size), int(rank), int(rank + r.count), int(r.first), int(offset)) for r in runs for size, rank, offset in r.slots] or [(0, 0, 0, 0, 0)],
-        "length long, _from long, _to long, _first long, _offset long",
-    )
-    joined = ranked.join(F.broadcast(placed), (ranked["length"] == placed["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    slots = spark.createDataFrame(placed(runs, capacity) or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _first long, _offset long")
+    joined = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return joined.select(
         "doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset")
     )
 
 
-def packed(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """One row per piece of every document, with its place in a sequence of at most `capacity` tokens."""
     folder = shared_folder(docs.sparkSession)
-    return pack(stored(pieces(docs, capacity, end_id, vocabulary, ranks), folder, "pieces"), capacity)
+    return pack(stored(pieces(docs, capacity, end_id, vocabulary), folder, "pieces"), capacity)

@@ -36,7 +36,7 @@ def test_plan(n, high):
     placed = np.zeros(1025, int)
     for run in runs:
         assert run.used <= 1024 and run.count > 0
-        for size, _, _ in run.slots:
+        for size in run.sizes:
             placed[size] += run.count
     assert (placed == counts).all()
     assert sum(r.count for r in runs) <= best_fit(lengths.tolist()) * 1.02 + 1
