@@ -17,8 +17,9 @@ def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def with_features(docs: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
-    """docs with struct columns `t` (text content) and `p` (page metadata), n_words, and n_lexicon if words are given.
+def with_features(docs: DataFrame, lexicon: list[str] | None = None, slots: int = 0) -> DataFrame:
+    """docs with struct columns `t` (text content) and `p` (page metadata), n_words, n_lexicon if words are given, and with
+    `slots` an array `terms`: the slots, by hash, of all words and all pairs of neighbouring words.
 
     Null text counts as empty, null lang and source as unknown; missing lang or source columns too.
     """
@@ -52,31 +53,39 @@ def with_features(docs: DataFrame, lexicon: list[str] | None = None) -> DataFram
     out = out.withColumn("n_words", F.size("_w").cast("long"))
     if lexicon is not None:
         out = out.withColumn("n_lexicon", F.size(F.array_intersect("_w", F.array(*(F.lit(w) for w in lexicon)).cast("array<string>"))).cast("double"))
+    if slots:
+        slot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
+        n = F.greatest(F.size("_w") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: slot(a, b))
+        out = out.withColumn("terms", F.concat(F.transform("_w", lambda w: slot(w)), pairs))
     return out.drop("_x", "_w")
 
 
 def sampled(docs: DataFrame, ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """The rows of docs for a fixed pseudo-random choice of at most `most` of ids (doc_id and more columns).
+    """One row of docs (with the largest hash, where an id has more) for each of at most `most` of ids (doc_id and more columns).
 
-    The choice is bounded, so joining by broadcast is safe at any size.
+    The choice is by a hash of the id. It is bounded, so joining by broadcast is safe at any size, and one row an id bounds
+    the result even where a single id holds much of the table: each task keeps one row for it.
     """
     keys = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
-    return docs.join(F.broadcast(keys), "doc_id")
+    more = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(keys), "doc_id").groupBy(*keys.columns).agg(F.max_by(F.struct(*more), F.xxhash64(*more)).alias("_one"))
+    return found.select(*keys.columns, "_one.*")
 
 
 class Linear:
-    """Multinomial (or binary) logistic regression on standardised inputs."""
+    """Multinomial (or binary) logistic regression on standardised inputs; `ridge` for all or for each of them."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-2, steps: int = 300, weight: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, ridge: float | np.ndarray = 1e-2, steps: int = 300):
         n, d = x.shape
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        z = np.c_[(x - self.mean) / self.scale, np.ones(n)]
-        w = np.ones(n) if weight is None else weight
-        hot = np.eye(classes)[y]
-        self.w = np.zeros((d + 1, classes))
+        z = np.c_[(x - self.mean) / self.scale, np.ones(n, x.dtype)]
+        hot = np.eye(classes, dtype=x.dtype)[y]
+        self.w = np.zeros((d + 1, classes), x.dtype)
+        shrink = np.append(np.broadcast_to(ridge, d), 0.0)[:, None].astype(x.dtype) / 10
         m = v = np.zeros_like(self.w)
         for t in range(1, steps + 1):
-            g = z.T @ (w[:, None] * (self._soft(z @ self.w) - hot)) / w.sum() + ridge * np.r_[self.w[:-1], np.zeros((1, classes))] / 10
+            g = z.T @ (self._soft(z @ self.w) - hot) / n + shrink * self.w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             self.w = self.w - 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
@@ -100,8 +109,17 @@ class Linear:
             total = total + c * F.lit(k)
         return total
 
-    def odds_column(self, inputs: list[Column]) -> Column:
-        return self._score(inputs, self.w[:, 1] - self.w[:, 0])
+    def odds_column(self, inputs: list[Column], terms: Column | None = None) -> Column:
+        """Log-odds of class 1. With `terms`, the inputs after the given ones are the shares of the slots among terms."""
+        if terms is None:
+            return self._score(inputs, self.w[:, 1] - self.w[:, 0])
+        weights = (self.w[:, 1] - self.w[:, 0]).astype(float)
+        w = weights[:-1] / self.scale
+        total = F.lit(float(weights[-1] - (w * self.mean).sum()))
+        for c, k in zip(inputs, w.tolist(), strict=False):
+            total = total + c * F.lit(k)
+        table = F.array(*map(F.lit, w[len(inputs) :].tolist()))
+        return total + F.aggregate(terms, F.lit(0.0), lambda sum_, slot: sum_ + F.get(table, slot)) / F.greatest(F.size(terms), F.lit(1))
 
     def score_columns(self, inputs: list[Column]) -> list[Column]:
         """Scores whose softmax is the probabilities, kept within the range of exp()."""

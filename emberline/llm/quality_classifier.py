@@ -1,6 +1,7 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
-Each view has a logistic regression. Both start from labelled rows. In each round each view labels
+Each view has a logistic regression: the text view over character and word ratios and the shares of hashed words and pairs of
+neighbouring words (`SLOTS`), the page view over length, layout, language and source. Both start from labelled rows. In each round each view labels
 the rows of an unlabelled pool that it is surest of, and the other view learns from them too. At the
 end each view is calibrated on labelled rows that neither has seen (Platt scaling), and the two
 log-odds are combined, less the prior that both hold.
@@ -15,15 +16,21 @@ scores 0.5 and is kept. Null text counts as empty. Repeated rows get the same sc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import packed_rows
 from emberline.llm.features import PAGE_VIEW, TEXT_VIEW, Linear, sampled, with_features
 
+#: Slots for hashed words and pairs, and how much more than the ratios their weights are held back.
+SLOTS = 512
+_RIDGE = np.r_[np.full(len(TEXT_VIEW), 1e-2), np.full(SLOTS, 0.5)]
+
 
 @dataclass
 class CoTrained:
@@ -35,7 +42,7 @@ class CoTrained:
 
     def columns(self) -> tuple[Column, Column, Column]:
         """Calibrated log-odds of the text view, of the page view, and combined."""
-        t = self.text.odds_column([F.col(f"t.{c}") for c in TEXT_VIEW]) * self.text_scale[0] + self.text_scale[1]
+        t = self.text.odds_column([F.col(f"t.{c}") for c in TEXT_VIEW], F.col("terms")) * self.text_scale[0] + self.text_scale[1]
         p = self.page.odds_column([F.col(f"p.{c}") for c in PAGE_VIEW]) * self.page_scale[0] + self.page_scale[1]
         return t, p, t + p - self.prior
 
@@ -64,7 +71,8 @@ def co_train(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
     def fit(view: str) -> Linear:
         x, pool = views[view]
         rows = list(given[view])
-        return Linear(np.r_[x[~hold], pool[rows]] if rows else x[~hold], np.r_[y[~hold], [given[view][r] for r in rows]].astype(int), 2)
+        ridge, steps = (_RIDGE, 150) if x.shape[1] == len(_RIDGE) else (1e-2, 300)
+        return Linear(np.r_[x[~hold], pool[rows]] if rows else x[~hold], np.r_[y[~hold], [given[view][r] for r in rows]].astype(int), 2, ridge, steps)
 
     models = {v: fit(v) for v in views}
     for _ in range(rounds if len(pool_t) else 0):
@@ -88,8 +96,15 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_po
     columns = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     slim = docs.select(*columns).filter("doc_id is not null")
 
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [np.bincount(terms, minlength=SLOTS) / max(1, len(terms)) for terms in batch["terms"]]
+            yield batch.assign(terms=[c.astype(np.float32) for c in counts])
+
     def gathered(rows: DataFrame, *more: str):
-        return with_features(rows).select("doc_id", *more, "t.*", "p.*").toPandas().drop_duplicates().sort_values(["doc_id", *TEXT_VIEW], ignore_index=True)
+        flat = with_features(rows, slots=SLOTS).select("doc_id", *more, "t.*", "p.*", "terms")
+        kinds = ", ".join(f"{c} {t}" for c, t in flat.dtypes[:-1])
+        return flat.mapInPandas(shares, f"{kinds}, terms array<float>").toPandas().sort_values(["doc_id", *TEXT_VIEW], ignore_index=True)
 
     known = gathered(sampled(slim, marks, most_labelled), "_y")
     if known["_y"].nunique() < 2:
@@ -98,8 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_po
     pool = pool[~pool["doc_id"].isin(known["doc_id"])]
     # rows by a hash of the id, so that the held-out third is an arbitrary one
     known = known.sample(frac=1, random_state=5)
-    view = lambda f, names: f[list(names)].to_numpy(float)
-    return co_train(view(known, TEXT_VIEW), view(known, PAGE_VIEW), known["_y"].to_numpy(), view(pool, TEXT_VIEW), view(pool, PAGE_VIEW), rounds)
+    page = lambda f: f[list(PAGE_VIEW)].to_numpy(float)
+    text = lambda f: np.c_[f[list(TEXT_VIEW)].to_numpy(np.float32), np.stack(f["terms"]) if len(f) else np.zeros((0, SLOTS), np.float32)]
+    return co_train(text(known), page(known), known["_y"].to_numpy(), text(pool), page(pool), rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:
@@ -111,5 +127,5 @@ def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataF
         return rows.select(*kept, *(F.lit(0.5).alias(c) for c in new[:3]), F.lit(True).alias("quality_kept"))
     p = lambda odds: 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), odds))))
     text, page, both = model.columns()
-    scored = with_features(rows).withColumn("_both", p(both))
+    scored = with_features(rows, slots=SLOTS).withColumn("_both", p(both))
     return scored.select(*kept, p(text).alias("text_score"), p(page).alias("page_score"), F.col("_both").alias("quality_score"), (F.col("_both") >= least).alias("quality_kept"))
