@@ -7,7 +7,7 @@ a text lies in overlapping windows, all are scored, and the largest score is the
 
 Training needs labels for documents only: in each epoch a document's label goes to the window that
 the network scores highest, and clean documents give a further window at random. It uses a bounded
-sample of labelled rows (`most_toxic`, `most_clean`; texts of at most `longest_training` characters)
+sample of labelled documents (`most_toxic`, `most_clean`, of those with at most `longest_training` characters)
 outside the held-out fold, crc32(doc_id as text) mod 5 = 0. Part of the sample calibrates.
 Scores never use labels, lang, source or doc_id.
 
@@ -35,6 +35,8 @@ _KNOWN, _HASHED, _GRAMS = 1000, 512, 2048
 _MEMO = 250_000
 _split = re.compile(r"[^\W_]+")
 FOLDS = 5
+#: Runs without a space (unspaced scripts, say) are read in pieces.
+_RUN, _LAP = 40, 10
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -53,12 +55,16 @@ class Reader:
 
     @staticmethod
     def grams(word: str) -> list[int]:
-        marked = f"<{word[:40]}>".encode("utf-8", "replace")
-        return [zlib.crc32(marked[i : i + 3]) % _GRAMS for i in range(len(marked) - 2)]
+        marked = f"<{word}>".encode("utf-8", "replace")
+        return [zlib.crc32(marked[i : i + 3]) % _GRAMS for i in range(max(1, len(marked) - 2))]
 
 
 def words_of(text: str) -> list[str]:
-    return _split.findall(text.lower())
+    """Runs of letters and digits; a run over _RUN characters becomes pieces that overlap by _LAP."""
+    found = _split.findall(text.lower())
+    if found and max(map(len, found)) > _RUN:
+        return [w[i : i + _RUN] for w in found for i in range(0, max(1, len(w) - _LAP), _RUN - _LAP)]
+    return found
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -272,11 +278,12 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean
     """A network fitted on the bounded sample, or the share of toxic labels where a class is missing."""
     marks = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     order = (F.xxhash64("doc_id", F.lit(9)), F.col("doc_id"))
-    chosen = marks.filter("_y >= 1").orderBy(*order).limit(most_toxic).union(marks.filter("_y < 1").orderBy(*order).limit(most_clean))
-    rows = (
-        texts(docs).filter(F.length("text") <= longest_training).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", (F.col("_y") >= 1).cast("int").alias("_y")).toPandas().sort_values(["doc_id", "text"])
-    )
+    short = texts(docs).filter(F.length("text") <= longest_training)
+    known = short.select("doc_id").join(marks, "doc_id").distinct()
+    chosen = known.filter("_y >= 1").orderBy(*order).limit(most_toxic).union(known.filter("_y < 1").orderBy(*order).limit(most_clean))
+    # one text of each chosen id, so the sample is bounded by rows too
+    found = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    rows = found.select("doc_id", "text", (F.col("_y") >= 1).cast("int").alias("_y")).toPandas().sort_values(["doc_id", "text"])
     rows = rows.sample(frac=1, random_state=7)
     y = rows["_y"].to_numpy(float)
     if len(set(y)) < 2:
