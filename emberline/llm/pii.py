@@ -37,14 +37,14 @@ _PATTERN = {
 _GENERATOR = {
     "ssn": r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone_local": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
-    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9_.-]{2,40}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,40}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?|\.)[A-Za-z]{2,12}(?![A-Za-z0-9])",
+    "phone_local": r"(?<![0-9+.-])(?:(?:\([0-9]{2,5}\)[\x20.-]?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}|0[1-9](?:[\x20.-][0-9]{2}){4})(?![0-9]|[.-][0-9])",
+    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9_.-]{2,40}\x20?[\[({](?:at|AT|At)[\])}]\x20?[A-Za-z0-9-]{2,40}(?:\x20?[\[({](?:dot|DOT|Dot)[\])}]\x20?|\.)[A-Za-z]{2,12}(?![A-Za-z0-9])",
 }
 #: Cheap tests that a text with any match passes.
 _NEEDS = {"email": "@", "phone": "+", "card": None, "ip": ".", "email_spelled": None}
 #: Context words, in several languages, before a candidate.
 _HINTS = (
-    r"(?i)\b(?:tel|phone|call|mobile|cell|fax|contact|telefon|teléfono|téléphone|handy|whatsapp)\b",
+    r"(?i)\b(?:tel|tél|phone|call|mobile|cell|fax|contact|telefon|teléfono|téléphone|handy|whatsapp)\b",
     r"(?i)\b(?:ssn|social|security|sin|taxpayer|tin)\b",
     r"(?i)\b(?:iban|account|konto|bank|compte|cuenta|transfer|swift|bic)\b",
     r"(?i)\b(?:e-?mail|mail|write|reach|contact|correo|courriel)\b",
@@ -54,13 +54,18 @@ _WINDOW = 32
 FEATURES = ("kind", "length", "digits", "letters", "gaps", "first", "checks", "phone_hint", "ssn_hint", "bank_hint", "mail_hint", "other_hint", "near_letter")
 
 
+_SPAN = "struct<start:int,end:int,value:string>"
+#: Matches that are gathered at a time, so that long texts don't copy ever longer arrays.
+_CHUNK = 256
+
+
 def matches(text: Column, pattern: str, keep=None) -> Column:
     """All leftmost non-overlapping matches as array<struct<start, end, value>>.
 
     split() gives what lies between the matches, so adding up lengths gives places.
     """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
@@ -69,7 +74,15 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
         wanted = part["hit"].isNotNull() if keep is None else part["hit"].isNotNull() & keep(part["hit"])
         return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    def chunked(all_parts: Column) -> Column:
+        def chunk(acc: Column, first: Column) -> Column:
+            own = F.aggregate(F.slice(all_parts, first, _CHUNK), F.struct(acc["at"].alias("at"), none.alias("found")), step)
+            return F.struct(own["at"].alias("at"), F.array_append(acc["found"], own["found"]).alias("found"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(all_parts), F.lit(_CHUNK)), start, chunk, lambda acc: F.flatten(acc["found"]))
+
+    return F.get(F.transform(F.array(parts), chunked), 0)  # a lambda's variable: the text is cut once
 
 
 def _digits(value: Column) -> Column:
@@ -108,7 +121,7 @@ def _valid(kind: str):
 def _only_where(text: Column, kind: str, found: Column) -> Column:
     mark = _NEEDS.get(kind)
     if kind == "email_spelled":
-        return F.when(text.rlike(r"[\[(](?:at|AT)[\])]"), found)
+        return F.when(text.rlike(r"[\[({](?:at|AT|At)[\])}]"), found)
     return found if mark is None else F.when(text.contains(mark), found)
 
 
@@ -122,7 +135,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _or_none(found: Column) -> Column:
-    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.coalesce(found, F.array().cast(f"array<{_SPAN}>"))
 
 
 def _tagged(kind: str, *more):
@@ -176,30 +189,43 @@ def synthetic(n: int = 1600, seed: int = 11) -> tuple[list[str], list[int]]:
     made, label = [], []
     sep = lambda: rng.choice("- ")
     say = {
-        "ssn": ["SSN ", "social security number: ", "my ssn is ", "taxpayer id (SSN): "],
-        "iban": ["IBAN ", "pay to account ", "bank transfer: ", "Konto "],
-        "phone": ["call ", "tel: ", "phone ", "fax ", "mobile ", "contact me at ", "Telefon "],
-        "mail": ["mail ", "e-mail: ", "write to ", "reach me at ", "contact "],
+        "ssn": ["SSN ", "social security number: ", "my ssn is ", "taxpayer id (SSN): ", "Social Security no. ", "SIN: "],
+        "iban": ["IBAN ", "IBAN: ", "pay to account ", "bank transfer: ", "Konto ", "compte ", "cuenta: "],
+        "phone": ["call ", "tel: ", "phone ", "fax ", "mobile ", "contact me at ", "Telefon ", "téléphone : ", "WhatsApp ", "Handy: ", "tel. "],
+        "mail": ["mail ", "e-mail: ", "write to ", "reach me at ", "contact ", "correo: ", "courriel "],
         "not": ["order ", "invoice no ", "part ", "ref ", "ticket ", "serial ", "item ", "model ", "version ", "build "],
         "plain": ["the ", "and then ", "values of ", "about ", "see "],
     }
 
     def iban(good: bool) -> str:
-        body, land = d(18), rng.choice(["DE", "FR", "ES", "NL", "IT"])
-        number = int(body + "".join(str(ord(c) - 55) for c in land) + "00")
-        check = (98 - number % 97) if good else (98 - number % 97 + rng.randint(1, 90)) % 97
-        return f"{land}{check:02d}{body}"
-
+        land, size = rng.choice([("DE", 18), ("FR", 23), ("ES", 20), ("NL", 14), ("IT", 23), ("GB", 18), ("BE", 12), ("CH", 17), ("AT", 16), ("PL", 24)])
+        letters = 4 if land in ("NL", "GB") else 0
+        body = "".join(rng.choice("ABCDEFGHIKLMNOPRSTUVW") for _ in range(letters)) + d(size - letters)
+        number = int("".join(str(int(c, 36)) for c in body + land) + "00")
+        check = 98 - number % 97 if good else (98 - number % 97 + rng.randint(1, 90)) % 97
+        whole = f"{land}{check:02d}{body}"
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.5 else whole
+
+    def code() -> str:
+        return rng.choice("ABCDX") + rng.choice("ABCDX") + d(2) + "".join(" " + "".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(4)) for _ in range(rng.randint(3, 6)))
+
+    def phone() -> str:
+        return rng.choice(
+            [f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(3)}/{d(3)} {d(3)}",
+             "0" + rng.choice("123456789") + "".join(rng.choice(" .") + d(2) for _ in range(4)), f"0{d(4)} {d(3)}{d(4)}"]
+        )
+
+    at, dot = [" [at] ", "(at)", "[at]", " (at) ", " {at} ", " [AT] "], [".com", " [dot] org", "(dot)net", " (dot) de", ".co", " [DOT] net"]
     for _ in range(n // 8):
         s = sep()
         made += [
-            rng.choice(say["ssn"] + say["plain"][:1]) + f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+            rng.choice(say["ssn"] + say["plain"][:1]) + f"{rng.randint(1, 665):03d}{s}{rng.randint(1, 99):02d}{s}{rng.randint(1, 9999):04d}",
             rng.choice(say["not"] + say["plain"]) + f"{d(3)}{s}{d(2)}{s}{d(4)}",
             rng.choice(say["iban"] + say["plain"]) + iban(True),
-            rng.choice(say["not"] + say["plain"]) + iban(False),
-            rng.choice(say["phone"]) + rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]),
-            rng.choice(say["not"] + say["plain"]) + rng.choice([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}"]),
-            rng.choice(say["mail"]) + f"{rng.choice(['ann', 'bo.li', 'jdoe'])}{rng.choice([' [at] ', '(at)', '[at]'])}{rng.choice(['mail', 'corp'])}{rng.choice(['.com', ' [dot] org', '(dot)net'])}",
+            rng.choice(say["not"] + say["plain"]) + (iban(False) if rng.random() < 0.7 else code()),
+            rng.choice(say["phone"]) + phone(),
+            rng.choice(say["not"] + say["plain"]) + rng.choice([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]),
+            rng.choice(say["mail"] + say["plain"][:2]) + f"{rng.choice(['ann', 'bo.li', 'jdoe', 'maria.k', 'x_99', 'info'])}{rng.choice(at)}{rng.choice(['mail', 'corp', 'my-host', 'uni'])}{rng.choice(dot)}",
             rng.choice(say["plain"]) + f"{rng.choice(['look', 'meet us', 'stay'])} (at) {rng.choice(['home', 'noon'])}.{rng.choice(['Then', 'We', 'It'])}",
         ]
         label += [1, 0] * 4
@@ -227,7 +253,7 @@ class Selector:
 def train(spark: SparkSession, precision: float = 0.95, seed: int = 11) -> Selector:
     """Fit the trees on synthetic labelled texts (a fixed number), through the same feature expressions.
 
-    Half of the rows calibrates: a kind's threshold is the lowest score with at least `precision`.
+    Half of the rows calibrates: a kind's threshold lies under the lowest score with at least `precision`.
     """
     made, label = synthetic(seed=seed)
     rows = [(i, t, y) for i, (t, y) in enumerate(zip(made, label, strict=True))]
@@ -244,7 +270,9 @@ def train(spark: SparkSession, precision: float = 0.95, seed: int = 11) -> Selec
         good = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
         last = np.append(s[order][1:] < s[order][:-1], True) if len(order) else np.array([], bool)
         fine = np.flatnonzero((good >= precision) & last)
-        thresholds.append(float(s[order][fine[-1]]) if len(fine) else 1e9)
+        # halfway to the first score that is left out
+        under = s[order][fine[-1] + 1 : fine[-1] + 2] if len(fine) else []
+        thresholds.append(float((s[order][fine[-1]] + (under[0] if len(under) else s[order][fine[-1]] - 1)) / 2) if len(fine) else 1e9)
     return Selector(model, thresholds)
 
 
@@ -303,9 +331,10 @@ def redact(docs: DataFrame, selector: Selector) -> DataFrame:
 
 
 def report(docs: DataFrame, selector: Selector) -> DataFrame:
-    """One row per document: counts of the base kinds, a digest of the base spans, and all spans."""
+    """One row per document: counts of the base kinds, a digest of the base spans, all spans, and their number."""
     found = find(texts(docs), selector)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
-        "doc_id", *(count(k) for k in BASE), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans")
+        "doc_id", *(count(k) for k in BASE), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

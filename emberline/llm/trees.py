@@ -76,7 +76,7 @@ class Boosted:
         return total
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 12, depth: int = 3, rate: float = 0.4, least: int = 5, ridge: float = 1.0) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.4, least: int = 5, ridge: float = 1.0) -> Boosted:
     """Logistic gradient boosting with second-order leaf values."""
     mean = float(np.clip(y.mean(), 0.01, 0.99))
     model = Boosted(float(np.log(mean / (1 - mean))), [])

@@ -61,6 +61,30 @@ def test_added_spans_and_redaction(spark, selector):
     assert pii.report(docs.filter("1 = 0"), selector).count() == 0
 
 
+#: Hand-written, not from the generator of the training texts: texts with the added kinds, and look-alikes.
+HELD_OUT = (
+    ("iban", "pay to DE89 3704 0044 0532 0130 00 please"), ("iban", "IBAN: GB82 WEST 1234 5698 7654 32"), ("iban", "IBAN GB82WEST12345698765432."), ("iban", "NL91ABNA0417164300"),
+    ("iban", "Bitte auf das Konto AT61 1904 3002 3457 3201 überweisen"), ("iban", "compte FR14 2004 1010 0505 0001 3M02 606"), ("iban", "transfer to BE68 5390 0754 7034, thanks"),
+    ("ssn", "SSN: 078-05-1120"), ("ssn", "my social security number is 219-09-9999."), ("ssn", "Social Security # 457 55 5462"), ("ssn", "taxpayer 123-45-6789 has filed"),
+    ("phone_local", "Call me at (415) 555-2671"), ("phone_local", "tel: 0171 2345678"), ("phone_local", "Tél : 01 23 45 67 89"), ("phone_local", "phone 212-555-0187 ext 4"),
+    ("phone_local", "mobile 07911 123456"), ("phone_local", "Telefon (030) 1234 5678"), ("phone_local", "fax 415.555.0199"), ("email_spelled", "reach me: john.smith [at] example [dot] com"),
+    ("email_spelled", "write to info(at)acme.org"), ("email_spelled", "contact jane_doe [at] uni-mainz [dot] de"), ("email_spelled", "correo: maria (at) correo (dot) es"),
+    ("", "order 078-05-1120 shipped"), ("", "version 10.234.567 build"), ("", "the year 1999-2004 and 2010-2012"), ("", "sum 123 456 789 items"), ("", "meet us (at) noon.Then we"),
+    ("", "invoice 555-123-4567"), ("", "ISBN 978-3-16-148410-0"), ("", "DE00 1234 5678 9012 3456 78 is a part no"), ("", "scores 21-19 and 22-20"), ("", "see (at) home.It was late"),
+    ("", "pages 100-200-3000"), ("", "ref 12.345.678"), ("", "AB12 CDEF GHIJ KLMN OPQR"), ("", "the 2020-2021 season"),
+)
+
+
+def test_added_kinds_on_texts_from_outside(spark, selector):
+    got = every_row(spark, pii.report(documents(spark, [t for _, t in HELD_OUT]), selector), len(HELD_OUT))
+    found = [(kind, got[i]["spans"].split(":")[0]) for i, (kind, _) in enumerate(HELD_OUT)]
+    for kind in pii.ADDED:
+        of_kind = [f == kind for k, f in found if k == kind]
+        assert sum(of_kind) >= 0.75 * len(of_kind), (kind, found)
+    assert sum(k == f for k, f in found if k) >= 0.9 * sum(k != "" for k, _ in found), found
+    assert sum(f != "" for k, f in found if not k) <= 1, found
+
+
 def test_trees_agree_with_their_expression(spark, selector):
     from pyspark.sql import functions as F
 
