@@ -157,6 +157,24 @@ def percent(share: Column) -> Column:
     return F.when(share.isNotNull(), F.concat(fixed(share * 100, 1), F.lit("%"))).otherwise("")
 
 
+#: Labels of the score's factors, in the order shown.
+FACTOR_LABELS = (
+    ("recency_points", "Recency points"), ("brightness_points", "Brightness points"), ("classification_gap_points", "Unclassified points"),
+    ("classification_conflict_points", "Classification conflict"), ("spectroscopy_gap_points", "No-spectrum points"),
+    ("coverage_reduction", "Observation-coverage reduction"), ("observation_gap_points", "Observation-gap points"),
+    ("multimessenger_points", "Multimessenger points"), ("status", "Status override"),
+)
+
+
+def shown_factors(factors: Column) -> Column:
+    """array<struct<label, value>> of a map of factors (variants), in the order of the labels; missing and empty ones left out."""
+    rows = []
+    for key, label in FACTOR_LABELS:
+        value = F.try_variant_get(F.try_element_at(factors, F.lit(key)), "$", "string")
+        rows.append(F.when(value != "", F.struct(F.lit(label).alias("label"), factor_text(F.lit(key), value).alias("value"))))
+    return F.array_compact(F.array(*rows))
+
+
 def factor_text(key: Column, value: Column) -> Column:
     """Numbers with two decimals, but for the status override, which is text."""
     number = value.try_cast("double")

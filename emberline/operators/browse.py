@@ -75,3 +75,8 @@ def active_sources(sources: DataFrame, kinds: list[str]) -> DataFrame:
     """Sources with any records, and their total."""
     total = sum((F.coalesce(F.col(k), F.lit(0)) for k in kinds), F.lit(0))
     return sources.withColumn("records", total).filter("records > 0")
+
+
+def stream_top(recent: DataFrame, most: int = 3) -> DataFrame:
+    """The first rows of the recent stream, by their place in it."""
+    return recent.orderBy("place").limit(most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import clean_text, filled, object_id
@@ -34,19 +34,36 @@ FEED_PROVIDERS = (
 MOST = 6
 
 
-def links(aliases: DataFrame, providers: tuple[Provider, ...] = SNAPSHOT_PROVIDERS, key: str = "event_id", strict: bool = False, distinct: bool = True) -> DataFrame:
-    """(key, links): at most six of array<struct<label, designation, url>>, in order of provider and designation.
+def link(provider: Column, external_id: Column, providers: tuple[Provider, ...] = SNAPSHOT_PROVIDERS, strict: bool = False) -> Column:
+    """struct<p, label, designation, url> of one alias; null for unknown providers and blank designations.
 
-    strict: without the identifier a parsed provider's link is left out, not just its url.
+    strict: without the identifier a parsed provider's link is null, not just its url.
     """
-    spark = aliases.sparkSession
-    known = spark.createDataFrame([(p.name, p.label, p.template, p.parsed) for p in providers], "_provider string, label string, template string, parsed boolean")
-    named = aliases.withColumn("_provider", F.lower("provider")).withColumn("designation", clean_text(F.col("external_id"))).filter("designation is not null")
-    met = named.join(F.broadcast(known), "_provider")  # a handful of fixed rows
-    target = F.when(F.col("parsed"), object_id(F.col("designation"))).otherwise(F.col("designation"))
-    met = met.withColumn("url", filled(F.col("template"), target))
-    if strict:
-        met = met.filter("not parsed or url is not null")
-    item = F.struct(F.col("_provider").alias("p"), F.col("designation").alias("d"), F.struct("label", "designation", "url").alias("link"))
-    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["link"])
-    return met.groupBy(key).agg(F.slice(F.array_distinct(ordered) if distinct else ordered, 1, MOST).alias("links"))
+    name, designation = F.lower(provider), clean_text(external_id)
+    out = F.lit(None)
+    for known in providers:
+        target = object_id(designation) if known.parsed else designation
+        url = filled(F.lit(known.template).cast("string"), target)
+        found = F.struct(name.alias("p"), F.lit(known.label).alias("label"), designation.alias("designation"), url.alias("url"))
+        kept = (name == known.name) & designation.isNotNull() & (url.isNotNull() if strict and known.parsed else F.lit(True))
+        out = F.when(kept, found).otherwise(out)
+    return out
+
+
+def links_of(aliases: Column, providers: tuple[Provider, ...], strict: bool = False) -> Column:
+    """At most six links of an array<struct<provider, external_id>>, in its order; null if there are none."""
+    found = F.array_compact(F.transform(aliases, lambda a: link(a["provider"], a["external_id"], providers, strict)))
+    shown = F.transform(F.slice(found, 1, MOST), lambda x: F.struct(x["label"].alias("label"), x["designation"].alias("designation"), x["url"].alias("url")))
+    return F.when(F.size(found) > 0, shown)
+
+
+def links(aliases: DataFrame, providers: tuple[Provider, ...] = SNAPSHOT_PROVIDERS, key: str = "event_id", strict: bool = False) -> DataFrame:
+    """(key, links): at most six of array<struct<label, designation, url>>, each once, in order of provider and designation.
+
+    Repeated aliases go first and each key keeps six before anything is gathered, so no key's aliases meet in one array.
+    """
+    found = aliases.select(key, link(F.col("provider"), F.col("external_id"), providers, strict).alias("_l")).filter("_l is not null").distinct()
+    order = Window.partitionBy(key).orderBy("_l.p", "_l.designation")
+    top = found.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= MOST)
+    ordered = F.array_sort(F.collect_list(F.struct("_k", F.struct("_l.label", "_l.designation", "_l.url").alias("link"))))
+    return top.groupBy(key).agg(F.transform(ordered, lambda x: x["link"]).alias("links"))

@@ -54,3 +54,8 @@ def surveys(events: DataFrame) -> DataFrame:
 def scaled(counted: DataFrame, value: str = "n", name: str = "bar") -> DataFrame:
     """Each count as a percentage of the largest (of 1 if all are 0). counted holds one row for each group."""
     return counted.withColumn(name, 100.0 * F.col(value) / F.coalesce(F.nullif(F.max(value).over(Window.partitionBy()), F.lit(0)), F.lit(1)))
+
+
+def bars(counted: DataFrame, value: str = "n") -> DataFrame:
+    """Scaled counts, the largest first."""
+    return scaled(counted, value).orderBy(F.desc(value))

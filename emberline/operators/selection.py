@@ -73,3 +73,12 @@ def counts(out: DataFrame, names: list[str]) -> DataFrame:
     """out with follow_up_counts and follow_up_total."""
     each = F.struct(*(F.size(n).cast("long").alias(n) for n in names))
     return out.withColumn("follow_up_counts", each).withColumn("follow_up_total", sum((F.size(n).cast("long") for n in names), F.lit(0).cast("long")))
+
+
+def attached_counts(roots: DataFrame, key: str, tables: dict[str, DataFrame], child_key: str) -> DataFrame:
+    """roots with the number of each table's rows, 0 where there are none: counted before the join, so no lists are made."""
+    out = roots
+    for name, rows in tables.items():
+        counted = rows.groupBy(F.col(child_key).alias(key)).agg(F.count("*").alias(name))
+        out = out.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out

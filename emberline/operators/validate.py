@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys and text that must never be published.
 BANNED_KEYS = ("id", "simulation", "priority_factors", "created_at", "token", "api_key", "secret", "password")
 BANNED_KEYS_FEED = ("id", "status", "simulation", "token", "api_key", "secret", "password")
 FORBIDDEN_TEXT = ("/Users/", ".codex", "BEGIN PRIVATE KEY")
+FORBIDDEN_TEXT_FEED = ("/Users/", ".codex")
+
+
+def banned_among(keys: Column, banned: tuple[str, ...] = BANNED_KEYS) -> Column:
+    """The banned ones of an array of keys."""
+    return F.array_intersect(keys, F.array(*(F.lit(k) for k in banned)))
 
 
 def leaked_keys(candidates: DataFrame, banned: tuple[str, ...] = BANNED_KEYS) -> list[str]:
@@ -29,21 +35,24 @@ class Rejected(ValueError):
     """What was to be published failed its checks."""
 
 
-def check(candidates: DataFrame, schema_version: int, expected: int, banned: tuple[str, ...] = BANNED_KEYS, shown: int = 20) -> None:
+def check(
+    candidates: DataFrame, schema_version: int, expected: int, banned: tuple[str, ...] = BANNED_KEYS, forbidden: tuple[str, ...] = FORBIDDEN_TEXT, shown: int = 20
+) -> None:
+    """Raise Rejected with at most `shown` problems of rows; the feed has its own banned keys and forbidden text."""
     problems = [] if schema_version == expected else ["schema_version mismatch"]
     problems += [f"leaks {k}" for k in leaked_keys(candidates, banned)]
     if "name" in candidates.columns:
-        problems += [f"{r['name']}: {r['problem']}" for r in violations(candidates).limit(shown).collect()]
+        problems += [f"{r['name']}: {r['problem']}" for r in violations(candidates, forbidden).limit(shown).collect()]
     else:
         problems.append("candidates have no name")
     if problems:
         raise Rejected("; ".join(problems))
 
 
-def run_status(sources: DataFrame) -> DataFrame:
-    """One row: ok if a source is, degraded if some are enabled and none is ok, else idle."""
+def run_status(sources: DataFrame, *by: str) -> DataFrame:
+    """One row (for each value of `by`): ok if a source is, degraded if some are enabled and none is ok, else idle."""
     ok, enabled = F.count_if(F.col("state") == "ok"), F.count_if(F.col("state") != "disabled")
-    return sources.agg(ok.alias("ok"), enabled.alias("enabled")).withColumn("status", F.when(F.col("ok") > 0, "ok").when(F.col("enabled") > 0, "degraded").otherwise("idle"))
+    return sources.groupBy(*by).agg(ok.alias("ok"), enabled.alias("enabled")).withColumn("status", F.when(F.col("ok") > 0, "ok").when(F.col("enabled") > 0, "degraded").otherwise("idle"))
 
 
 def drift(before: DataFrame, after: DataFrame, key: str, value: str | None = None) -> DataFrame:

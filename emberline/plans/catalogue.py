@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberline.functions import scalars as fn
 from emberline.operators import browse, links, rollups, selection, sky, validate
 from emberline.plans import snapshot
-from emberline.sources.readers import json_object
+from emberline.sources.readers import empty_catalogue, json_object
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,8 +109,7 @@ def children_sorted(t):
 
 @query("select o_orderkey, count(l_orderkey) as n_lines from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def left_attach_counts(t):
-    out = selection.attached(t("orders").select("o_orderkey"), "o_orderkey", {"lines": _line_lists(t)}, "l_orderkey")
-    return selection.counts(out, ["lines"]).select("o_orderkey", F.col("follow_up_total").alias("n_lines"))
+    return selection.attached_counts(t("orders").select("o_orderkey"), "o_orderkey", {"n_lines": t("lineitem")}, "l_orderkey")
 
 
 _ALIASES = """(select user_id, event_id, case event_type when 'view' then 'TNS' when 'click' then 'gcn' when 'error' then 'Tns-Astronotes' else event_type end as provider,
@@ -130,7 +129,8 @@ def _aliases(t) -> DataFrame:
 
 @query(f"select event_id, label, designation, url from {_NAMED} where label is not null")
 def lookup_links(t):
-    return links.links(_aliases(t), key="event_id").select("event_id", F.explode("links").alias("l")).select("event_id", "l.label", "l.designation", "l.url")
+    found = links.link(F.col("provider"), F.col("external_id"))
+    return _aliases(t).select("event_id", found.alias("l")).filter("l is not null").select("event_id", "l.label", "l.designation", "l.url")
 
 
 @query(f"""select user_id, string_agg(label || ':' || designation, ' ' order by p, designation) as links from
@@ -353,11 +353,11 @@ def round6(t):
     return t("events").select("event_id", fn.clean_number(v).alias("rounded"))
 
 
-@query("select user_id, ok, enabled, case when ok > 0 then 'ok' when enabled > 0 then 'degraded' else 'idle' end as status from (select user_id % 10 as user_id, count(*) filter (where event_type = 'view') as ok, count(*) filter (where event_type <> 'click') as enabled from events group by 1) where user_id = 3")
+@query("select user_id, ok, enabled, case when ok > 0 then 'ok' when enabled > 0 then 'degraded' else 'idle' end as status from (select user_id % 10 as user_id, count(*) filter (where event_type = 'view') as ok, count(*) filter (where event_type <> 'click') as enabled from events group by 1)")
 def status_machine(t):
     e = F.col("event_type")
-    rows = t("events").filter("user_id % 10 = 3").withColumn("state", F.when(e == "view", "ok").when(e == "click", "disabled").otherwise("error"))
-    return validate.run_status(rows).select(F.lit(3).cast("long").alias("user_id"), "ok", "enabled", "status")
+    rows = t("events").select((F.col("user_id") % 10).alias("user_id"), F.when(e == "view", "ok").when(e == "click", "disabled").otherwise("error").alias("state"))
+    return validate.run_status(rows, "user_id")
 
 
 @query("select problem, count(*) as n from (select case when c_custkey % 11 = 0 then 'no name' end as problem from customer union all select case when c_custkey % 17 = 0 then 'forbidden content: /Users/' end from customer union all select case when c_custkey % 19 = 0 then 'forbidden content: BEGIN PRIVATE KEY' end from customer) where problem is not null group by 1")
@@ -375,14 +375,21 @@ def drift_diff(t):
     return validate.drift(before, after, "k", "v")
 
 
-@query("select item_id, sha256(text) as digest from benchmark")
+_DIGEST = ", ".join(f"coalesce(sum(('0x' || substr(d, {1 + 12 * i}, 12))::bigint::hugeint), 0) as w{i}" for i in range(4))
+
+
+@query(f"select sha256(concat_ws(':', n, w0, w1, w2, w3)) as content_hash from (select count(*) as n, {_DIGEST} from (select sha256(json_object('p_partkey', p_partkey, 'p_name', p_name, 'p_size', p_size)) as d from part))")
 def content_hash(t):
-    return t("benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    rows = t("part").select("p_partkey", "p_name", "p_size", F.lit("now").alias("generated_at"))
+    return validate.content_hash(rows)
+
 
+_ESCAPES = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
 
-@query("select item_id, '&lt;b title=&quot;' || item_id || '&quot;&gt;' || left(text, 20) || '&amp;&#39;' as escaped from benchmark")
+
+@query(f"select item_id, '&lt;b title=&quot;' || item_id || '&quot;&gt;' || {_ESCAPES} || '&amp;&#39;' as escaped from benchmark")
 def escape_html(t):
-    text = F.concat(F.lit('<b title="'), F.col("item_id").cast("string"), F.lit('">'), F.substring("text", 1, 20), F.lit("&'"))
+    text = F.concat(F.lit('<b title="'), F.col("item_id").cast("string"), F.lit('">'), F.col("text"), F.lit("&'"))
     return t("benchmark").select("item_id", fn.escape_html(text).alias("escaped"))
 
 
@@ -454,12 +461,142 @@ def score_factors(t):
         .when(i % 5 == 2, F.concat(F.lit('{"status": true, "recency_points": '), k, F.lit("}"))).otherwise(F.concat(F.lit('{"status": "", "recency_points": '), k, F.lit("}")))
     )
     factors = snapshot.score_factors(text)
-    value = lambda key: fn.factor_text(F.lit(key), fn.clean_text(F.try_variant_get(F.get(F.map_values(F.map_filter(factors, lambda k, _: k == key)), 0), "$", "string")))
+    value = lambda key: fn.factor_text(F.lit(key), F.try_variant_get(F.try_element_at(factors, F.lit(key)), "$", "string"))
     return t("events").select("event_id", value("recency_points").alias("recency"), value("status").alias("status"))
 
 
 @query("select p_type, string_agg(c, ',' order by c) as leaked from (select distinct p_type, c from (select p_type, case when p_partkey % 2 = 0 then 'token' else 'p_name' end as c from part) where c in ('token')) group by 1")
 def key_intersection(t):
     keys = F.array(F.when(F.col("p_partkey") % 2 == 0, "token").otherwise("p_name"))
-    leaked = F.array_intersect(keys, F.array(*(F.lit(k) for k in validate.BANNED_KEYS)))
-    return t("part").select("p_type", F.explode(leaked).alias("c")).groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("c")), ",").alias("leaked"))
+    return t("part").select("p_type", F.explode(validate.banned_among(keys)).alias("c")).groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("c")), ",").alias("leaked"))
+
+
+_K = "(select *, c_custkey as k from customer)"
+_EVENTS = f"""(select 'c' || k as id, case k % 7 when 0 then 1 when 1 then 0 end as simulation, case when k % 11 = 0 then '  ' else ' ' || c_name || ' ' end as preferred_name,
+case k % 13 when 0 then 'MERGED' when 1 then 'merged' when 2 then null else 'new' end as status, case when k % 17 > 0 then '2024-01-' || lpad(cast(1 + k % 28 as varchar), 2, '0') || ' ' || lpad(cast(k % 24 as varchar), 2, '0') || ':30:00.25' end as updated_at,
+'2023-12-' || lpad(cast(1 + k % 30 as varchar), 2, '0') || 'T00:00:00Z' as discovery_time, case when k % 19 > 0 then cast(k % 101 as double) end as priority_score,
+case k % 4 when 0 then ' optical ' when 1 then null else c_mktsegment end as primary_messenger, case when k % 5 > 0 then 'S' || (k % 6) end as discovery_survey from {_K})"""
+_OBSERVED = """(select o_orderkey as id, 'c' || o_custkey as event_id, 'p' || (o_orderkey % 5) as provider, case when o_orderkey % 6 > 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') end as observed_at
+from orders where o_orderstatus in ('F', 'O') and o_orderkey % 5 <> 0)"""
+_ROOTS = f"(select * from {_EVENTS} where simulation is null or simulation = 0 order by coalesce(updated_at, discovery_time) desc nulls last, id limit 1000)"
+_KEPT = f"""(select trim(preferred_name) as name, status, trim(primary_messenger) as primary_messenger, priority_score as score, left(replace(updated_at, ' ', 'T'), 19) || 'Z' as updated_at, discovery_time, id
+from {_ROOTS} where lower(coalesce(status, '')) <> 'merged' and trim(preferred_name) <> '')"""
+_SHOWN = f"""(select name, status, primary_messenger, score, updated_at, discovery_time, id, coalesce(n, 0) as n, observed from {_KEPT} left join
+(select event_id, count(*) as n, string_agg(coalesce(observed_at, '-'), ' ' order by observed_at desc nulls last, id) as observed from {_OBSERVED} group by 1) on event_id = id)"""
+
+
+def _tables(t) -> dict[str, DataFrame]:
+    """A catalogue made of the driver's tables: customers as events, orders as observations and aliases, regions as sources."""
+    tables = empty_catalogue(t("nation").sparkSession)
+    k, two = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 2, "0")
+
+    def made(name: str, rows: DataFrame, **columns) -> None:
+        shown = [(columns[c].cast(kind) if c in columns else F.lit(None).cast(kind)).alias(c) for c, kind in tables[name].dtypes]
+        tables[name] = rows.select(*shown)
+
+    made(
+        "events", t("customer"), id=F.concat(F.lit("c"), k.cast("string")), simulation=F.when(k % 7 == 0, 1).when(k % 7 == 1, 0),
+        preferred_name=F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))),
+        status=F.when(k % 13 == 0, "MERGED").when(k % 13 == 1, "merged").when(k % 13 != 2, "new"),
+        updated_at=F.when(k % 17 > 0, F.concat(F.lit("2024-01-"), two(1 + k % 28), F.lit(" "), two(k % 24), F.lit(":30:00.25"))),
+        discovery_time=F.concat(F.lit("2023-12-"), two(1 + k % 30), F.lit("T00:00:00Z")), priority_score=F.when(k % 19 > 0, (k % 101).cast("double")),
+        primary_messenger=F.when(k % 4 == 0, " optical ").when(k % 4 > 1, F.col("c_mktsegment")), discovery_survey=F.when(k % 5 > 0, F.concat(F.lit("S"), (k % 6).cast("string"))),
+    )
+    o, event = F.col("o_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    made(
+        "observations", t("orders"), id=o, event_id=event, provider=F.concat(F.lit("p"), (o % 5).cast("string")), observed_at=F.when(o % 6 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")),
+        data_rights=F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "open").otherwise("restricted"), superseded=F.when(o % 5 == 0, 1).when(o % 5 == 1, 0),
+    )
+    made("aliases", t("orders").filter("o_orderkey % 4 = 0"), event_id=event, provider=F.lit("TNS"), external_id=F.concat(F.lit("AT"), (2000 + o % 3).cast("string"), F.lit("ab")))
+    r = F.col("r_regionkey")
+    made(
+        "sources", t("region"), id=F.concat(F.lit("p"), r.cast("string")), display_name=F.col("r_name"), data_types=F.lit('["a", "b"]'), runtime_state=F.when(r > 0, "ok"),
+        lag_seconds=r / 3, enabled=r % 2,
+    )
+    return tables
+
+
+_LINKED = "(select 'c' || o_custkey as event_id, string_agg(distinct 'TNS:AT' || (2000 + o_orderkey % 3) || 'ab', ' ' order by 'TNS:AT' || (2000 + o_orderkey % 3) || 'ab') as links from orders where o_orderkey % 4 = 0 group by 1)"
+
+
+@query(f"select name, status, primary_messenger, score, updated_at, discovery_time, n as n_observations, observed, links from {_SHOWN} left join {_LINKED} on event_id = id")
+def snapshot_candidates(t):
+    shown = snapshot.candidates(_tables(t), 1000)
+    times = F.array_join(F.transform("follow_up.observations", lambda x: F.coalesce(x["observed_at"], F.lit("-"))), " ")
+    named = F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["label"], x["designation"])), " ")
+    return shown.select(
+        "name", "status", "primary_messenger", "score", "updated_at", "discovery_time", F.col("follow_up_counts.observations").alias("n_observations"), times.alias("observed"), named.alias("links")
+    )
+
+
+@query(f"""select count(*) as public_candidates, 0 as classifications, cast(coalesce(sum(n), 0) as bigint) as observations, 0 as spectra, 0 as messenger_signals, 0 as publications, count(*) filter (where n > 0) as candidates_with_follow_up,
+(select count(*) from {_EVENTS} where simulation is null or simulation = 0) as real_events, count(*) as published, (select count(*) from {_ROOTS}) - count(*) as skipped from {_SHOWN}""")
+def snapshot_statistics(t):
+    return snapshot.snapshot(_tables(t), 1000).statistics
+
+
+@query(f"select coalesce(primary_messenger, 'unknown') as messenger, count(*) as n, 100.0 * count(*) / max(count(*)) over () as bar from {_SHOWN} group by 1")
+def snapshot_messengers(t):
+    return rollups.bars(snapshot.snapshot(_tables(t), 1000).messengers)
+
+
+@query(f"""select b.band, count(e.band) as n from (values ('urgent_75_100'), ('high_50_74'), ('routine_25_49'), ('low_0_24')) as b(band) left join
+(select case when coalesce(score, 0) >= 75 then 'urgent_75_100' when score >= 50 then 'high_50_74' when score >= 25 then 'routine_25_49' else 'low_0_24' end as band from {_SHOWN}) e on e.band = b.band group by 1""")
+def snapshot_bands(t):
+    return snapshot.snapshot(_tables(t), 1000).bands
+
+
+@query(f"select row_number() over (order by coalesce(updated_at, discovery_time) desc, name) as place, name, updated_at, n as n_observations from {_SHOWN} order by 1 limit 20")
+def snapshot_recent(t):
+    return snapshot.snapshot(_tables(t), 1000).recent.select(F.col("place").cast("long").alias("place"), "name", "updated_at", F.col("follow_up_counts.observations").alias("n_observations"))
+
+
+@query(f"select row_number() over (order by coalesce(updated_at, discovery_time) desc, name) as place, name from {_SHOWN} order by 1 limit 3")
+def stream_top(t):
+    return browse.stream_top(snapshot.recent_stream(snapshot.candidates(_tables(t), 1000))).select(F.col("place").cast("long").alias("place"), "name")
+
+
+@query(f"select provider, count(*) as observations, count(*) as total from {_OBSERVED} group by 1")
+def snapshot_providers(t):
+    return snapshot.snapshot(_tables(t), 1000).providers.select("provider", "observations", "total")
+
+
+@query(f"select discovery_survey as survey, count(*) as candidate_count from {_EVENTS} where (simulation is null or simulation = 0) and status <> 'merged' and discovery_survey is not null group by 1")
+def snapshot_surveys(t):
+    return snapshot.snapshot(_tables(t), 1000).surveys
+
+
+@query(f"""select 'p' || r_regionkey as source, r_name as label, 'a,b' as data_types, case when r_regionkey > 0 then 'ok' else 'unknown' end as state, round(r_regionkey / 3, 6) as lag_seconds, r_regionkey % 2 = 1 as enabled, n as observations
+from region left join (select provider, count(*) as n from {_OBSERVED} group by 1) on provider = 'p' || r_regionkey""")
+def snapshot_sources(t):
+    shown = snapshot.snapshot(_tables(t), 1000).sources
+    return shown.select("source", "label", F.array_join("data_types", ",").alias("data_types"), "state", "lag_seconds", "enabled", F.col("record_counts.observations").alias("observations"))
+
+
+@query(f"""select trim(preferred_name) as name, priority_score as score, updated_at, case when length(trim(preferred_name)) % 2 = 0 then 'TNS:AT2024ab' end as links from {_EVENTS}
+where (simulation is null or simulation = 0) and trim(preferred_name) <> '' and cast(updated_at as timestamp) >= timestamp '2024-01-25 00:00:00' order by coalesce(priority_score, 0) desc, trim(preferred_name) limit 200""")
+def feed_top(t):
+    rows = _tables(t)["events"].withColumn("preferred_name", F.trim("preferred_name"))
+    other = [c for c, _ in snapshot.FEED_PUBLISHED if c not in rows.columns]
+    alias = lambda provider, external: F.struct(F.lit(provider).alias("provider"), external.alias("external_id"))
+    designation = F.when(F.length("preferred_name") % 2 == 0, "AT2024ab").otherwise("none")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in other}).withColumn("aliases", F.array(alias("internal", F.lit("x")), alias("TNS", designation)))
+    feed = snapshot.feed(rows, F.lit("2024-01-28 00:00:00").cast("timestamp"))
+    return feed.select("name", "score", "updated_at", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["label"], x["designation"])), " ").alias("links"))
+
+
+@query("select problem, count(*) as n from (select case when c_custkey % 11 = 0 then 'no name' end as problem from customer union all select case when c_custkey % 17 = 0 then 'forbidden content: .codex' end from customer) where problem is not null group by 1")
+def feed_check(t):
+    k = F.col("c_custkey")
+    notes = F.concat(F.when(k % 17 == 0, "in .codex ").otherwise("fine "), F.when(k % 19 == 0, "BEGIN PRIVATE KEY").otherwise(""))
+    rows = t("customer").select(F.when(k % 11 != 0, F.col("c_name")).alias("name"), notes.alias("note"))
+    return validate.violations(rows, validate.FORBIDDEN_TEXT_FEED).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, concat_ws('; ', case when event_id % 3 > 0 then 'Recency points=' || json_extract_string(props, '$.k') || '.00' end, case when event_id % 2 = 0 then 'Status override=held' end) as factors from events")
+def factor_labels(t):
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    parts = F.concat_ws(", ", F.when(i % 2 == 0, '"status": " held "').otherwise('"status": " "'), F.when(i % 3 > 0, F.concat(F.lit('"recency_points": '), k)))
+    shown = fn.shown_factors(snapshot.score_factors(F.concat(F.lit("{"), parts, F.lit("}"))))
+    text = F.array_join(F.transform(shown, lambda x: F.concat_ws("=", x["label"], x["value"])), "; ")
+    return t("events").select("event_id", F.coalesce(text, F.lit("")).alias("factors"))

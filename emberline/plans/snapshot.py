@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import clean_number, clean_text, iso_public
 from emberline.operators import rollups, selection
-from emberline.operators.links import FEED_PROVIDERS, SNAPSHOT_PROVIDERS, links
+from emberline.operators.links import FEED_PROVIDERS, links, links_of
 from emberline.sources.readers import json_strings
 
 SCHEMA_VERSION = 2
@@ -72,16 +72,19 @@ def cleaned(name: str, kind: str) -> Column:
 def score_factors(text: Column, cleaned_values: bool = True) -> Column:
     """map<string, variant> of the allowed factors with plain values; null if there are none.
 
-    A value keeps its type: number, text or truth. Text is trimmed and blank text left out.
+    A value keeps its type: number, text or truth. Cleaned: text is trimmed and blank text left out, fractions are rounded.
     """
     parsed = F.try_parse_json(text)
     pairs = []
     for key in FACTORS:
         value = F.try_variant_get(parsed, f"$.{key}", "variant")
-        plain = F.schema_of_variant(value).rlike(r"\A(?:STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT|LONG)\z")
-        shown = F.try_variant_get(parsed, f"$.{key}", "string")
-        kept = plain & (clean_text(shown).isNotNull() if cleaned_values else F.lit(True))
-        pairs.append(F.when(kept, F.struct(F.lit(key).alias("key"), value.alias("value"))))
+        kind = F.schema_of_variant(value)
+        plain = F.when(kind.rlike(r"\A(?:STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT|LONG)\z"), value)
+        if cleaned_values:
+            string = clean_text(F.try_variant_get(parsed, f"$.{key}", "string")).cast("variant")
+            number = clean_number(F.try_variant_get(parsed, f"$.{key}", "double")).cast("variant")
+            plain = F.when(kind == "STRING", string).when(kind.rlike(r"\A(?:DOUBLE|FLOAT|DECIMAL)"), number).otherwise(plain)
+        pairs.append(F.when(plain.isNotNull(), F.struct(F.lit(key).alias("key"), plain.alias("value"))))
     found = F.array_compact(F.array(*pairs))
     return F.when(F.size(found) > 0, F.map_from_entries(found))
 
@@ -96,14 +99,21 @@ def evidence(tables: dict[str, DataFrame], kind: str) -> DataFrame:
     return tables["publication_event_links"].join(works, F.col("publication_id") == F.col("id"))
 
 
-def candidates(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
-    """The latest real events with links and evidence. Merged and unnamed ones are dropped after the limit, not replaced."""
+def roots(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
+    """The latest real events, with `_kept`: whether they may be published (not merged, and named)."""
     real = tables["events"].filter(selection.unset("simulation"))
-    roots = selection.latest(real, F.coalesce("updated_at", "discovery_time"), ["id"], most)
-    kinds = dict(roots.dtypes)
-    shown = roots.filter(selection.not_merged(F.col("status"))).select(
-        F.col("id").alias("event_id"), *(cleaned(s, kinds[s]).alias(d) for s, d in PUBLISHED), score_factors(F.col("priority_factors")).alias("score_factors")
-    ).filter("name is not null")
+    kept = selection.not_merged(F.col("status")) & clean_text(F.col("preferred_name")).isNotNull()
+    return selection.latest(real, F.coalesce("updated_at", "discovery_time"), ["id"], most).withColumn("_kept", kept)
+
+
+def candidates(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
+    """The latest real events with links and evidence. Merged and unnamed ones are dropped after the limit, not replaced.
+
+    follow_up is null for a candidate without any evidence.
+    """
+    rows = roots(tables, most).filter("_kept")
+    kinds = dict(rows.dtypes)
+    shown = rows.select(F.col("id").alias("event_id"), *(cleaned(s, kinds[s]).alias(d) for s, d in PUBLISHED), score_factors(F.col("priority_factors")).alias("score_factors"))
     lists = {}
     for kind, _, time, _ in EVIDENCE:
         rows = selection.of(evidence(tables, kind), shown, "event_id", "event_id")
@@ -112,25 +122,42 @@ def candidates(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
         lists[kind] = selection.gathered(rows, "event_id", time, "id", fields, kind)
     full = selection.counts(selection.attached(shown, "event_id", lists, "event_id"), list(KINDS))
     aliases = links(selection.of(tables["aliases"], shown, "event_id", "event_id"))
-    return full.join(aliases, "event_id", "left").withColumn("follow_up", F.struct(*KINDS)).drop(*KINDS, "event_id")
+    follow_up = F.when(F.col("follow_up_total") > 0, F.struct(*KINDS))
+    return full.join(aliases, "event_id", "left").withColumn("follow_up", follow_up).drop(*KINDS, "event_id")
 
 
-def snapshot(tables: dict[str, DataFrame], most: int = 5000, recent: int = 20) -> Snapshot:
-    """All sections. Provider counts and the number of real events cover all publishable rows, not only the candidates."""
-    shown = candidates(tables, most)
+def statistics(shown: DataFrame) -> DataFrame:
+    """One row: the candidates, their records of each kind, and how many have any."""
     totals = [F.coalesce(F.sum(f"follow_up_counts.{k}"), F.lit(0)).alias(k) for k in KINDS]
-    statistics = shown.agg(F.count("*").alias("public_candidates"), *totals, F.count_if(F.col("follow_up_total") > 0).alias("candidates_with_follow_up"))
-    real = tables["events"].filter(selection.unset("simulation")).agg(F.count("*").alias("real_events"))
+    return shown.agg(F.count("*").alias("public_candidates"), *totals, F.count_if(F.col("follow_up_total") > 0).alias("candidates_with_follow_up"))
+
+
+def recent_stream(shown: DataFrame, most: int = 20) -> DataFrame:
+    """The latest candidates, by name where equal, with their place."""
     when = F.coalesce(F.nullif(F.col("updated_at"), F.lit("")), F.nullif(F.col("discovery_time"), F.lit("")), F.lit(""))
-    stream = shown.orderBy(when.desc(), "name").limit(recent).select(
-        "name", "updated_at", "discovery_time", "classification", "primary_messenger", "score", "follow_up_counts"
-    )
+    top = shown.withColumn("_when", when).orderBy(F.desc("_when"), "name").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("_when"), "name"))  # of at most `most` rows
+    return top.select(place.alias("place"), "name", "updated_at", "discovery_time", "classification", "primary_messenger", "score", "follow_up_counts")
+
+
+def snapshot(tables: dict[str, DataFrame], most: int = 5000, recent: int = 20, store: str | None = None) -> Snapshot:
+    """All sections. Provider counts and the number of real events cover all publishable rows, not only the candidates.
+
+    With `store`, a folder that all executors share, the candidates are stored there once and all sections read them back.
+    """
+    shown = candidates(tables, most)
+    if store is not None:
+        shown.write.parquet(f"{store}/candidates")
+        shown = shown.sparkSession.read.parquet(f"{store}/candidates")
+    real = tables["events"].filter(selection.unset("simulation")).agg(F.count("*").alias("real_events"))
+    skipped = roots(tables, most).agg(F.count_if("_kept").alias("published"), F.count_if(~F.col("_kept")).alias("skipped"))
     by_kind = {k: evidence(tables, k) for k in KINDS if k != "publications"}
     by_kind["publications"] = tables["publication_event_links"].join(selection.public(tables["publications"]), F.col("publication_id") == F.col("id"))
     counted = rollups.by_provider(by_kind)
     return Snapshot(
-        shown, statistics.crossJoin(real), rollups.histogram(shown, F.col("primary_messenger"), "messenger"), rollups.bands(shown, F.col("score")), stream,
-        sources(tables["sources"], counted), rollups.ranked_providers(counted, list(KINDS)), rollups.surveys(tables["events"]),
+        shown, statistics(shown).crossJoin(real).crossJoin(skipped), rollups.histogram(shown, F.col("primary_messenger"), "messenger"),
+        rollups.bands(shown, F.col("score")), recent_stream(shown, recent), sources(tables["sources"], counted), rollups.ranked_providers(counted, list(KINDS)),
+        rollups.surveys(tables["events"]),
     )  # one-row frames are crossed
 
 
@@ -154,9 +181,20 @@ def feed(summaries: DataFrame, as_of: Column, hours: float = 72.0, most: int = 2
     """
     age = F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp("updated_at"))
     rows = summaries.filter(selection.unset("simulation") & (F.coalesce("preferred_name", F.lit("")) != "") & (age <= hours * 3.6e9))
-    rows = rows.withColumn("_key", F.xxhash64(F.to_json(F.struct("preferred_name", "updated_at", "ra_deg", "dec_deg"))))
     kinds = dict(rows.dtypes)
     known = lambda c: F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.when(~F.isnan(c), F.col(c)) if kinds[c] == "double" else F.col(c)
-    shown = rows.select("_key", *(known(s).alias(d) for s, d in FEED_PUBLISHED), score_factors(F.col("priority_factors"), False).alias("score_factors"))
-    named = links(rows.select("_key", F.explode("aliases").alias("a")).select("_key", "a.provider", "a.external_id"), FEED_PROVIDERS, "_key", strict=True, distinct=False)
-    return shown.join(named, "_key", "left").drop("_key").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "name").limit(most)
+    named = links_of(F.col("aliases"), FEED_PROVIDERS, strict=True).alias("links")
+    shown = rows.select(*(known(s).alias(d) for s, d in FEED_PUBLISHED), score_factors(F.col("priority_factors"), False).alias("score_factors"), named)
+    return shown.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "name").limit(most)
+
+
+def document(rows: DataFrame, order: list[Column], **fields: Column) -> DataFrame:
+    """One JSON document in `value`: the given fields, the number of rows, and the rows in order as `candidates`.
+
+    rows are the candidates of a snapshot or a feed, so many at most as its limit says.
+    """
+    placed = rows.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    columns = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+    every = F.array_sort(F.collect_list(F.struct("_place", columns)), lambda a, b: a["_place"] - b["_place"])
+    made = placed.agg(F.count("*").alias("candidate_count"), F.transform(every, lambda x: x["row"]).alias("candidates"))
+    return made.select(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()), "candidate_count", "candidates")).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,17 @@ def fact_sheet(spark: SparkSession, folder: str, suffix: str = ".md") -> DataFra
     )
 
 
+def file_counts(spark: SparkSession, folder: str, kinds: dict[str, str]) -> DataFrame:
+    """(kind, n): how many files under folder match each kind's regular expression on their path (tests, modules, documents)."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", r"\A.*?" + re.escape(folder.rstrip("/")), "").alias("path"))
+    return names.agg(*(F.count_if(F.col("path").rlike(p)).alias(k) for k, p in kinds.items())).unpivot([], list(kinds), "kind", "n")
+
+
+def settings(text: Column, *keys: str) -> Column:
+    """struct of `key = "value"` lines of a settings file; null for missing keys."""
+    return F.struct(*(F.nullif(F.regexp_extract(text, rf'(?m)^{re.escape(k)}\s*=\s*"([^"]+)"', 1), F.lit("")).alias(k) for k in keys))
+
+
 def stamped(template: Column, facts: dict[str, Column], attribute: str = "data-fact") -> Column:
     """template with the content of each <span {attribute}="KEY"> replaced by its fact."""
     out = template

@@ -1,4 +1,4 @@
-"""Writing a snapshot: checked, staged, and swapped in only if its content changed."""
+"""Writing a snapshot: checked, staged as a new version, and made current by one atomic rename if its content changed."""
 
 from __future__ import annotations
 
@@ -9,29 +9,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators.validate import check, content_hash
-from emberline.plans.snapshot import SCHEMA_VERSION, Snapshot
+from emberline.plans.snapshot import SCHEMA_VERSION, Snapshot, document
+
+#: What the documents say about themselves.
+ORIGIN, CADENCE = "local-snapshot", "about every 2 minutes"
 
 
 def _fs(spark: SparkSession, path: str):
     """The file system that holds path, and the path, through Spark's own connectors."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, jvm.org.apache.hadoop.fs.Path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the current version, or None before the first."""
+    fs, pointer = _fs(spark, f"{folder}/current")
+    return f"{folder}/{spark.read.text(f'{folder}/current').first()['value']}" if fs.exists(pointer) else None
 
 
 def last_hash(spark: SparkSession, folder: str) -> str | None:
-    fs, path, _ = _fs(spark, f"{folder}/status")
-    if not fs.exists(path):
-        return None
-    row = spark.read.json(f"{folder}/status").select("content_hash").first()
-    return row["content_hash"] if row else None
+    version = current(spark, folder)
+    return None if version is None else spark.read.json(f"{version}/status.json").select("content_hash").first()["content_hash"]
+
+
+def _single(rows: DataFrame, path: str) -> None:
+    """Rows of text as one file named path."""
+    spark = rows.sparkSession
+    rows.coalesce(1).write.text(f"{path}.parts")
+    fs, parts = _fs(spark, f"{path}.parts")
+    made = fs.globStatus(_fs(spark, f"{path}.parts/part-*")[1])[0].getPath()
+    fs.rename(made, _fs(spark, path)[1])
+    fs.delete(parts, True)
+
+
+def _point(spark: SparkSession, folder: str, version: str) -> None:
+    """Replace the pointer by one rename, so readers see the old version or the new one, and never none."""
+    _single(spark.createDataFrame([(version,)], "value string"), f"{folder}/{version}-pointer")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    source, target = hadoop.Path(f"{folder}/{version}-pointer"), hadoop.Path(f"{folder}/current")
+    hadoop.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, overwrite)
+
+
+def _as_json(rows: DataFrame, name: str) -> DataFrame:
+    """One row: a section's rows as an array of structs, named."""
+    return rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
 
 
 def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool = False, degraded: bool = False) -> dict:
-    """Check and write all sections as JSON under folder; what was there stays if nothing changed, or if the run is degraded.
+    """Check and write a version: candidates.json and status.json, one document each, and all sections as tables.
 
-    Sections are written in parallel by Spark to a staging folder next to the target, then renamed.
-    Fails with Rejected, before anything is written, if the candidates fail their checks.
+    What was current stays if nothing changed, or if the run is degraded; the version before stays for its readers, older ones
+    go. Candidates are best stored once (`snapshot(..., store=...)`), since checks, hash, count and documents all read
+    them. Fails with Rejected, before anything is written, if the candidates fail their checks.
     """
     spark = snapshot.candidates.sparkSession
     check(snapshot.candidates, SCHEMA_VERSION, SCHEMA_VERSION)
@@ -39,23 +70,29 @@ def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool =
     summary = {"content_hash": digest, "candidate_count": snapshot.candidates.count(), "written": False, "degraded": degraded}
     if dry_run:
         return summary
-    unchanged = digest == last_hash(spark, folder)
-    if unchanged or (degraded and last_hash(spark, folder) is not None):
+    before = current(spark, folder)
+    if before is not None and (degraded or digest == last_hash(spark, folder)):
         return summary
-    staging = f"{folder}-staging-{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
     for section in fields(snapshot):
-        rows: DataFrame = getattr(snapshot, section.name)
-        rows.write.json(f"{staging}/{section.name}")
+        getattr(snapshot, section.name).write.json(f"{folder}/{version}/{section.name}")
+    lit = lambda **values: {k: F.lit(v) for k, v in values.items()}
+    shared = lit(schema_version=SCHEMA_VERSION, origin=ORIGIN, cadence=CADENCE)
+    newest = [F.coalesce("updated_at", "discovery_time").desc_nulls_last(), F.col("name")]
+    _single(document(snapshot.candidates, newest, **shared, **lit(generated_at=generated_at, degraded=degraded)), f"{folder}/{version}/candidates.json")
+    parts = {"statistics": snapshot.statistics, "sources": snapshot.sources, "surveys": snapshot.surveys, "recent_stream": snapshot.recent}
     status = spark.range(1).select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("degraded" if degraded else "ok").alias("pipeline_status"), F.lit(generated_at).alias("last_successful_update"),
+        *(c.alias(k) for k, c in shared.items()), F.lit("degraded" if degraded else "ok").alias("pipeline_status"), F.lit(generated_at).alias("last_successful_update"),
         F.lit(summary["candidate_count"]).alias("candidate_count"), F.lit(digest).alias("content_hash"),
     )
-    status.coalesce(1).write.json(f"{staging}/status")
-    fs, target, path = _fs(spark, folder)
-    old = path(f"{folder}-old-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(path(staging), target)
-    if fs.exists(old):
-        fs.delete(old, True)
+    for name, rows in parts.items():
+        status = status.crossJoin(_as_json(rows, name))  # one-row frames
+    _single(status.select(F.to_json(F.struct(*status.columns)).alias("value")), f"{folder}/{version}/status.json")
+    _point(spark, folder, version)
+    fs, root = _fs(spark, folder)
+    keep = {version, before.rsplit("/", 1)[-1] if before else version}
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name.startswith("v-") and name not in keep:
+            fs.delete(entry.getPath(), True)
     return summary | {"written": True}

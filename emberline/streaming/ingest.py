@@ -25,12 +25,18 @@ def merged(old: DataFrame | None, new: DataFrame, key: str = "event_id", time: s
 
 
 def keep_latest(rows: DataFrame, table: str, checkpoint: str, key: str = "event_id", time: str = "retrieved_at", tie: str = "revision", once: bool = True, every: str = "2 minutes") -> StreamingQuery:
-    """Upsert into versioned folders table/v=<batch>; a repeated batch rewrites its own version alone, so replays are exact."""
+    """Upsert into versioned folders table/v=<batch>; a repeated batch rewrites its own version alone, so replays are exact.
+
+    A batch needs the version before it, and readers may still hold that one; older versions are removed.
+    """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{table}/v={batch_id - 1}") if batch_id else None
         merged(old, batch, key, time, tie).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        if batch_id > 1:
+            old_path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={batch_id - 2}")
+            old_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old_path, True)
 
     writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

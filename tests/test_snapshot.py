@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from emberline.operators import rollups, validate
 from emberline.operators.links import FEED_PROVIDERS, links
 from emberline.plans import snapshot as plan
-from emberline.sources.readers import empty_catalogue, fact_sheet, stamped
+from emberline.sources.readers import empty_catalogue, fact_sheet, file_counts, settings, stamped
 from emberline.sources.schemas import TABLES
-from emberline.sources.sinks import publish
+from emberline.sources.sinks import current, publish
 
 
 def rows(spark, table, *dicts):
@@ -65,9 +66,9 @@ def test_candidates(spark, tables):
     assert len(found["N5"]["links"]) == 6
     assert [x["observed_at"] for x in one["follow_up"]["observations"]] == ["2024-01-02T00:00:00Z"] * 2 + ["2024-01-01T00:00:00Z", None]
     assert [x["title"] for x in one["follow_up"]["publications"]] == ["t2"]
-    assert one["follow_up_total"] == 5 and found["N7"]["follow_up_total"] == 0 and found["N7"]["follow_up"]["spectra"] == []
+    assert one["follow_up_total"] == 5 and found["N7"]["follow_up_total"] == 0 and found["N7"]["follow_up"] is None and one["follow_up"]["spectra"] == []
     factors = plan.candidates(tables).filter("name in ('N7', 'N8')").select("name", F.to_json("score_factors").alias("f")).collect()
-    assert {r["name"]: json.loads(r["f"]) if r["f"] else None for r in factors} == {"N7": {"recency_points": 3.5, "status": " x "}, "N8": None}
+    assert {r["name"]: json.loads(r["f"]) if r["f"] else None for r in factors} == {"N7": {"recency_points": 3.5, "status": "x"}, "N8": None}
 
 
 def test_limit_comes_before_filters(tables):
@@ -78,6 +79,7 @@ def test_sections(spark, tables):
     made = plan.snapshot(tables)
     stats = made.statistics.first()
     assert (stats["real_events"], stats["public_candidates"], stats["observations"], stats["publications"], stats["candidates_with_follow_up"]) == (7, 4, 4, 1, 1)
+    assert (stats["published"], stats["skipped"]) == (4, 3)
     assert {r["band"]: r["n"] for r in made.bands.collect()} == {"urgent_75_100": 1, "high_50_74": 0, "routine_25_49": 1, "low_0_24": 2}
     assert {r["messenger"]: r["n"] for r in made.messengers.collect()} == {"optical": 1, "unknown": 3}
     assert {r["provider"]: r["total"] for r in made.providers.collect()} == {"p": 5, "gcn": 2}
@@ -95,11 +97,18 @@ def test_empty(spark):
 def test_publish(spark, tables, tmp_path):
     made, folder = plan.snapshot(tables), str(tmp_path / "out")
     assert publish(made, folder, "2024-01-01T00:00:00Z", dry_run=True)["written"] is False and not (tmp_path / "out").exists()
-    first = publish(made, folder, "2024-01-01T00:00:00Z")
-    assert first["written"] and spark.read.json(f"{folder}/candidates").count() == 4
+    first = publish(plan.snapshot(tables, store=str(tmp_path / "store")), folder, "2024-01-01T00:00:00Z")
+    version = current(spark, folder)
+    assert first["written"] and spark.read.json(f"{version}/candidates").count() == 4
+    whole = json.loads(Path(version, "candidates.json").read_text())
+    assert (whole["schema_version"], whole["candidate_count"], whole["degraded"], whole["generated_at"]) == (2, 4, False, "2024-01-01T00:00:00Z")
+    assert [c["name"] for c in whole["candidates"]] == ["N8", "N7", "N5", "N1"] and len(whole["candidates"][3]["follow_up"]["observations"]) == 4
+    status = json.loads(Path(version, "status.json").read_text())
+    assert status["statistics"][0]["skipped"] == 3 and status["content_hash"] == first["content_hash"] and len(status["surveys"]) == 2
     assert publish(made, folder, "2024-01-02T00:00:00Z")["written"] is False
     assert publish(plan.snapshot(tables, 2), folder, "2024-01-03T00:00:00Z", degraded=True)["written"] is False
-    assert publish(plan.snapshot(tables, 2), folder, "2024-01-03T00:00:00Z")["written"]
+    assert publish(plan.snapshot(tables, 2), folder, "2024-01-03T00:00:00Z")["written"] and current(spark, folder) != version and Path(version).exists()
+    assert publish(made, folder, "2024-01-04T00:00:00Z")["written"] and not Path(version).exists() and len(list(Path(folder).glob("v-*"))) == 2
     with pytest.raises(validate.Rejected):
         publish(plan.Snapshot(made.candidates.withColumn("token", F.lit(1)), *[getattr(made, f) for f in ("statistics", "messengers", "bands", "recent", "sources", "providers", "surveys")]), folder, "x")
 
@@ -133,6 +142,12 @@ def test_facts_and_drift(spark, tmp_path):
     (tmp_path / "a.md").write_text("# One\ntext *b*\n## Two\n")
     sheet = fact_sheet(spark, str(tmp_path)).collect()
     assert sheet[0]["headings"] == ["One", "Two"] and len(sheet[0]["sha256"]) == 64
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "tests" / "test_a.py").write_text("x")
+    counts = {r["kind"]: r["n"] for r in file_counts(spark, str(tmp_path), {"tests": r"/tests/test_[^/]*\.py$", "docs": r"\.md$", "none": "zzz"}).collect()}
+    assert counts == {"tests": 1, "docs": 1, "none": 0}
+    made = spark.createDataFrame([('name = "e"\nversion = "1.2"',)], "t string").select(settings(F.col("t"), "version", "missing").alias("s")).first()["s"]
+    assert made["version"] == "1.2" and made["missing"] is None
     page = spark.createDataFrame([('x <span data-fact="n">1</span>',)], "t string").select(stamped(F.col("t"), {"n": F.lit(42)}).alias("t")).first()["t"]
     assert page == 'x <span data-fact="n">42</span>'
     a, b = (spark.createDataFrame(r, "k string, v string") for r in ([("x", "1"), ("y", "1")], [("y", "2"), ("z", "1")]))
