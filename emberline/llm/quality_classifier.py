@@ -28,7 +28,7 @@ from emberline.llm.common import packed_rows
 from emberline.llm.features import PAGE_VIEW, TEXT_VIEW, Linear, sampled, with_features
 
 #: Slots for hashed words and pairs, and how much more than the ratios their weights are held back.
-SLOTS = 512
+SLOTS = 256
 _RIDGE = np.r_[np.full(len(TEXT_VIEW), 1e-2), np.full(SLOTS, 0.5)]
 
 
@@ -99,23 +99,25 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_po
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [np.bincount(terms, minlength=SLOTS) / max(1, len(terms)) for terms in batch["terms"]]
-            yield batch.assign(terms=[c.astype(np.float32) for c in counts])
+            yield batch.assign(terms=[c.astype(np.float32).tobytes() for c in counts])
 
-    def gathered(rows: DataFrame, *more: str):
+    def gathered(rows: DataFrame, *more: str) -> tuple[pd.DataFrame, np.ndarray]:
+        """The rows without their content, in order of doc_id, and the inputs of the text view."""
         flat = with_features(rows, slots=SLOTS).select("doc_id", *more, "t.*", "p.*", "terms")
         kinds = ", ".join(f"{c} {t}" for c, t in flat.dtypes[:-1])
-        return flat.mapInPandas(shares, f"{kinds}, terms array<float>").toPandas().sort_values(["doc_id", *TEXT_VIEW], ignore_index=True)
+        found = flat.mapInPandas(shares, f"{kinds}, terms binary").toPandas().sort_values(["doc_id", *TEXT_VIEW], ignore_index=True)
+        content = np.frombuffer(b"".join(found.pop("terms")), np.float32).reshape(-1, SLOTS)
+        return found, np.c_[found[list(TEXT_VIEW)].to_numpy(np.float32), content]
 
-    known = gathered(sampled(slim, marks, most_labelled), "_y")
+    known, known_text = gathered(sampled(slim, marks, most_labelled), "_y")
     if known["_y"].nunique() < 2:
         return None
-    pool = gathered(sampled(slim, slim.select("doc_id").distinct(), most_pool, seed=1))
-    pool = pool[~pool["doc_id"].isin(known["doc_id"])]
-    # rows by a hash of the id, so that the held-out third is an arbitrary one
-    known = known.sample(frac=1, random_state=5)
+    pool, pool_text = gathered(sampled(slim, slim.select("doc_id").distinct(), most_pool, seed=1))
+    fresh = ~pool["doc_id"].isin(known["doc_id"]).to_numpy()
+    # in a fixed arbitrary order, so that the held-out third is an arbitrary one
+    order = np.random.default_rng(5).permutation(len(known))
     page = lambda f: f[list(PAGE_VIEW)].to_numpy(float)
-    text = lambda f: np.c_[f[list(TEXT_VIEW)].to_numpy(np.float32), np.stack(f["terms"]) if len(f) else np.zeros((0, SLOTS), np.float32)]
-    return co_train(text(known), page(known), known["_y"].to_numpy(), text(pool), page(pool), rounds)
+    return co_train(known_text[order], page(known)[order], known["_y"].to_numpy()[order], pool_text[fresh], page(pool)[fresh], rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:
