@@ -14,8 +14,9 @@ in blocks by hash. What its size rules out is discarded as soon as it is:
    block are the links.
 
 To lose no component without opening all pairs of a group, in a few rounds the sets of a column first meet in parties of
-about eight, and each opens the entry with the one whose sketch is likest its own; then all entries are opened whose sets
-aren't in one component yet. Columns whose sets are all in one component have nothing left to tell. Sketches only choose
+about sixteen, and each opens up to three entries, with those whose sketches are likest its own among a third each; then all entries are opened whose sets
+aren't in one component yet, if their bounds allow it with all columns folded to 1024 slots: a slot that only one of two sets
+fills holds a shingle that the other misses. Columns whose sets are all in one component have nothing left to tell. Sketches only choose
 what is opened first, so they can't lose a link.
 
 Components are found by stars over stored links. Every stage spreads by hash of shingle or set; the
@@ -43,8 +44,10 @@ from emberline.llm.graph import components
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.random.default_rng(17).integers(0, 2**63, 64, dtype=np.uint64)
-#: Sets of a column that meet each other in a round.
-_PARTY = 8
+#: Sets of a column that meet each other in a round, and how many of those it met a set is checked with.
+_PARTY, _PICKS = 16, 3
+#: Slots of the folded columns.
+_SLOTS = 1024
 #: Up to this many ids (8 bytes each) are broadcast to filter a scan; more are joined by shuffle.
 _BROADCAST_IDS = 500_000
 
@@ -146,6 +149,19 @@ def _sketch(found: np.ndarray) -> int:
     return int(np.int64((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)))
 
 
+def _folded(found: np.ndarray) -> np.ndarray:
+    """The set's columns folded to _SLOTS: a bit for each slot that holds any of its shingles, 64 to a number."""
+    bits = np.zeros(_SLOTS, np.uint8)
+    bits[(found.view(np.uint64) >> np.uint64(12)) % np.uint64(_SLOTS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _can_overlap(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of n and m with folded columns x and y can link: each slot of one alone is a shingle that the other misses."""
+    alone = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda a, b: a + b)
+    return F.least(n - alone(x, y), m - alone(y, x)) >= _least_overlap(n, m, percent)
+
+
 def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is in ids: a broadcast up to a checked size, a shuffled join beyond it."""
     known = ids.filter("doc_id is not null").distinct()
@@ -167,17 +183,17 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
             found = [shingles(t, width, memo) for t in batch["text"]]
             parts = [_block(f, blocks) for f in found]
             columns = {f"x{k}": [f[p == k] for f, p in zip(found, parts, strict=True)] for k in range(blocks)}
-            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "k": [_sketch(f) for f in found], **columns})
+            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "k": [_sketch(f) for f in found], "m": [_folded(f) for f in found], **columns})
 
     names = [f"x{k}" for k in range(blocks)]
     every = F.explode(F.concat(*names)).alias("t")
 
     # a class whose rows all lack a doc_id can't be found by it, so rows without one come along
     named = _restricted(plain, live.select("doc_id")).union(plain.filter("doc_id is null"))
-    full = named.mapInPandas(whole, "s long, k long, " + ", ".join(f"{x} array<long>" for x in names)).dropDuplicates(["s"])
+    full = named.mapInPandas(whole, "s long, k long, m array<long>, " + ", ".join(f"{x} array<long>" for x in names)).dropDuplicates(["s"])
     first = stored(live.select("s", "n").join(full, "s"), folder, "matrix-1")
     again = _lone(first.select("s", every))
-    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", *names), folder, "matrix-2")
+    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", F.col("m").alias("fold"), *names), folder, "matrix-2")
 
     held = matrix.select("s", "n", "k", every)
     often = held.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
@@ -203,24 +219,27 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
 
     for turn in range(rounds + 1):
         columns = open_columns()
-        if turn < rounds:
+        if turn == rounds:
+            columns = columns.join(matrix.select("s", "fold"), "s")
+        else:
             party = F.pmod(F.xxhash64("s", "t", F.lit(turn)), F.ceil(F.col("f") / _PARTY))
             columns = columns.withColumn("g", party).drop("p")
         columns = stored(columns.drop("f"), folder, f"open-{turn}")
         on = ["t", "g"] if turn < rounds else ["t"]
-        other = columns.select(*on, F.col("s").alias("b"), F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("c").alias("_c"), *([] if turn < rounds else [F.col("p").alias("_p")]))
+        other = columns.select(*on, F.col("s").alias("b"), F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("c").alias("_c"), *([] if turn < rounds else [F.col("p").alias("_p"), F.col("fold").alias("_fold")]))
         met = columns.withColumnRenamed("s", "a").join(other, on)
         met = met.filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & _may_link(F.col("n"), F.col("r"), F.col("_n"), F.col("_r"), percent))
         if turn < rounds:
             alike = (64 - F.bit_count(F.col("k").bitwiseXOR(F.col("_k")))).alias("alike")
             seen = met.select("a", "b", F.col("n"), F.col("_n").alias("m"), alike)
             back = seen.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "alike")
-            best = seen.union(back).groupBy("a", "n").agg(F.max(F.struct("alike", "b", "m")).alias("best")).select("a", "n", "best.b", "best.m")
+            best = seen.union(back).groupBy("a", "n", F.pmod("b", F.lit(_PICKS))).agg(F.max(F.struct("alike", "b", "m")).alias("best")).select("a", "n", "best.b", "best.m")
             low = F.col("a") < F.col("b")
             sizes = (F.when(low, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(low, F.col("m")).otherwise(F.col("n")).alias("m"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *sizes).distinct()
         else:
-            pairs = met.filter(~F.arrays_overlap("p", "_p")).select("a", "b", "n", F.col("_n").alias("m"))  # each pair at its first common shingle
+            first = met.filter(~F.arrays_overlap("p", "_p"))  # each pair at its first common shingle
+            pairs = first.filter(_can_overlap(F.col("n"), F.col("_n"), F.col("fold"), F.col("_fold"), percent)).select("a", "b", "n", F.col("_n").alias("m"))
         good = stored(_overlapping(pairs, matrix, percent, blocks), folder, f"links-{turn}")
         if good.isEmpty():
             if turn < rounds:
