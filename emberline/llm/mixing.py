@@ -6,7 +6,10 @@ meet the target. That is non-negative least squares over as many unknowns as doc
 gradient needs only one total per domain: each step is one distributed aggregate of a few sums over
 a compact stored table, and a document's rate is a short expression of its own posteriors. The
 gradient is scaled by the Gram matrix of the posteriors over documents with positive rates (k by k,
-for k domains), and rates are projected to >= 0 after each step.
+for k domains), and rates are projected to >= 0 after each step. Steps end when all targets are met
+within `tolerance` of all tokens, or when one lowers the squared error by less than a twentieth: where a
+target is out of reach (soft memberships leave a little of each domain in every document), further steps
+would only heap the tokens on ever fewer documents. Fit.short says what is left.
 
 Domains by default: `toxic` (label toxic = 1), `junk` (quality = 0) and `clean`. Tokens are words.
 All fitting on labels uses a bounded sample (`most_labelled`); totals and rates use all documents.
@@ -18,6 +21,8 @@ table gives no rows. A target for a domain without any mass can't be met and is
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,22 +83,31 @@ def members(docs: DataFrame, model: Memberships) -> DataFrame:
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after the steps so far: each adds a weighted sum of posteriors and projects."""
-    rate = F.lit(1.0)
-    for step in steps:
-        change = sum((F.col(f"p_{d}") * F.lit(float(s)) for d, s in zip(DOMAINS, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + change)
-    return rate
+    """The rate after the steps so far: each adds a weighted sum of posteriors and projects. One fold, so plans stay small."""
+    if not steps:
+        return F.lit(1.0)
+    each = F.array(*(F.array(*(F.lit(float(s)) for s in step)) for step in steps))
+    change = lambda step: sum((F.col(f"p_{d}") * step[i] for i, d in enumerate(DOMAINS)), F.lit(0.0))
+    return F.aggregate(each, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate + change(step)))
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Steps of the projected gradient, and what they leave: each target less what is reached, as shares of all tokens."""
+
+    steps: list[np.ndarray]
+    short: dict[str, float]
 
 
-def fit(table: DataFrame, targets: dict[str, float], steps: int = 12, tolerance: float = 1e-4) -> list[np.ndarray]:
-    """Steps of the projected gradient, on a table of n_tokens and posteriors. Targets are shares of all tokens."""
+def fit(table: DataFrame, targets: dict[str, float], most_steps: int = 24, tolerance: float = 1e-4, least_gain: float = 0.05) -> Fit:
+    """Fit on a table of n_tokens and posteriors. Targets are shares of all tokens. Each step is one aggregate."""
     k = len(DOMAINS)
-    total, done = None, []
-    for _ in range(steps):
+    done: list[np.ndarray] = []
+    error, left, plain, scale = np.inf, np.zeros(k), False, np.eye(k)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    while True:
         rated = table.withColumn("_r", _rate(done))
         tokens = [F.sum(F.col("_r") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
         gram = [F.sum(F.when(F.col("_r") > 0, F.col("n_tokens") * F.col(f"p_{DOMAINS[i]}") * F.col(f"p_{DOMAINS[j]}")).otherwise(0.0)) for i, j in pairs]
         row = rated.agg(F.sum("n_tokens"), *tokens, *gram).first()
         if not row[0]:
@@ -104,11 +118,20 @@ def fit(table: DataFrame, targets: dict[str, float], steps: int = 12, tolerance:
             matrix[i, j] = matrix[j, i] = g
         short = np.array([targets.get(d, 0.0) * total for d in DOMAINS]) - now
         short[np.diag(matrix) <= 1e-9 * total] = 0.0
-        if np.abs(short).max() <= tolerance * total:
+        if done and (short**2).sum() >= error:  # the projection cost more than the scaled step gained
+            done.pop()
+            if plain:
+                break
+            done.append(left * total / np.trace(scale))  # a plain gradient step is sure to lower the error
+            plain = True
+            continue
+        plain, scale = False, matrix
+        gained, error, left = 1 - (short**2).sum() / error, (short**2).sum(), short / total
+        if np.abs(left).max() <= tolerance or gained < least_gain or len(done) == most_steps:
             break
         # a ridge bounds the step where domains have little or hardly distinct mass
         done.append(np.linalg.solve(matrix + np.eye(k) * 1e-4 * total, short))
-    return done
+    return Fit(done, dict(zip(DOMAINS, left.tolist(), strict=True)))
 
 
 def mix(docs: DataFrame, model: Memberships, targets: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
@@ -116,7 +139,7 @@ def mix(docs: DataFrame, model: Memberships, targets: dict[str, float] | None =
     kept = [c for c in ("doc_id", "source") if c in docs.columns]
     keyed = members(docs, model).select(*kept, "n_tokens", *(f"p_{d}" for d in DOMAINS), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
     table = stored(keyed, shared_folder(docs.sparkSession), "members")
-    return with_rates(table, fit(table, targets or TARGETS)).drop("_h")
+    return with_rates(table, fit(table, targets or TARGETS).steps).drop("_h")
 
 
 def with_rates(table: DataFrame, steps: list[np.ndarray]) -> DataFrame:
@@ -127,10 +150,10 @@ def with_rates(table: DataFrame, steps: list[np.ndarray]) -> DataFrame:
 def resampled(docs: DataFrame, model: Memberships, targets: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """docs, its columns alone, each row as often as its copies say.
 
-    Rates come from the compact stored table; a document's own rate needs only its posteriors, so the
-    texts are read once more and not shuffled.
+    Rows are stored once with their posteriors: the fit reads only the numbers, and rating and copying read plain columns,
+    so no filter or rate repeats the classifier's expressions.
     """
-    table = stored(members(docs, model).select("n_tokens", *(f"p_{d}" for d in DOMAINS)), shared_folder(docs.sparkSession), "members")
-    steps = fit(table, targets or TARGETS)
-    again = with_rates(members(docs, model).withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))), steps)
-    return again.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    rows = members(docs, model).select("_row", "n_tokens", *(f"p_{d}" for d in DOMAINS), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
+    table = stored(rows, shared_folder(docs.sparkSession), "members")
+    rated = with_rates(table, fit(table, targets or TARGETS).steps)
+    return rated.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
