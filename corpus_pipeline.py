@@ -13,9 +13,13 @@ from emberline.llm.common import shared_folder, stored, table
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier doesn't reject."""
+    """Documents that the co-trained quality classifier doesn't reject.
+
+    Scored rows are stored before they are filtered: a filter above them would be pushed down and repeat the features of each text.
+    """
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).filter("quality_kept").select(*docs.columns)
+    scored = stored(quality_classifier.score(docs, model), shared_folder(spark), "scored")
+    return scored.filter("quality_kept").select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
