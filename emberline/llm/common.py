@@ -49,3 +49,9 @@ def packed_rows(docs: DataFrame, *needed: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more, through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

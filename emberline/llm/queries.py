@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import licenses, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
+from emberline.llm import bpe, clustering, licenses, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, resampling, secrets, simhash, toxicity
 from emberline.llm.common import table
 
 
@@ -53,6 +53,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda text: F.sha2(text, 256)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.encoded(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +80,9 @@ QUERIES = {
         op8_secret_scans,
         op9_toxicity,
         op10_mixing,
+        op11_importance_resampling,
+        op12_bpe,
+        op13_centroid_clustering,
     )
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_quality_rules": oracles.QUALITY_RULES}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_quality_rules": oracles.QUALITY_RULES, "op11_importance_resampling": oracles.RESAMPLING, "op13_centroid_clustering": oracles.CLUSTERING}
