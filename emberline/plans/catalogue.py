@@ -6,29 +6,15 @@ top-k. Decimal sums and unique tie-breakers make results exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import scalars as fn
 from emberline.operators import browse, links, rollups, selection, sky, validate
-from emberline.plans import snapshot
+from emberline.plans import catalogue_sources, snapshot  # noqa: F401  the import registers queries
+from emberline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from emberline.sources.readers import empty_catalogue, json_object
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 _LINE_KEY = "l_shipdate desc, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 
