@@ -1,17 +1,10 @@
-"""BPE encoding and decoding through a table of distinct words.
-
-1. Texts are split into words as the tokenizer's normalizer and pre-tokenizer do, many texts at once; a chunk (some texts
-   of one task, `_CHUNK` characters or one longer text) is stored as one row with its texts' words as numbers, and a row for each of its distinct words.
-2. The distinct words of all chunks make a table; each is encoded once.
-3. Decoding is a join of ids with pieces: the ids of the distinct words by position, against the vocabulary, whose size
-   bounds what is broadcast.
-4. Words' ids and pieces go back to the chunks that hold them by a join on the word (a chunk asks for each word once, so that the commonest word of a
-   language is as many rows as there are chunks), and by position to the texts.
+"""BPE encoding and decoding through a table of distinct words (see `wordtable`): words are split, each distinct one is encoded once,
+and ids go back to the texts by position. Decoding joins ids with their pieces: the table of pieces has the vocabulary's size
+and is broadcast. `decoded` does so for any table of ids, by a join of DataFrames.
 
 The split agrees with the tokenizer's because a text of characters from tables that tests hold against it takes a regular expression, and any other text
 the tokenizer's own normalizer and pre-tokenizer. Special tokens in a text are words of their own, as the library has them.
-Decoding joins pieces by one space, which is what the library does for a vocabulary without a decoder; for one with a decoder,
-`decoded` isn't offered.
+Pieces are joined by one space, which is what the library does for a vocabulary without a decoder; one with a decoder is refused.
 
 Cases: null and empty texts have no ids and decode to empty text. Repeated rows and rows without doc_id are rows of their own. Long words and texts are
 encoded whole. An empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
@@ -20,22 +13,18 @@ encoded whole. An empty table gives no rows. Only doc_id and text are read, so o
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shared_folder, stored, texts
+from emberline.llm import wordtable
+from emberline.llm.wordtable import NOT_PLAIN, plain_pattern
 
-#: Characters of a chunk.
-_CHUNK = 4 << 20
-#: Characters that the regular expression splits: up to the end of Latin Extended-B (no compositions among them), dashes and quotes, and the euro.
-_PLAIN = (*range(0x250), *range(0x2010, 0x2028), 0x20AC)
 _splitters: dict = {}
 
 
@@ -43,6 +32,7 @@ class Splitter:
     """Texts to words, as the tokenizer in a file splits them."""
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(vocabulary) as text:
@@ -55,22 +45,10 @@ class Splitter:
         self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        kinds = {"L": [], "N": [], "space": []}
-        for c in sorted({low for c in map(chr, _PLAIN) for low in (c, *c.lower())}):
-            kind = unicodedata.category(c)[0]
-            if c in "\t\n\v\f\r\x85" or kind == "Z":
-                kinds["space"].append(c)
-            elif kind in "LN":
-                kinds[kind].append(c)
-        of = {k: "".join(map(re.escape, cs)) for k, cs in kinds.items()}
-        plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{of['space']}{of['L']}{of['N']}]").replace(r"[\p{L}]", f"[{of['L']}]").replace(r"[\p{N}]", f"[{of['N']}]")
-        if "\\p" in plain:
-            raise ValueError("this vocabulary has another pattern than the split knows")
-        self._plain = re.compile(plain)
-        self._other = re.compile("[^" + "".join(map(re.escape, map(chr, _PLAIN))) + "]")
+        self._plain = plain_pattern(pattern)
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii() or not self._other.search(text):
+        if text.isascii() or not NOT_PLAIN.search(text):
             return self._plain.findall(text.lower())
         return [w for w, _ in self._own.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
 
@@ -79,8 +57,14 @@ class Splitter:
             return self._words(text)
         return [w for part in self._cut.split(text) for w in ([part] if part in self.special else self._words(part))]
 
-    def encoded(self, word: str) -> list[int]:
-        """The ids of one word of the split."""
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of the split."""
+        plain = [w for w in words if w not in self.special and not NOT_PLAIN.search(w)]
+        known = dict(zip(plain, (e.ids for e in self.tokenizer.encode_batch(plain, add_special_tokens=False)), strict=True))
+        return [known[w] if w in known else self._odd(w) for w in words]
+
+    def _odd(self, word: str) -> list[int]:
+        """Past the normalizer, which needn't leave its own result alone outside the plain characters."""
         if word in self.special:
             return [self.special[word]]
         return [t.id for shown, _ in self._bytes.pre_tokenize_str(word) for t in self.tokenizer.model.tokenize(shown)]
@@ -98,56 +82,7 @@ def _default() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def chunks(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of chunks (chunk, doc_ids, sizes, codes) and of their distinct words (chunk, code, word).
-
-    codes holds the numbers of all words of the chunk's texts, little-endian unsigned 32-bit; sizes says how many each text has.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        split, task, n = _splitter(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, held, first = batch.column(0), batch.column(1).to_pylist(), 0
-            while first < len(held):
-                end, chars, words, sizes = first, 0, [], []
-                while end < len(held) and (end == first or chars + len(held[end]) <= _CHUNK):
-                    found = split(held[end])
-                    words += found
-                    sizes.append(len(found))
-                    chars += len(held[end])
-                    end += 1
-                coded = pa.array(words, pa.string()).dictionary_encode()
-                chunk, m = (task << 32) + n, len(coded.dictionary)
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                own = pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), ids.slice(first, end - first))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * (m + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(m), pa.int32())]),
-                        pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary]), pa.concat_arrays([own, pa.nulls(m, own.type)]),
-                        pa.concat_arrays([pa.array([sizes], pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.int32()))]), pa.concat_arrays([pa.array([codes], pa.binary()), pa.nulls(m, pa.binary())]),
-                    ],
-                    ["chunk", "code", "word", "doc_ids", "sizes", "codes"],
-                )
-                first, n = end, n + 1
-
-    plain = texts(docs)
-    return plain.mapInArrow(run, f"chunk long, code int, word string, doc_ids array<{dict(plain.dtypes)['doc_id']}>, sizes array<int>, codes binary")
-
-
-def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """word, ids of distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(vocabulary)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split.encoded(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
-
-
-def pieces(spark, vocabulary: str | None = None) -> DataFrame:
+def pieces(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
     """id, piece: the whole vocabulary."""
     table = _splitter(vocabulary or _default()).tokenizer.get_vocab(with_added_tokens=True)
     return spark.createDataFrame(sorted((i, p) for p, i in table.items()), "id int, piece string")
@@ -164,30 +99,19 @@ def decoded(rows: DataFrame, key: str, vocabulary: str | None = None) -> DataFra
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>), decoded (string) of every document."""
-    vocabulary = vocabulary or _default()
-    folder = shared_folder(docs.sparkSession)
-    split = chunks(docs, vocabulary)
-    split.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    split = docs.sparkSession.read.schema(split.schema).parquet(f"{folder}/chunks")
-    asked = split.filter("word is not null").select("chunk", "code", "word")
-    table = stored(encoded_words(asked.select("word").distinct(), vocabulary), folder, "words")
-    table = stored(table.join(decoded(table, "word", vocabulary), "word"), folder, "table")
-    answers = asked.join(table, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("code", "ids", "decoded"))).alias("_table"))
-    held = split.filter("codes is not null").select("chunk", "doc_ids", "sizes", "codes")
-    joined = held.join(answers, "chunk", "left").select("doc_ids", "sizes", "codes", F.col("_table.ids").alias("ids"), F.col("_table.decoded").alias("decoded"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                doc_ids, sizes, codes, ids, shown = (batch.column(c).slice(row, 1) for c in range(5))
-                sizes = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False))]).astype(np.int32)
-                codes = pa.array(np.frombuffer(codes[0].as_py(), "<u4").astype(np.int64))
-                known = ids.flatten() if len(codes) else pa.array([], pa.list_(pa.int32()))
-                each = known.take(codes)
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))]).astype(np.int32)
-                out = pa.ListArray.from_arrays(pa.array(ends[sizes]), each.flatten())
-                words = (shown.flatten() if len(codes) else pa.array([], pa.string())).take(codes)
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes), words), " ")
-                yield pa.RecordBatch.from_arrays([doc_ids.flatten(), out, text], ["doc_id", "ids", "decoded"])
-
-    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
+    spark, vocabulary = docs.sparkSession, vocabulary or _default()
+    table = spark.sparkContext.broadcast([r["piece"] for r in pieces(spark, vocabulary).orderBy("id").collect()])  # the vocabulary
+
+    def finish(of_words: pa.ListArray):
+        known = pa.array(table.value)
+        shown = pc.binary_join(pa.ListArray.from_arrays(of_words.offsets, known.take(of_words.values)), " ")
+
+        def rows(docs: pa.Array, codes: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+            each = of_words.take(codes)
+            ids = pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[at], pa.int32()), each.values)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), shown.take(codes)), " ")
+            return pa.RecordBatch.from_arrays([docs, ids, text], ["doc_id", "ids", "decoded"])
+
+        return rows
+
+    return wordtable.encoded(docs, lambda: _splitter(vocabulary), finish, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")

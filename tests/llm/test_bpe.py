@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from emberline.llm import bpe
+from emberline.llm import bpe, packing, wordtable
 
 from .helpers import AWKWARD, documents, every_row, prose
 
@@ -43,23 +45,42 @@ def test_encoding_matches_the_library(spark, library):
         agrees(library, text, got[i])
 
 
-def test_chunks_are_cut_without_loss(spark, library):
+def test_chunks_and_buckets_hold_all_words_once(spark):
     texts = [prose(i % 5, 40) for i in range(30)] + ["", None]
-    found = bpe._CHUNK
-    try:
-        bpe._CHUNK = 500
-        rows = [r for r in bpe.chunks(documents(spark, texts).coalesce(1), FILE).collect()]
-    finally:
-        bpe._CHUNK = found
-    # the functions of tasks keep the module's value; all that counts is that every text is in one chunk
-    assert sorted(d for r in rows if r["codes"] is not None for d in r["doc_ids"]) == list(range(32))
-    for r in rows:
-        assert (r["word"] is None) != (r["codes"] is None)
+    rows = wordtable.chunks(documents(spark, texts).repartition(4), lambda: bpe.Splitter(FILE), buckets=16).collect()
+    held = [r for r in rows if r["codes"] is not None]
+    assert sorted(d for r in held for d in r["doc_ids"]) == list(range(32)) and len({r["chunk"] for r in held}) == len(held)
+    split = bpe.Splitter(FILE)
+    for r in held:
+        lists = sorted((x["bucket"], wordtable._listed(x["words"], x["lengths"])) for x in rows if x["chunk"] == r["chunk"] and x["words"])
+        listed, at = [w for _, ws in lists for w in ws], 0
+        assert len(set(listed)) == len(listed)
+        words = dict(zip(np.cumsum(wordtable._spread(r["ranks"]), dtype=np.uint32).tolist(), listed, strict=True))
+        codes = wordtable._decoded(r["codes"], r["more"])
+        for d, n in zip(r["doc_ids"], r["sizes"], strict=True):
+            assert [words[c] for c in codes[at : at + n]] == split(texts[d] or "")
+            at += n
+
+
+def test_texts_go_back_in_slices(monkeypatch):
+    """Small chunks and slices, without Spark: the same ids as in one."""
+    codes, sizes, ids = np.array([1, 0, 300, 300, 1, 0, 0]), [np.array([1, 2, 0]), np.zeros(298, np.uint32)], [np.array([7, 8, 9])]
+    small, large = wordtable._coded(codes)
+    ranks = wordtable._squeezed(np.diff(np.array([0, 300, 1, *range(2, 300)], np.uint32), prepend=np.uint32(0)))  # as the buckets list them
+    columns = {"doc_ids": pa.array([[5, 6, 7, 8]]), "sizes": pa.array([[3, 0, 2, 2]], pa.list_(pa.int32())), "codes": pa.array([small]), "more": pa.array([large]), "ranks": pa.array([ranks])}
+    chunk = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    def finish(of_words):
+        return lambda docs, own, at: pa.RecordBatch.from_arrays([docs, pa.array([sum(of_words.take(own).to_pylist()[a:b], []) for a, b in zip(at, at[1:])], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    for at_once in (1, 2, 100):
+        monkeypatch.setattr(wordtable, "_AT_ONCE", at_once)
+        rows = [r for b in wordtable.in_place(chunk, sizes, ids, finish) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["ids"]) for r in rows] == [(5, [7, 8, 9]), (6, []), (7, [8, 9]), (8, [7, 7])]
 
 
 def test_each_plain_character_splits_as_in_the_library(library):
     split = bpe.Splitter(FILE)
-    for c in map(chr, bpe._PLAIN):
+    for c in map(chr, wordtable.PLAIN):
         for text in (c, f"a{c}b", f"1{c}2", f".{c}!", f"'{c}", f"{c}'s"):
             shown = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
             assert [w for x in split(text) for w, _ in split._bytes.pre_tokenize_str(x)] == shown, (hex(ord(c)), text)
@@ -78,3 +99,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, library):
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in got) == sorted([*[(1, "one</w> two</w>")] * 5, (0, "three</w>"), (2, ""), (2, "four</w>")])
     assert bpe.encoded(docs.filter("1 = 0")).count() == 0
     assert bpe.encoded(docs.filter("doc_id = 2 and text is null")).collect()[0]["ids"] == []
+
+
+def test_pre_tokens_of_packing_are_the_librarys():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    split, rng = packing.Words(public_tokenizers.path("byte_bpe_50k.json")), random.Random(9)
+    texts = [t for c in map(chr, wordtable.PLAIN) for t in (c, f"a{c}b", f"1{c} 2", f". {c}!", f"'{c}", f" {c}  's", f"\n{c}\n")]
+    texts += [t or "" for t in TEXTS] + ["".join(rng.choices("aZé'  \n\t1,.ß'sll\xa0", k=rng.randint(1, 30))) for _ in range(2000)]
+    for text in texts:
+        assert [i for ids in split.encoded(split(text)) for i in ids] == whole.encode(text, add_special_tokens=False).ids, repr(text)
