@@ -77,7 +77,7 @@ def latest_revision(t):
 
 @query("select o_orderpriority, count(*) as n_links, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as price from orders join lineitem on l_orderkey = o_orderkey group by 1")
 def link_publications(t):
-    met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    met = snapshot.linked(t("lineitem"), t("orders"), "l_orderkey", "o_orderkey")
     return met.groupBy("o_orderpriority").agg(F.count("*").alias("n_links"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"))
 
 
@@ -175,20 +175,19 @@ def priority_bands(t):
 
 @query("select count(*) as public_candidates, cast(coalesce(sum(n), 0) as bigint) as n_lines, count(*) filter (where n > 0) as with_follow_up, max(n) as most from (select o_orderkey, count(l_orderkey) as n from orders left join lineitem on l_orderkey = o_orderkey group by 1)")
 def with_follow_up(t):
-    counted = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    each = t("orders").join(counted, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    each = selection.attached_counts(t("orders").select("o_orderkey"), "o_orderkey", {"n": t("lineitem")}, "l_orderkey")
     return each.agg(F.count("*").alias("public_candidates"), F.sum("n").alias("n_lines"), F.count_if(F.col("n") > 0).alias("with_follow_up"), F.max("n").alias("most"))
 
 
 @query("select event_id, event_type, value from events order by ts desc, event_id limit 20")
 def recent_stream(t):
-    return t("events").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "event_type", "value")
+    return selection.latest(t("events"), F.col("ts"), ["event_id"], 20).select("event_id", "event_type", "value")
 
 
 @query("select c_custkey, score from (select c_custkey, c_name, nullif(c_custkey % 50, 7) as score from customer) order by coalesce(score, 0) desc, c_name, c_custkey limit 200")
 def score_order(t):
     rows = t("customer").withColumn("score", F.nullif(F.col("c_custkey") % 50, F.lit(7).cast("long")))
-    return rows.orderBy(F.coalesce("score", F.lit(0)).desc(), "c_name", "c_custkey").limit(200).select("c_custkey", "score")
+    return snapshot.by_score(rows, ["c_name", "c_custkey"], 200).select("c_custkey", "score")
 
 
 def _browsable(t) -> DataFrame:
@@ -562,13 +561,16 @@ def snapshot_sources(t):
 @query(f"""select trim(preferred_name) as name, priority_score as score, updated_at, case when length(trim(preferred_name)) % 2 = 0 then 'TNS:AT2024ab' end as links from {_EVENTS}
 where (simulation is null or simulation = 0) and trim(preferred_name) <> '' and cast(updated_at as timestamp) >= timestamp '2024-01-25 00:00:00' order by coalesce(priority_score, 0) desc, trim(preferred_name) limit 200""")
 def feed_top(t):
+    feed = snapshot.feed(_feed_summaries(t), F.lit("2024-01-28 00:00:00").cast("timestamp"))
+    return feed.select("name", "score", "updated_at", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["label"], x["designation"])), " ").alias("links"))
+
+
+def _feed_summaries(t) -> DataFrame:
     rows = _tables(t)["events"].withColumn("preferred_name", F.trim("preferred_name"))
     other = [c for c, _ in snapshot.FEED_PUBLISHED if c not in rows.columns]
     alias = lambda provider, external: F.struct(F.lit(provider).alias("provider"), external.alias("external_id"))
     designation = F.when(F.length("preferred_name") % 2 == 0, "AT2024ab").otherwise("none")
-    rows = rows.withColumns({c: F.lit(None).cast("string") for c in other}).withColumn("aliases", F.array(alias("internal", F.lit("x")), alias("TNS", designation)))
-    feed = snapshot.feed(rows, F.lit("2024-01-28 00:00:00").cast("timestamp"))
-    return feed.select("name", "score", "updated_at", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["label"], x["designation"])), " ").alias("links"))
+    return rows.withColumns({c: F.lit(None).cast("string") for c in other}).withColumn("aliases", F.array(alias("internal", F.lit("x")), alias("TNS", designation)))
 
 
 @query("select problem, count(*) as n from (select case when c_custkey % 11 = 0 then 'no name' end as problem from customer union all select case when c_custkey % 17 = 0 then 'forbidden content: .codex' end from customer) where problem is not null group by 1")
@@ -586,3 +588,6 @@ def factor_labels(t):
     shown = fn.shown_factors(snapshot.score_factors(F.concat(F.lit("{"), parts, F.lit("}"))))
     text = F.array_join(F.transform(shown, lambda x: F.concat_ws("=", x["label"], x["value"])), "; ")
     return t("events").select("event_id", F.coalesce(text, F.lit("")).alias("factors"))
+
+
+from emberline.plans import catalogue_documents  # noqa: E402, F401  the import registers queries over the tables above

@@ -11,6 +11,7 @@ from emberline.functions.scalars import clean_number, clean_text, iso_public
 from emberline.operators import rollups, selection
 from emberline.operators.links import FEED_PROVIDERS, links, links_of
 from emberline.sources.readers import json_strings
+from emberline.sources.storage import shared_folder, stored
 
 SCHEMA_VERSION = 2
 FEED_VERSION = 1
@@ -45,6 +46,8 @@ EVIDENCE = (
 )
 KINDS = tuple(k for k, *_ in EVIDENCE)
 _PRIVATE = ("id", "event_id", "data_rights", "superseded", "retracted", "simulation", "publication_id")
+#: Up to this many ids of events are broadcast.
+_BROADCAST = 100_000
 _TIMES = ("discovery_time", "first_detection_time", "updated_at", "observed_at", "asserted_at", "published_at")
 
 
@@ -89,14 +92,20 @@ def score_factors(text: Column, cleaned_values: bool = True) -> Column:
     return F.when(F.size(found) > 0, F.map_from_entries(found))
 
 
-def evidence(tables: dict[str, DataFrame], kind: str) -> DataFrame:
-    """The publishable rows of one kind, whichever events they belong to."""
+def evidence(tables: dict[str, DataFrame], kind: str, events: DataFrame | None = None) -> DataFrame:
+    """The publishable rows of one kind, of these events (event_id) or whichever they belong to. A publication without a revision is none."""
     _, table, _, flags = next(e for e in EVIDENCE if e[0] == kind)
+    of = lambda rows: rows if events is None else selection.of(rows, events, "event_id", "event_id")
     if kind != "publications":
-        return selection.public(tables[table], *flags)
+        return of(selection.public(tables[table], *flags))
     newest = selection.latest_revision(tables["publication_revisions"], "publication_id", "retrieved_at", "id").drop("id", "retrieved_at")
     works = selection.public(tables["publications"]).join(newest, F.col("id") == F.col("publication_id")).drop("publication_id")
-    return tables["publication_event_links"].join(works, F.col("publication_id") == F.col("id"))
+    return linked(of(tables["publication_event_links"]), works, "publication_id", "id")
+
+
+def linked(links: DataFrame, works: DataFrame, key: str, work_key: str) -> DataFrame:
+    """Links with the work that each names; links to no work are dropped."""
+    return links.join(works, F.col(key) == F.col(work_key))
 
 
 def roots(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
@@ -106,22 +115,27 @@ def roots(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
     return selection.latest(real, F.coalesce("updated_at", "discovery_time"), ["id"], most).withColumn("_kept", kept)
 
 
-def candidates(tables: dict[str, DataFrame], most: int = 5000) -> DataFrame:
+def candidates(tables: dict[str, DataFrame], most: int = 5000, store: str | None = None) -> DataFrame:
     """The latest real events with links and evidence. Merged and unnamed ones are dropped after the limit, not replaced.
 
-    follow_up is null for a candidate without any evidence.
+    follow_up is null for a candidate without any evidence. The selected events are stored once, in `store` or a new shared folder, and each kind of evidence
+    is joined with their ids (at most `most`, so they are broadcast).
     """
-    rows = roots(tables, most).filter("_kept")
-    kinds = dict(rows.dtypes)
-    shown = rows.select(F.col("id").alias("event_id"), *(cleaned(s, kinds[s]).alias(d) for s, d in PUBLISHED), score_factors(F.col("priority_factors")).alias("score_factors"))
+    chosen = roots(tables, most).filter("_kept")
+    kinds = dict(chosen.dtypes)
+    folder = store or shared_folder(chosen.sparkSession)
+    shown = stored(
+        chosen.select(F.col("id").alias("event_id"), *(cleaned(s, kinds[s]).alias(d) for s, d in PUBLISHED), score_factors(F.col("priority_factors")).alias("score_factors")), f"{folder}/roots"
+    )
+    ids = F.broadcast(shown.select("event_id")) if most <= _BROADCAST else shown
     lists = {}
     for kind, _, time, _ in EVIDENCE:
-        rows = selection.of(evidence(tables, kind), shown, "event_id", "event_id")
+        rows = evidence(tables, kind, ids)
         types = dict(rows.dtypes)
         fields = [cleaned(c, types[c]).alias(c) for c in rows.columns if c not in _PRIVATE]
         lists[kind] = selection.gathered(rows, "event_id", time, "id", fields, kind)
     full = selection.counts(selection.attached(shown, "event_id", lists, "event_id"), list(KINDS))
-    aliases = links(selection.of(tables["aliases"], shown, "event_id", "event_id"))
+    aliases = links(selection.of(tables["aliases"], ids, "event_id", "event_id"))
     follow_up = F.when(F.col("follow_up_total") > 0, F.struct(*KINDS))
     return full.join(aliases, "event_id", "left").withColumn("follow_up", follow_up).drop(*KINDS, "event_id")
 
@@ -145,14 +159,14 @@ def snapshot(tables: dict[str, DataFrame], most: int = 5000, recent: int = 20, s
 
     With `store`, a folder that all executors share, the candidates are stored there once and all sections read them back.
     """
-    shown = candidates(tables, most)
+    shown = candidates(tables, most, store)
     if store is not None:
         shown.write.parquet(f"{store}/candidates")
         shown = shown.sparkSession.read.parquet(f"{store}/candidates")
     real = tables["events"].filter(selection.unset("simulation")).agg(F.count("*").alias("real_events"))
     skipped = roots(tables, most).agg(F.count_if("_kept").alias("published"), F.count_if(~F.col("_kept")).alias("skipped"))
     by_kind = {k: evidence(tables, k) for k in KINDS if k != "publications"}
-    by_kind["publications"] = tables["publication_event_links"].join(selection.public(tables["publications"]), F.col("publication_id") == F.col("id"))
+    by_kind["publications"] = linked(tables["publication_event_links"], selection.public(tables["publications"]), "publication_id", "id")
     counted = rollups.by_provider(by_kind)
     return Snapshot(
         shown, statistics(shown).crossJoin(real).crossJoin(skipped), rollups.histogram(shown, F.col("primary_messenger"), "messenger"),
@@ -185,16 +199,9 @@ def feed(summaries: DataFrame, as_of: Column, hours: float = 72.0, most: int = 2
     known = lambda c: F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.when(~F.isnan(c), F.col(c)) if kinds[c] == "double" else F.col(c)
     named = links_of(F.col("aliases"), FEED_PROVIDERS, strict=True).alias("links")
     shown = rows.select(*(known(s).alias(d) for s, d in FEED_PUBLISHED), score_factors(F.col("priority_factors"), False).alias("score_factors"), named)
-    return shown.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "name").limit(most)
+    return by_score(shown, ["name"], most)
 
 
-def document(rows: DataFrame, order: list[Column], **fields: Column) -> DataFrame:
-    """One JSON document in `value`: the given fields, the number of rows, and the rows in order as `candidates`.
-
-    rows are the candidates of a snapshot or a feed, so many at most as its limit says.
-    """
-    placed = rows.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-    columns = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
-    every = F.array_sort(F.collect_list(F.struct("_place", columns)), lambda a, b: a["_place"] - b["_place"])
-    made = placed.agg(F.count("*").alias("candidate_count"), F.transform(every, lambda x: x["row"]).alias("candidates"))
-    return made.select(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()), "candidate_count", "candidates")).alias("value"))
+def by_score(rows: DataFrame, tie: list[str], most: int) -> DataFrame:
+    """The `most` rows of the highest score (null counts as 0)."""
+    return rows.orderBy(F.coalesce("score", F.lit(0)).desc(), *tie).limit(most)

@@ -1,24 +1,23 @@
-"""Writing a snapshot: checked, staged as a new version, and made current by one atomic rename if its content changed."""
+"""Publishing a snapshot or a feed: checked, written as a new version, and made current by one atomic rename if its content changed.
+
+A version holds candidates.json and status.json. A run that fails at any point leaves the version before; so does a task, since documents
+appear only when their whole write commits (see `documents`), and readers follow the pointer, which moves last.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.validate import check, content_hash
-from emberline.plans.snapshot import SCHEMA_VERSION, Snapshot, document
-
-#: What the documents say about themselves.
-ORIGIN, CADENCE = "local-snapshot", "about every 2 minutes"
-
-
-def _fs(spark: SparkSession, path: str):
-    """The file system that holds path, and the path, through Spark's own connectors."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+from emberline.operators.validate import BANNED_KEYS_FEED, FORBIDDEN_TEXT_FEED, Rejected, check, content_hash, run_status
+from emberline.plans import documents
+from emberline.plans.snapshot import FEED_VERSION, SCHEMA_VERSION, Snapshot
+from emberline.sources.documents import write_documents
+from emberline.sources.storage import file_system as _fs
 
 
 def current(spark: SparkSession, folder: str) -> str | None:
@@ -29,7 +28,7 @@ def current(spark: SparkSession, folder: str) -> str | None:
 
 def last_hash(spark: SparkSession, folder: str) -> str | None:
     version = current(spark, folder)
-    return None if version is None else spark.read.json(f"{version}/status.json").select("content_hash").first()["content_hash"]
+    return None if version is None else _status(spark, version)["content_hash"]
 
 
 def _single(rows: DataFrame, path: str) -> None:
@@ -52,17 +51,27 @@ def _point(spark: SparkSession, folder: str, version: str) -> None:
     hadoop.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, overwrite)
 
 
-def _as_json(rows: DataFrame, name: str) -> DataFrame:
-    """One row: a section's rows as an array of structs, named."""
-    return rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+def _publish(spark: SparkSession, folder: str, rows: DataFrame, sections: dict, before: str | None, extra=None) -> None:
+    """Write a version's documents, point to it, and remove all versions but it and the one before, which may have readers."""
+    version = f"v-{uuid.uuid4().hex}"
+    if extra is not None:
+        extra(f"{folder}/{version}")
+    write_documents(rows, f"{folder}/{version}", sections)
+    _point(spark, folder, version)
+    fs, root = _fs(spark, folder)
+    keep = {version, before.rsplit("/", 1)[-1] if before else version}
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name.startswith("v-") and name not in keep:
+            fs.delete(entry.getPath(), True)
 
 
 def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool = False, degraded: bool = False) -> dict:
-    """Check and write a version: candidates.json and status.json, one document each, and all sections as tables.
+    """Check and write a version: candidates.json and status.json with all their sections, and all sections as tables.
 
-    What was current stays if nothing changed, or if the run is degraded; the version before stays for its readers, older ones
-    go. Candidates are best stored once (`snapshot(..., store=...)`), since checks, hash, count and documents all read
-    them. Fails with Rejected, before anything is written, if the candidates fail their checks.
+    What was current stays if nothing changed, or if the run is degraded. Candidates are best stored once
+    (`snapshot(..., store=...)`), since checks, hash, count and documents all read them. Fails with Rejected, before anything is written,
+    if the candidates fail their checks.
     """
     spark = snapshot.candidates.sparkSession
     check(snapshot.candidates, SCHEMA_VERSION, SCHEMA_VERSION)
@@ -73,26 +82,45 @@ def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool =
     before = current(spark, folder)
     if before is not None and (degraded or digest == last_hash(spark, folder)):
         return summary
-    version = f"v-{uuid.uuid4().hex}"
-    for section in fields(snapshot):
-        getattr(snapshot, section.name).write.json(f"{folder}/{version}/{section.name}")
-    lit = lambda **values: {k: F.lit(v) for k, v in values.items()}
-    shared = lit(schema_version=SCHEMA_VERSION, origin=ORIGIN, cadence=CADENCE)
-    newest = [F.coalesce("updated_at", "discovery_time").desc_nulls_last(), F.col("name")]
-    _single(document(snapshot.candidates, newest, **shared, **lit(generated_at=generated_at, degraded=degraded)), f"{folder}/{version}/candidates.json")
-    parts = {"statistics": snapshot.statistics, "sources": snapshot.sources, "surveys": snapshot.surveys, "recent_stream": snapshot.recent}
-    status = spark.range(1).select(
-        *(c.alias(k) for k, c in shared.items()), F.lit("degraded" if degraded else "ok").alias("pipeline_status"), F.lit(generated_at).alias("last_successful_update"),
-        F.lit(summary["candidate_count"]).alias("candidate_count"), F.lit(digest).alias("content_hash"),
-    )
-    for name, rows in parts.items():
-        status = status.crossJoin(_as_json(rows, name))  # one-row frames
-    _single(status.select(F.to_json(F.struct(*status.columns)).alias("value")), f"{folder}/{version}/status.json")
-    _point(spark, folder, version)
-    fs, root = _fs(spark, folder)
-    keep = {version, before.rsplit("/", 1)[-1] if before else version}
-    for entry in fs.listStatus(root):
-        name = entry.getPath().getName()
-        if entry.isDirectory() and name.startswith("v-") and name not in keep:
-            fs.delete(entry.getPath(), True)
+
+    def tables(version: str) -> None:
+        for section in fields(snapshot):
+            getattr(snapshot, section.name).write.json(f"{version}/{section.name}")
+
+    rows = documents.snapshot_rows(snapshot, generated_at, summary["candidate_count"], digest, degraded)
+    _publish(spark, folder, rows, documents.SNAPSHOT_SECTIONS, before, tables)
     return summary | {"written": True}
+
+
+def _status(spark: SparkSession, version: str) -> dict:
+    return json.loads(spark.read.text(f"{version}/status.json", wholetext=True).first()["value"])
+
+
+def publish_feed(shown: DataFrame, states: DataFrame, folder: str, generated_at: str, hours: float = 72.0, seconds: float = 0.0, failed: bool = False, allow_empty: bool = False) -> dict:
+    """Check and write the feed's candidates.json and status.json from its candidates and the states of its sources.
+
+    A run is degraded if it failed, or if sources are enabled and none is ok. A degraded run keeps the candidates before and writes a status that says so; without
+    any before, it fails with Rejected, unless an empty feed is allowed.
+    """
+    spark = shown.sparkSession
+    told = run_status(states).first()
+    degraded = failed or told["status"] == "degraded"
+    before = current(spark, folder)
+    if degraded and not allow_empty:
+        if before is None:
+            raise Rejected("no usable data and no previous data to keep")
+
+        def keep(version: str) -> None:
+            fs, source = _fs(spark, f"{before}/candidates.json")
+            fs.mkdirs(_fs(spark, version)[1])
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, _fs(spark, f"{version}/candidates.json")[1], False, spark._jsc.hadoopConfiguration())
+
+        rows = documents.retained_rows(spark, states, _status(spark, before), generated_at)
+        _publish(spark, folder, rows, {"status": documents.FEED_SECTIONS["status"]}, before, keep)
+        return {"written": False, "degraded": True, "status": "degraded"}
+    check(shown, FEED_VERSION, FEED_VERSION, BANNED_KEYS_FEED, FORBIDDEN_TEXT_FEED)
+    digest, count = content_hash(shown).first()["content_hash"], shown.count()
+    status = "degraded" if degraded else told["status"]
+    rows = documents.feed_rows(shown, states, generated_at, generated_at, status, count, digest, hours, seconds, degraded)
+    _publish(spark, folder, rows, documents.FEED_SECTIONS, before)
+    return {"written": True, "degraded": degraded, "status": status, "candidate_count": count, "content_hash": digest}
