@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import mollweide
+from emberline.operators import quadtree
 
 
 def window(rows: DataFrame, time: Column, as_of: Column, days: int) -> DataFrame:
@@ -27,28 +26,6 @@ def graticule(spark: SparkSession, width: float, height: float) -> DataFrame:
     return placed(parallels.union(meridians), width, height)
 
 
-def nearest(points: DataFrame, queries: DataFrame, radius: float = 10.0, query: str = "query_id", point: str = "point_id", crowd: int = 8) -> DataFrame:
-    """For each query the nearest point strictly within radius; of equally near ones the least id. (x, y in both.)
-
-    A grid makes it an equal join: a point is sought in its own cell and the eight around. The first grid is so fine that a cell
-    of even spread holds about `crowd` points; a query whose nearest point there is no further than a cell is wide is done, and
-    the others go on to cells four times as wide, up to the radius. So where points lie close, few are met.
-    """
-    cell = lambda c, width: F.floor(F.col(c) / width).cast("long")
-    seen = points.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(cell("x", radius), cell("y", radius))).alias("cells")).first()
-    widths = [radius]
-    while seen["n"] / max(1, seen["cells"]) > crowd * 16 ** (len(widths) - 1) and len(widths) < 16:
-        widths.insert(0, widths[0] / 4)
-    left, done = queries.select(query, "x", "y"), []
-    for width in widths:
-        around = left.select(query, F.col("x").alias("_qx"), F.col("y").alias("_qy"), cell("x", width).alias("_i"), cell("y", width).alias("_j"))
-        around = around.withColumn("_di", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dj", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        around = around.select(query, "_qx", "_qy", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
-        own = points.select(point, "x", "y", cell("x", width).alias("_i"), cell("y", width).alias("_j"))
-        square = (F.col("x") - F.col("_qx")) * (F.col("x") - F.col("_qx")) + (F.col("y") - F.col("_qy")) * (F.col("y") - F.col("_qy"))
-        # all points nearer than a cell's width are met, so the nearest of these is the nearest of all
-        met = around.join(own, ["_i", "_j"]).withColumn("d2", square).filter(F.col("d2") < width * width)
-        best = met.groupBy(query).agg(F.min(F.struct("d2", point)).alias("best")).select(query, F.col(f"best.{point}"), F.col("best.d2"))
-        done.append(best)
-        left = left.join(best.select(query), query, "left_anti")
-    return reduce(DataFrame.unionByName, done)
+def nearest(points: DataFrame, queries: DataFrame, radius: float = 10.0, query: str = "query_id", point: str = "point_id", crowd: int = 64) -> DataFrame:
+    """For each query the nearest point strictly within radius; of equally near ones the least id. (x, y in both.)"""
+    return quadtree.nearest(points, queries, radius, query, point, crowd)

@@ -302,6 +302,17 @@ def nearest_in_radius(t):
     return sky.nearest(points, queries)
 
 
+@query("""with q as (select c_custkey as query_id, cast(c_custkey % 13 as double) + c_acctbal / 1e5 as qx, cast(c_custkey * 7 % 1000 as double) / 90 as qy from customer),
+p as (select event_id as point_id, (event_id % 23 * (event_id % 3)) * 0.4 + value / 300 as x, cast(event_id * 7919 % 10007 as double) / 2000 as y from events),
+m as (select query_id, point_id, (x - qx) * (x - qx) + (y - qy) * (y - qy) as d2 from q, p) select query_id, arg_min(point_id, (d2, point_id)) as point_id, round(min(d2), 9) as d2 from m where d2 < 100 group by 1""")
+def nearest_dense(t):
+    """Thousands of points in one square of the radius, and squares with none."""
+    k, i = F.col("c_custkey"), F.col("event_id")
+    queries = t("customer").select(k.alias("query_id"), ((k % 13).cast("double") + F.col("c_acctbal") / 1e5).alias("x"), ((k * 7 % 1000).cast("double") / 90).alias("y"))
+    points = t("events").select(i.alias("point_id"), ((i % 23 * (i % 3)) * F.lit(0.4) + F.col("value") / 300).alias("x"), ((i * 7919 % 10007).cast("double") / 2000).alias("y"))
+    return sky.nearest(points, queries).withColumn("d2", F.round("d2", 9))
+
+
 @query("select event_id, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00Z') when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') else null end as published from events")
 def iso_public(t):
     i, form = F.col("event_id"), lambda p: F.date_format("ts", p)
