@@ -2,16 +2,18 @@
 
 Documents become token pieces of at most `capacity` tokens. The plan is made from the histogram of
 piece lengths alone (at most `capacity` numbers, whatever the corpus), on the driver:
-1. pieces longer than capacity / 16 are large: sorted by length, they fall into groups of equal
+1. pieces longer than capacity / 4 are large: sorted by length, they fall into groups of equal
    cardinality, and each counts as long as its group's longest (lengths are rounded up);
-2. configurations over these few sizes are chosen: the largest size left, filled up by subset sum
-   over the sizes left, as often as their counts allow;
+2. configurations over these few sizes are chosen, for coarse groups by a linear program over configurations, for fine ones
+   the largest size left, filled up by subset sum over the sizes left, each as often as their counts allow;
 3. actual lengths replace the rounded ones, which frees room;
 4. the small pieces go, longest first, where they fit best, or into new sequences.
 The plan is a list of runs (length, ranks from, ranks to, first sequence, offset). On Spark each
 piece gets its rank among those of its length and a join with the runs places it; the runs are a
 few thousand rows, bounded by lengths and configurations and not by the corpus.
 
+Ids are those of the tokenizers library, each distinct pre-token encoded once (see `wordtable`).
+
 Cases: null text is empty text (one token, the end id). Repeated rows are pieces of their own.
 An empty table gives no rows. A document of over `capacity` tokens is cut from its end, so only its
 first piece can be shorter. Nothing is truncated or dropped.
@@ -19,130 +21,81 @@ first piece can be shorter. Nothing is truncated or dropped.
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shared_folder, stored, texts
+from emberline.llm import wordtable
+from emberline.llm.common import shared_folder, stored
+from emberline.llm.wordtable import NOT_PLAIN, plain_pattern
 
-_MEMO_ENTRIES = 400_000
 _SPECIAL = "<|endoftext|>"
-_MARKS = ".,;:!?"
 _coders: dict = {}
 
 
-class Coder:
-    """Token ids of texts, as little-endian 32-bit numbers in one bytes object each.
+class Words:
+    """The pre-tokens of texts, and their ids by the tokenizers library.
 
-    A run of non-space characters after exactly one space is encoded alike wherever it stands (the
-    pre-tokenizer never joins across that space), so such runs are kept in a bounded memo, and so are
-    the parts that the pre-tokenizer cuts them into at single line ends and before closing marks. Other
-    texts go to the encoder whole, and those with the special token's string to the full tokenizer. The encoder reads the same
-    vocabulary as ranks, in a third of the tokenizer's time; tests hold its ids against the tokenizer's.
+    A text of plain characters is split by the pre-tokenizer's pattern; any other, and one with the special token's string, is one word.
     """
 
-    def __init__(self, vocabulary: str, ranks: str):
-        import tiktoken
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._fast = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self._runs: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        ids = (self._tokenizer.encode(t, add_special_tokens=False).ids if _SPECIAL in t else self._fast.encode_ordinary(t) for t in texts)
-        return [np.array(i, "<u4").tobytes() for i in ids]
-
-    @staticmethod
-    def _cut(run: str) -> list[str]:
-        """The parts of a run of characters that stands after a space."""
-        lines = run.split("\n")
-        if any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
-            return [" " + run]
-        out = []
-        for k, line in enumerate(lines):
-            space, plain = "" if k else " ", line.rstrip(_MARKS)
-            if k:
-                out.append("\n")
-            if plain != line and plain.isalpha() and max(plain) < "\u0500":
-                out += [space + plain, line[len(plain) :]]
-            else:
-                out.append(space + line)
-        return out
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        runs, parts = self._runs, self._parts
-        if len(runs) > _MEMO_ENTRIES:
-            runs.clear()
-            parts.clear()
-        whole: dict[int, str] = {}
-        split: dict[int, list[str]] = {}
-        new: set[str] = set()
-        for k, text in enumerate(batch):
-            found = text.split(" ")
-            if _SPECIAL in text or "" in found or found[0][-1].isspace():
-                whole[k] = text
-                continue
-            rest = found[1:]
-            fresh = {r for r in rest if r not in runs}
-            if any(r[0].isspace() or r[-1].isspace() for r in fresh):
-                whole[k] = text
-                continue
-            split[k] = found
-            new |= fresh
-        cut = {r: self._cut(r) for r in new}
-        unknown = list({p for ps in cut.values() for p in ps if p not in parts})
-        parts.update(zip(unknown, self._encoded(unknown), strict=True))
-        for r, ps in cut.items():
-            runs[r] = b"".join([parts[p] for p in ps])
-        firsts = dict(zip(split, self._encoded([f[0] for f in split.values()]), strict=True))
-        wholes = dict(zip(whole, self._encoded(list(whole.values())), strict=True))
-        return [wholes[k] if k in wholes else firsts[k] + b"".join([runs[r] for r in split[k][1:]]) for k in range(len(batch))]
-
-
-def _coder(vocabulary: str, ranks: str) -> Coder:
-    if (vocabulary, ranks) not in _coders:
-        _coders[vocabulary, ranks] = Coder(vocabulary, ranks)
-    return _coders[vocabulary, ranks]
-
-
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, ranks: str | None = None, at_once: int = 200) -> DataFrame:
+        self._plain = plain_pattern(PATTERN)
+
+    def __call__(self, text: str) -> list[str]:
+        if _SPECIAL in text or not (text.isascii() or not NOT_PLAIN.search(text)):
+            return [text]
+        return self._plain.findall(text)
+
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _words(vocabulary: str) -> Words:
+    if vocabulary not in _coders:
+        _coders[vocabulary] = Words(vocabulary)
+    return _coders[vocabulary]
+
+
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each document's tokens."""
     import public_tokenizers
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = _coder(vocabulary, ranks)
-        for batch in batches:
-            rows = []
-            for first in range(0, len(batch), at_once):
-                part = batch.iloc[first : first + at_once]
-                for doc, found in zip(part["doc_id"], code(part["text"].tolist()), strict=True):
-                    ids = found + end
-                    n = len(ids) // 4
-                    at, k = 0, 0
-                    while at < n:
-                        size = (n % capacity or capacity) if at == 0 else capacity
-                        rows.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                        at, k = at + size, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    plain = texts(docs)
-    return plain.mapInPandas(run, f"doc_id {dict(plain.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    end = np.array([end_id], "<u4")
+
+    def finish(of_words: pa.ListArray):
+        def rows(docs: pa.Array, codes: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+            each = of_words.take(codes)
+            ids, ends = each.values.to_numpy().astype("<u4"), each.offsets.to_numpy()[at].tolist()
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                own = np.concatenate([ids[a:b], end])
+                first, k = 0, 0
+                while first < len(own):
+                    size = (len(own) % capacity or capacity) if first == 0 else capacity
+                    for column, value in ((row, i), (piece, k), (start, first), (length, size), (crc, zlib.crc32(own[first : first + size]))):
+                        column.append(value)
+                    first, k = first + size, k + 1
+            return pa.RecordBatch.from_arrays(
+                [docs.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
+
+        return rows
+
+    return wordtable.encoded(docs, lambda: _words(vocabulary), finish, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -285,18 +238,25 @@ def filled(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[tuple[
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 48, large: int = 4) -> list[Run]:
-    """Runs that hold counts[length] pieces of each length. Pieces of over capacity / `large` are large."""
+def plan(counts: np.ndarray, capacity: int = 1024, coarse: int = 48, fine: int = 768, large: int = 4) -> list[Run]:
+    """Runs that hold counts[length] pieces of each length. Pieces of over capacity / `large` are large.
+
+    Two groupings are planned and the one with fewer sequences is taken: coarse groups with an optimal mix of configurations, and
+    fine ones, whose rounding costs less, with configurations by subset sums.
+    """
     small = capacity // large
     part = counts.copy()
     part[capacity] = 0
-    runs = substituted(part, *grouped(part, small, groups), capacity)
-    add_small(runs, part, small, capacity)
-    runs = refilled(runs, capacity)
+    found = []
+    for groups, optimise in ((coarse, configurations), (fine, filled)):
+        runs = substituted(part, *grouped(part, small, groups), capacity, optimise)
+        add_small(runs, part, small, capacity)
+        found.append(runs)
+    runs = min(found, key=lambda runs: sum(r.count for r in runs))
     return runs + ([Run(int(counts[capacity]), [capacity])] if counts[capacity] else [])
 
 
-def substituted(part: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> list[Run]:
+def substituted(part: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, capacity: int, optimise: Callable) -> list[Run]:
     """The configurations of the rounded sizes with actual lengths, each group's longest first."""
     queue: list[list[list[int]]] = [[] for _ in sizes]
     size, left = capacity, 0
@@ -309,7 +269,7 @@ def substituted(part: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, capaci
             queue[g].append([size, k])
             n, left = n - k, left - k
     runs = []
-    for times, chosen in configurations(sizes, numbers, capacity):
+    for times, chosen in optimise(sizes, numbers, capacity):
         need = {g: chosen.count(g) for g in set(chosen)}
         while times:
             # as many sequences as the first lengths of the groups can serve alike, or one
@@ -361,19 +321,6 @@ def add_small(runs: list[Run], part: np.ndarray, small: int, capacity: int) -> N
             open_room(run)
 
 
-def refilled(runs: list[Run], capacity: int, loose: float = 0.01) -> list[Run]:
-    """Sequences with more than the share `loose` of room are filled anew from their actual lengths, if fewer then do."""
-    open_, shut = [], []
-    for run in runs:
-        (open_ if capacity - run.used > loose * capacity else shut).append(run)
-    counts = np.zeros(capacity + 1, int)
-    for run in open_:
-        np.add.at(counts, run.sizes, run.count)
-    sizes = np.flatnonzero(counts)[::-1]
-    again = [Run(times, [int(sizes[k]) for k in chosen]) for times, chosen in filled(sizes, counts[sizes], capacity)]
-    return shut + (again if sum(r.count for r in again) < sum(r.count for r in open_) else open_)
-
-
 def placed(runs: list[Run], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, ranks from, ranks to, first sequence, offset) of all slots."""
     ranks, opened, out = np.zeros(capacity + 1, int), 0, []
@@ -387,17 +334,17 @@ def placed(runs: list[Run], capacity: int) -> list[tuple[int, int, int, int, int
     return out
 
 
-def pack(cut: DataFrame, capacity: int = 1024, groups: int = 48, per_bucket: int = 20_000) -> DataFrame:
-    """cut (of pieces(), stored) with sequence_id and offset."""
+def pack(cut: DataFrame, capacity: int = 1024, coarse: int = 48, fine: int = 768, per_bucket: int = 20_000) -> DataFrame:
+    """cut (of pieces(), stored, with a row number _row) with sequence_id and offset."""
     spark = cut.sparkSession
     counts = np.zeros(capacity + 1, int)
     for row in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[row["length"]] = row["count"]
-    runs = plan(counts, capacity, groups)
-    # ranks among the pieces of a length: by buckets of bounded size, so that no length is one task's work
+    runs = plan(counts, capacity, coarse, fine)
+    # ranks among the pieces of a length: by buckets of bounded size and by row number, so that no length and no repeated row is one task's work
     buckets = F.array(*(F.lit(int(-(-n // per_bucket)) or 1) for n in counts.tolist()))
-    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int") + 1)))
-    own = keyed.withColumn("_own", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.element_at(buckets, F.col("length").cast("int") + 1)))
+    own = keyed.withColumn("_own", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1)
     before = (
         keyed.groupBy("length", "_bucket").count()
         .select("length", "_bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_before"))
@@ -410,7 +357,7 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = 48, per_bucket: int
     )
 
 
-def packed(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """One row per piece of every document, with its place in a sequence of at most `capacity` tokens."""
-    folder = shared_folder(docs.sparkSession)
-    return pack(stored(pieces(docs, capacity, end_id, vocabulary, ranks), folder, "pieces"), capacity)
+    cut = pieces(docs, capacity, end_id, vocabulary).withColumn("_row", F.monotonically_increasing_id())
+    return pack(stored(cut, shared_folder(docs.sparkSession), "pieces"), capacity)
