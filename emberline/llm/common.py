@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/checkpoints"
-    return f"{root}/emberline-{uuid.uuid4().hex}"
+    folder = f"{root}/emberline-{uuid.uuid4().hex}"
+    for made in _gathering:
+        made.append(folder)
+    return folder
+
+
+_gathering: list[list[str]] = []
+
+
+@contextmanager
+def gathering() -> Iterator[list[str]]:
+    """Gathers the shared folders that are named within, so that they can be removed once nothing reads them."""
+    made: list[str] = []
+    _gathering.append(made)
+    try:
+        yield made
+    finally:
+        _gathering.remove(made)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ calibrated threshold that don't overlap a base span are added.
 
 Cases: null text is empty text, with no spans. Repeated rows give repeated results. Among
 overlapping candidates the better score wins, then the earlier start, then the kind listed first.
-Texts are read whole; no span or candidate is capped. Columns other than doc_id and text are ignored.
+Texts are read whole; no span or candidate is capped. Columns other than doc_id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ _PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _GENERATOR = {
-    "ssn": r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone_local": r"(?<![0-9+.-])(?:(?:\([0-9]{2,5}\)[\x20.-]?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}|0[1-9](?:[\x20.-][0-9]{2}){4})(?![0-9]|[.-][0-9])",
-    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9_.-]{2,40}\x20?[\[({](?:at|AT|At)[\])}]\x20?[A-Za-z0-9-]{2,40}(?:\x20?[\[({](?:dot|DOT|Dot)[\])}]\x20?|\.)[A-Za-z]{2,12}(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}(?:[-\x20][0-9]{2}[-\x20][0-9]{4}|[0-9]{6})(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|[a-z0-9]{11,31})(?![A-Za-z0-9])",
+    "phone_local": r"(?<![0-9A-Za-z+.-])(?:(?:\([0-9]{2,5}\)[\x20.-]?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}|0[1-9](?:[\x20.-][0-9]{2}){4}|[0-9]{3}-[0-9]{4}|[0-9]{10,11})(?![0-9]|[.-][0-9])",
+    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9_.-]++(?:\x20?[\[({](?:at|AT|At)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({](?:dot|DOT|Dot)[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)|\x20(?:at|AT)\x20[A-Za-z0-9-]++\x20(?:dot|DOT)\x20)[A-Za-z]{2,12}(?![A-Za-z0-9])",
 }
 #: Cheap tests that a text with any match passes.
 _NEEDS = {"email": "@", "phone": "+", "card": None, "ip": ".", "email_spelled": None}
@@ -54,32 +54,38 @@ _WINDOW = 32
 FEATURES = ("kind", "length", "digits", "letters", "gaps", "first", "checks", "phone_hint", "ssn_hint", "bank_hint", "mail_hint", "other_hint", "near_letter")
 
 
-_SPAN = "struct<start:int,end:int,value:string>"
+_SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
+#: Ends of addresses that are common enough to tell.
+_DOMAINS = "com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ch|at|be|pl"
 #: Matches that are gathered at a time, so that long texts don't copy ever longer arrays.
 _CHUNK = 256
 
 
 def matches(text: Column, pattern: str, keep=None) -> Column:
-    """All leftmost non-overlapping matches as array<struct<start, end, value>>.
+    """All leftmost non-overlapping matches as array<struct<start, end, value, before, after>>: before and after are up to _WINDOW characters around.
 
-    split() gives what lies between the matches, so adding up lengths gives places.
+    split() gives what lies between the matches, so adding up lengths gives places, and no place is looked up in the text again.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    gaps = F.split(text, pattern, -1)
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
     none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value")))
+        before = F.substring(F.concat(acc["tail"], F.substring(part["gap"], -_WINDOW, _WINDOW)), -_WINDOW, _WINDOW)
+        after = F.substring(F.coalesce(part["next"], F.lit("")), 1, _WINDOW)
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"), before.alias("before"), after.alias("after")))
         wanted = part["hit"].isNotNull() if keep is None else part["hit"].isNotNull() & keep(part["hit"])
-        return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
+        tail = F.substring(F.concat(before, F.coalesce(part["hit"], F.lit(""))), -_WINDOW, _WINDOW)
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(wanted, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
     def chunked(all_parts: Column) -> Column:
         def chunk(acc: Column, first: Column) -> Column:
-            own = F.aggregate(F.slice(all_parts, first, _CHUNK), F.struct(acc["at"].alias("at"), none.alias("found")), step)
-            return F.struct(own["at"].alias("at"), F.array_append(acc["found"], own["found"]).alias("found"))
+            own = F.aggregate(F.slice(all_parts, first, _CHUNK), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("found")), step)
+            return F.struct(own["at"].alias("at"), own["tail"].alias("tail"), F.array_append(acc["found"], own["found"]).alias("found"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("found"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<array<{_SPAN}>>").alias("found"))
         return F.aggregate(F.sequence(F.lit(1), F.size(all_parts), F.lit(_CHUNK)), start, chunk, lambda acc: F.flatten(acc["found"]))
 
     return F.get(F.transform(F.array(parts), chunked), 0)  # a lambda's variable: the text is cut once
@@ -121,7 +127,7 @@ def _valid(kind: str):
 def _only_where(text: Column, kind: str, found: Column) -> Column:
     mark = _NEEDS.get(kind)
     if kind == "email_spelled":
-        return F.when(text.rlike(r"[\[({](?:at|AT|At)[\])}]"), found)
+        return F.when(text.rlike(r"[\[({](?:at|AT|At)[\])}]|\x20(?:at|AT)\x20[A-Za-z0-9-]+\x20(?:dot|DOT)\x20"), found)
     return found if mark is None else F.when(text.contains(mark), found)
 
 
@@ -148,13 +154,13 @@ def candidates(text: Column) -> Column:
     each = []
     for k, kind in enumerate(ADDED):
         found = _or_none(_only_where(text, kind, matches(text, _GENERATOR[kind])))
-        each.append(F.transform(found, _tagged(kind, partial(_features, text, k))))
+        each.append(F.transform(found, _tagged(kind, partial(_features, k))))
     return F.concat(*each)
 
 
 def _mod97(value: Column) -> Column:
     """The check of account numbers: the first four characters last, letters as 10 to 35, remainder 1."""
-    plain = F.regexp_replace(value, r"\x20", "")
+    plain = F.upper(F.regexp_replace(value, r"\x20", ""))
     turned = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
     rest = F.aggregate(
         F.split(turned, "(?!^)(?!$)"),
@@ -164,15 +170,15 @@ def _mod97(value: Column) -> Column:
     return (rest == 1).cast("double")
 
 
-def _features(text: Column, k: int, s: Column) -> Column:
+def _features(k: int, s: Column) -> Column:
     """The inputs of the trees, in the order of FEATURES."""
-    value = s["value"]
-    before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - _WINDOW), F.least(F.lit(_WINDOW), s["start"]))
+    value, before = s["value"], s["before"]
     digits, letters = F.length(_digits(value)), F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
-    checks = _mod97(value) if ADDED[k] == "iban" else (
-        (~value.rlike(r"\A(?:000|666|9[0-9]{2})|-00-|-0000\z")).cast("double") if ADDED[k] == "ssn" else F.lit(0.0)
-    )
-    near = F.substring(text, s["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+    checks = {
+        "iban": lambda: _mod97(value), "ssn": lambda: (~value.rlike(r"\A(?:000|666|9[0-9]{2})|\A[0-9]{3}[-\x20]?00|0000\z")).cast("double"),
+        "email_spelled": lambda: value.rlike(rf"(?i)[^A-Za-z](?:{_DOMAINS})\z").cast("double"), "phone_local": lambda: F.lit(0.0),
+    }[ADDED[k]]()
+    near = s["after"].rlike(r"\A[A-Za-z0-9]")
     return F.array(
         *(c.cast("double") for c in (
             F.lit(float(k)), F.length(value), digits, letters, F.length(value) - digits - letters,
@@ -187,7 +193,7 @@ def synthetic(n: int = 1600, seed: int = 11) -> tuple[list[str], list[int]]:
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     made, label = [], []
-    sep = lambda: rng.choice("- ")
+    sep = lambda: rng.choice(("-", " ", "-", ""))
     say = {
         "ssn": ["SSN ", "social security number: ", "my ssn is ", "taxpayer id (SSN): ", "Social Security no. ", "SIN: "],
         "iban": ["IBAN ", "IBAN: ", "pay to account ", "bank transfer: ", "Konto ", "compte ", "cuenta: "],
@@ -204,7 +210,8 @@ def synthetic(n: int = 1600, seed: int = 11) -> tuple[list[str], list[int]]:
         number = int("".join(str(int(c, 36)) for c in body + land) + "00")
         check = 98 - number % 97 if good else (98 - number % 97 + rng.randint(1, 90)) % 97
         whole = f"{land}{check:02d}{body}"
-        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.5 else whole
+        shape = rng.random()
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if shape < 0.4 else whole.lower() if shape < 0.6 else whole
 
     def code() -> str:
         return rng.choice("ABCDX") + rng.choice("ABCDX") + d(2) + "".join(" " + "".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(4)) for _ in range(rng.randint(3, 6)))
@@ -212,21 +219,29 @@ def synthetic(n: int = 1600, seed: int = 11) -> tuple[list[str], list[int]]:
     def phone() -> str:
         return rng.choice(
             [f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(3)}/{d(3)} {d(3)}",
-             "0" + rng.choice("123456789") + "".join(rng.choice(" .") + d(2) for _ in range(4)), f"0{d(4)} {d(3)}{d(4)}"]
+             "0" + rng.choice("123456789") + "".join(rng.choice(" .") + d(2) for _ in range(4)), f"0{d(4)} {d(3)}{d(4)}", d(10), f"0{d(10)}", f"{d(3)}-{d(4)}"]
         )
 
-    at, dot = [" [at] ", "(at)", "[at]", " (at) ", " {at} ", " [AT] "], [".com", " [dot] org", "(dot)net", " (dot) de", ".co", " [DOT] net"]
+    at, dot = [" [at] ", "(at)", "[at]", " (at) ", " {at} ", " [AT] "], [".com", " [dot] org", "(dot)net", " (dot) de", ".info", " [DOT] net", " dot fr"]
+
+    def spelled() -> str:
+        """An address in words or brackets."""
+        who, where = rng.choice(["ann", "bo.li", "jdoe", "maria.k", "x_99", "info", "jonathan.maximilian.featherstonehaugh_worthington-smythe"]), rng.choice(["mail", "corp", "my-host", "uni"])
+        return f"{who} at {where} dot {rng.choice(['com', 'org', 'de', 'fr', 'net'])}" if rng.random() < 0.3 else f"{who}{rng.choice(at)}{where}{rng.choice(dot)}"
+
+    def unspelled() -> str:
+        return rng.choice([f"{rng.choice(['look', 'meet us', 'stay'])} (at) {rng.choice(['home', 'noon'])}.{rng.choice(['Then', 'We', 'It'])}", f"{rng.choice(['look', 'stare', 'point'])} at {rng.choice(['the', 'each', 'every'])} dot {rng.choice(['matrix', 'now', 'again', 'here'])}"])
     for _ in range(n // 8):
         s = sep()
         made += [
-            rng.choice(say["ssn"] + say["plain"][:1]) + f"{rng.randint(1, 665):03d}{s}{rng.randint(1, 99):02d}{s}{rng.randint(1, 9999):04d}",
+            rng.choice(say["ssn"] + say["plain"][:1] * bool(s)) + f"{rng.randint(1, 665):03d}{s}{rng.randint(1, 99):02d}{s}{rng.randint(1, 9999):04d}",
             rng.choice(say["not"] + say["plain"]) + f"{d(3)}{s}{d(2)}{s}{d(4)}",
             rng.choice(say["iban"] + say["plain"]) + iban(True),
             rng.choice(say["not"] + say["plain"]) + (iban(False) if rng.random() < 0.7 else code()),
             rng.choice(say["phone"]) + phone(),
-            rng.choice(say["not"] + say["plain"]) + rng.choice([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]),
-            rng.choice(say["mail"] + say["plain"][:2]) + f"{rng.choice(['ann', 'bo.li', 'jdoe', 'maria.k', 'x_99', 'info'])}{rng.choice(at)}{rng.choice(['mail', 'corp', 'my-host', 'uni'])}{rng.choice(dot)}",
-            rng.choice(say["plain"]) + f"{rng.choice(['look', 'meet us', 'stay'])} (at) {rng.choice(['home', 'noon'])}.{rng.choice(['Then', 'We', 'It'])}",
+            rng.choice(say["not"] + say["plain"]) + rng.choice([f"{d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", d(10), f"{d(3)}-{d(4)}"]),
+            rng.choice(say["mail"] + say["plain"][:2]) + spelled(),
+            rng.choice(say["plain"]) + unspelled(),
         ]
         label += [1, 0] * 4
     return [f"{t} {rng.choice(['ok', '.', 'today', ', thanks'])}" for t in made], label
@@ -276,20 +291,54 @@ def train(spark: SparkSession, precision: float = 0.95, seed: int = 11) -> Selec
     return Selector(model, thresholds)
 
 
+_ITEM = "struct<start:int,end:int,rank:int,score:double,kind:string,value:string>"
+
+
+def _heaps(items: Column) -> Column:
+    """Spans in order of start, parted where no span reaches over: array<array<span>>. Only spans of one heap can overlap."""
+    none = F.array().cast(f"array<{_ITEM}>")
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["reach"]
+        return F.struct(
+            F.greatest(acc["reach"], s["end"]).alias("reach"), F.when(fresh, F.array(s)).otherwise(F.array_append(acc["heap"], s)).alias("heap"),
+            F.when(fresh & (F.size(acc["heap"]) > 0), F.array_append(acc["done"], acc["heap"])).otherwise(acc["done"]).alias("done"),
+        )
+
+    def chunked(all_: Column) -> Column:
+        def chunk(acc: Column, first: Column) -> Column:
+            start = F.struct(acc["reach"].alias("reach"), acc["heap"].alias("heap"), F.array().cast(f"array<array<{_ITEM}>>").alias("done"))
+            own = F.aggregate(F.slice(all_, first, _CHUNK), start, step)
+            return F.struct(own["reach"].alias("reach"), own["heap"].alias("heap"), F.array_append(acc["done"], own["done"]).alias("done"))
+
+        start = F.struct(F.lit(0).alias("reach"), none.alias("heap"), F.array().cast(f"array<array<array<{_ITEM}>>>").alias("done"))
+        firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_)), F.lit(_CHUNK))
+        return F.aggregate(firsts, start, chunk, lambda acc: F.array_append(F.flatten(acc["done"]), acc["heap"]))
+
+    return F.get(F.transform(F.array(F.array_sort(items)), chunked), 0)
+
+
+def _won(heap: Column) -> Column:
+    """The candidates of a heap that overlap no base span and no better candidate."""
+    clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["rank"] < c["rank"]))))
+    free = F.filter(heap, lambda c: (c["rank"] >= 0) & ~F.exists(heap, lambda b: (b["rank"] < 0) & clash(b, c)))
+    return F.flatten(F.transform(F.array(free), lambda own: F.filter(own, lambda c: ~F.exists(own, lambda o: clash(o, c) & better(o, c)))))
+
+
 def find(docs: DataFrame, selector: Selector) -> DataFrame:
-    """docs with `base` and `added`: arrays of struct<kind, start, end, value>."""
+    """docs with `base` and `added`: arrays of struct<kind, start, end, value>.
+
+    Spans are sorted and parted into heaps of overlapping ones, so the work grows with the spans of a text and not with their square.
+    """
+    rank = lambda c: F.array_position(F.array(*(F.lit(k) for k in ADDED)), c["kind"]).cast("int")
+    item = lambda c, rank, score: F.struct(c["start"].alias("start"), c["end"].alias("end"), rank.alias("rank"), score.alias("score"), c["kind"].alias("kind"), c["value"].alias("value"))
     found = docs.withColumn("base", base_spans(F.col("text"))).withColumn("_some", selector.selected(F.col("text")))
-    rank = lambda c: F.array_position(F.array(*(F.lit(k) for k in ADDED)), c["kind"])
-    clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (rank(o) < rank(c)))))
-    free = F.filter("_some", lambda c: ~F.exists("base", lambda b: clash(b, c)))
-    won = F.filter("_free", lambda c: ~F.exists("_free", lambda o: clash(o, c) & better(o, c)))
-    ordered = F.array_sort(F.transform(won, lambda c: F.struct(rank(c).alias("r"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value"))))
-    return (
-        found.withColumn("_free", free)
-        .withColumn("added", F.transform(ordered, lambda c: F.struct(c["kind"], c["start"], c["end"], c["value"])))
-        .drop("_some", "_free")
-    )
+    both = F.concat(F.transform("base", lambda b: item(b, F.lit(-1), F.lit(0.0))), F.transform("_some", lambda c: item(c, rank(c), c["score"])))
+    won = F.flatten(F.transform(_heaps(both), _won))
+    ordered = F.array_sort(F.transform(won, lambda c: F.struct(c["rank"].alias("r"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value"))))
+    added = F.transform(ordered, lambda c: F.struct(c["kind"], c["start"], c["end"], c["value"]))
+    return found.withColumn("added", F.when(F.size("_some") > 0, added).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))).drop("_some")
 
 
 def written(spans: Column) -> Column:

@@ -237,3 +237,31 @@ def test_pipeline_through_run(spark, tmp_path):
     components = brute(found)
     worded = [c for n, c in components.values() if n]
     assert len(worded) == len(set(worded)) == len({c for n, c in brute([r["text"] for r in docs.collect()]).values() if n})
+
+
+def test_pipeline_on_empty_tables_and_without_labels(spark, tmp_path):
+    docs = documents(spark, [*AWKWARD, prose(3, 90)])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, frame, least in (("some", docs, 1), ("none", docs.filter("1 = 0"), 0)):
+        folder = tmp_path / name
+        frame.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(rows) >= least and (least or not rows)
+        if least:  # without labels all stay but copies
+            assert {r["doc_id"] for r in rows} >= {0, 1, 2, 3, len(AWKWARD)} and len({r["doc_id"] for r in rows}) == len(AWKWARD) + 1 - 3
+
+
+def test_pipeline_clears_what_it_no_longer_reads(spark, tmp_path):
+    texts, labels = labelled(spark)
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    from pathlib import Path
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = corpus_pipeline._worked.get(corpus_pipeline.STAGES[k - 1][1].__name__, []) if k else []
+        made = stage(spark, docs, str(tmp_path))
+        assert not [f for f in before if Path(f).exists()] and (not k or not corpus_pipeline._worked.get(corpus_pipeline.STAGES[k - 1][1].__name__))
+        made.write.parquet(str(tmp_path / f"stage-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage-{k}"))

@@ -85,6 +85,55 @@ def test_added_kinds_on_texts_from_outside(spark, selector):
     assert sum(f != "" for k, f in found if not k) <= 1, found
 
 
+#: Forms without separators, in lower case or in words, and look-alikes; written for this test alone.
+PLAIN_FORMS = (
+    ("iban", "IBAN de89370400440532013000"), ("ssn", "SSN 123456789"), ("phone_local", "phone 5551234567"), ("phone_local", "call 555-0199"), ("email_spelled", "john.smith at mail dot com"),
+    ("email_spelled", "write to a-very-long-local-part-of-more-than-forty-characters [at] example [dot] org"), ("iban", "please pay to iban nl91abna0417164300 soon"), ("ssn", "her social security number is 219099999"),
+    ("phone_local", "mobile: 07911123456"), ("email_spelled", "contact jane at uni-mainz dot de"), ("", "order 5551234567"), ("", "item 123456789 in stock"), ("", "look at the dot matrix"), ("", "ref 555-0199"), ("", "serial ab12cdefghijklmnopqr"),
+)
+
+
+def test_plain_forms(spark, selector):
+    got = every_row(spark, pii.report(documents(spark, [t for _, t in PLAIN_FORMS]), selector), len(PLAIN_FORMS))
+    found = [(kind, got[i]["spans"].split(":")[0]) for i, (kind, _) in enumerate(PLAIN_FORMS)]
+    assert sum(k == f for k, f in found if k) >= 9, found
+    assert sum(f != "" for k, f in found if not k) <= 1, found
+
+
+def test_work_grows_with_the_spans(spark, selector):
+    """Twice the spans of one text take less than three times as long, and none is lost."""
+    took = []
+    for n in (3000, 6000):
+        docs = documents(spark, ["call (415) 555-2671, " * n]).coalesce(1)
+        began = time.monotonic()
+        row = pii.report(docs, selector).collect()[0]
+        took.append(time.monotonic() - began)
+        assert row["n_spans"] == n
+    assert took[1] < 3 * took[0] + 1
+
+
+def test_overlaps_match_brute_force(spark):
+    """Heaps against all pairs, on random spans."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        items = []
+        for _ in range(rng.randint(0, 40 if k else 700)):
+            a = rng.randint(0, 300 if k else 5000)
+            items.append((a, a + rng.randint(1, 20), rng.choice([-1, 0, 1, 2]), rng.choice([0.5, 1.0, 2.0]), "k", "v"))
+        rows.append((k, items))
+    frame = spark.createDataFrame(rows, f"k int, items array<{pii._ITEM}>")
+    got = {r["k"]: sorted(tuple(x) for x in r["won"]) for r in frame.select("k", F.flatten(F.transform(pii._heaps(F.col("items")), pii._won)).alias("won")).collect()}
+    clash = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    for k, items in rows:
+        free = [c for c in items if c[2] >= 0 and not any(b[2] < 0 and clash(b, c) for b in items)]
+        won = [c for c in free if not any(clash(o, c) and (-o[3], o[0], o[2]) < (-c[3], c[0], c[2]) for o in free)]
+        assert got[k] == sorted(won)
+
+
 def test_trees_agree_with_their_expression(spark, selector):
     from pyspark.sql import functions as F
 
