@@ -7,14 +7,18 @@ cost reaches `least_cost`. The base kinds (assign, access, hex) always stay; add
 "guess") cover the value alone and never lie within a base span or another added one. A credential word
 may follow a name and '_' or '-'; password, passwd, secret, token and api key may end any name.
 
-Null text is empty text. Repeated rows repeat. Whole texts are scanned, and values of every length run
-through the dynamic program, in linear time. Letters alone are costed like any value: ordinary words
-that can follow a credential word in prose are in the word list.
+A value in quotes reaches to the closing one; any other to white space, a quote or a tag, or the next name of a list. Ordinary words are
+cheap: their guesses are their rank in a public vocabulary, which lists pieces of words by frequency. What reads like a word and follows after a bare space
+(or "is") must cost 10^18 guesses instead of 10^10, since that is how prose looks.
+
+Null text is empty text. Repeated rows repeat. An empty table gives no rows. Whole texts are scanned, and values of six characters or more, of every length, run
+through the dynamic program, in linear time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -31,63 +35,54 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Credential words, then (looked ahead to, since it can itself hold the next credential word) the value.
+#: Credential words, and what stands between one and its value (group "plain": nothing but a space, or "is").
 _CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|bearer|(?:private|access|secret)[_-]?key|session[_-]?id|pin|login)"""
     r"""|password|passwd|secret|token|api[\x20_-]?key)\b"""
-    r"""["']?\x20*(?:is\x20+|[:=]\x20*|\x20)(?:bearer\x20+|basic\x20+)?["']?(?=([^\x20\x09-\x0D"'<>,;]{6,}))""",
+    r"""["']?\x20*(?:(?P<plain>is\x20+|\x20)|[:=]\x20*)(?:bearer\x20+|basic\x20+)?(?=(?P<value>[^\x20\x09-\x0D]))""",
     re.IGNORECASE | re.ASCII,
 )
+#: A value: up to its closing quote on the line, or up to white space, quotes and tags; a list's next name ends it too.
+_QUOTED = {q: re.compile(rf"{q}([^{q}\n]*){q}") for q in "\"'`"}
+_BARE = re.compile(r"""[^\x20\x09-\x0D"'`<>]+""")
+_NEXT = re.compile(r"""[,;&](?=[A-Za-z_][A-Za-z0-9_.-]*["']?[=:])""")
+#: Letters that read like words of a sentence.
+_WORDY = re.compile(r"[A-Za-z]?[a-z]+(?:['’][a-z]+)?(?:[-/][A-Za-z]?[a-z]+)*|[A-Z]+")
 _TRIGGER = re.compile("pwd|pass|credential|auth|bearer|key|secret|token|session|pin|login", re.IGNORECASE | re.ASCII)
 
-#: Common passwords and words, most common first; a word's guesses are its rank.
+#: Common passwords, most common first.
 WORDS = (
     "password", "123456", "qwerty", "admin", "welcome", "letmein", "login", "master", "dragon", "monkey", "iloveyou", "sunshine",
     "princess", "football", "baseball", "shadow", "superman", "michael", "jordan", "hunter", "secret", "summer", "winter", "spring",
     "autumn", "changeme", "default", "test", "guest", "root", "user", "example", "token", "server", "database", "local", "change",
     "love", "hello", "world", "computer", "internet", "company", "freedom", "whatever", "trustno", "pass", "access", "system",
-    "the", "and", "for", "that", "with", "this", "from", "have", "they", "your", "time", "year", "people", "good", "work", "home",
-    "house", "green", "black", "white", "blue", "red", "correct", "horse", "battery", "staple", "please", "none", "null", "true",
-    "false", "required", "expired", "invalid", "field", "reset", "value", "string", "number", "name", "email", "account",
-    "protected", "protection", "requirement", "requirements", "including", "included", "includes", "include", "changes", "changed", "changing", "generation",
-    "generator", "generated", "authentication", "authorization", "authorized", "authority", "verification", "validation", "validated", "validator",
-    "management", "manager", "recovery", "recovered", "expiration", "expires", "mechanism", "information", "informations", "response", "request", "requests",
-    "requested", "requester", "headers", "parameter", "parameters", "argument", "arguments", "variable", "variables", "function", "functions", "document",
-    "documents", "documentation", "configuration", "configured", "settings", "security", "securely", "services", "service", "servers", "software",
-    "hardware", "protocol", "protocols", "policies", "contains", "containing", "consists", "consist", "characters", "character", "encryption", "encrypted",
-    "decryption", "transmitted", "transferred", "transfer", "storage", "strength", "different", "difference", "following", "followed", "important",
-    "incorrect", "incorrectly", "correctly", "successful", "successfully", "unsuccessful", "available", "unavailable", "necessary", "possible", "impossible",
-    "something", "anything", "everything", "nothing", "someone", "everyone", "anybody", "somebody", "themselves", "yourself", "himself", "herself",
-    "together", "otherwise", "therefore", "however", "although", "because", "between", "through", "throughout", "without", "against", "whether", "another",
-    "several", "already", "usually", "generally", "probably", "certainly", "agreement", "agreements", "ingredient", "ingredients", "admirer", "admirers",
-    "societies", "society", "conversation", "conversations", "negotiation", "negotiations", "operation", "operations", "organization", "organizations",
-    "intelligence", "government", "president", "minister", "ministry", "meetings", "chamber", "chambers", "weapons", "passage", "passages", "entrance",
-    "location", "locations", "identity", "identities", "identifier", "identifiers", "interface", "interfaces", "implementation", "implementations",
-    "integration", "application", "applications", "developer", "developers", "development", "environment", "environments", "production", "exchange",
-    "exchanged", "economy", "economics", "economic", "distribution", "distributed", "introspection", "revocation", "revoked", "endpoint", "endpoints",
-    "provider", "providers", "permission", "permissions", "privileges", "privilege", "accounts", "administrator", "administrators", "customer", "customers",
-    "employee", "employees", "attempts", "attempted", "attempting", "forgotten", "remembered", "rotation", "rotated", "replaced", "replacement", "assigned",
-    "assignment", "submitted", "submission", "provided", "providing", "according", "specified", "specifies", "specific", "specification", "specifically",
-    "standard", "standards", "personal", "personally", "private", "privately", "publicly", "history", "historical", "question", "questions", "answers",
-    "answered", "knowledge", "learning", "students", "teachers", "practice", "practices", "problem", "problems", "solution", "solutions", "technique",
-    "techniques", "technology", "certificate", "certificates", "certification", "qualified", "qualification", "qualifications", "references", "reference",
-    "experience", "experiences", "education", "educational", "published", "publisher", "publication", "reported", "reporter", "registered", "registration",
-    "represented", "represents", "representation", "representative", "gesture", "gestures", "payments", "payment", "ceremony", "appointment", "appreciation",
-    "sentences", "sentence", "language", "languages", "analysis", "analyzer", "counting", "processing", "processor", "processes", "process", "limitation",
-    "dropping", "hijacking", "stuffing", "managers", "spraying", "cracking", "crackers", "guessing", "matching", "sniffing", "stealing", "phishing",
-    "attackers", "attacker", "compromise", "compromised", "vulnerability", "vulnerabilities", "disclosure", "disclosed", "exposed", "exposure", "leakage",
-    "complexity", "minimum", "maximum", "special", "uppercase", "lowercase", "letters", "numbers", "authenticate", "authenticated", "authenticates",
-    "authorize", "authorizes", "connection", "connections", "controller", "controllers", "component", "components", "constant", "constants", "directory",
-    "directories", "download", "downloads", "exception", "exceptions", "filename", "handler", "handlers", "instance", "instances", "loading", "message",
-    "messages", "modified", "modification", "multiple", "notification", "notifications", "objective", "objectives", "optional", "original", "passwords",
-    "previous", "previously", "property", "properties", "protecting", "received", "receives", "recently", "relationship", "relationships", "remaining",
-    "returned", "returning", "selected", "selection", "sensitive", "separate", "separately", "sessions", "sometimes", "standing", "statement", "statements",
-    "structure", "subscription", "temporary", "temporarily", "terminal", "transaction", "transactions", "translation", "underlying", "understand",
-    "understanding", "universal", "unknown", "validity", "versions", "website", "websites", "written", "yesterday", "tomorrow", "afternoon", "children",
-    "daughter", "mountain", "community", "business", "position",
 )
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Endings of English words, which cost as one of so many.
+ENDINGS = ("ing", "ings", "ness", "ment", "ments", "tion", "tions", "able", "ible", "ally", "fully", "less", "ers", "ors", "ies", "ied", "est", "ous", "ism", "ist")
+_LONGEST = 20
+_ranks: dict = {}
+
+
+def ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Words and their guesses: common passwords by rank, and after them the words of a public vocabulary, whose pieces stand in order of frequency.
+
+    Pieces that continue a word count too, so that a word that isn't in the list is a few pieces, and endings have their own short list.
+    """
+    import public_tokenizers
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    if path not in _ranks:
+        with open(path) as file:
+            pieces = json.load(file)["model"]["vocab"]
+        found = {w: k for k, w in enumerate(WORDS, 1)} | dict.fromkeys(ENDINGS, len(ENDINGS))
+        for piece, _ in sorted(pieces.items(), key=lambda p: p[1]):
+            word = piece.removeprefix("\u0120").lower()
+            if 3 <= len(word) <= _LONGEST and word.isascii() and word.isalpha():
+                found.setdefault(word, len(found) + 1)
+        _ranks[path] = found
+    return _ranks[path]
+
+
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEAR = {(a, b) for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {
     (a, b) for r, s in zip(_ROWS, _ROWS[1:]) for i, x in enumerate(r) for y in s[max(0, i - 1) : i + 1] for a, b in ((x, y), (y, x))
@@ -106,7 +101,7 @@ def _arcs(value: str) -> Iterator[list[tuple[int, float]]]:
 
     The end of a run holds for all starts within it, so each run is followed once.
     """
-    n, low = len(value), value.lower()
+    n, low, known = len(value), value.lower(), ranks()
     plain = low.translate(_LEET)
     same = near = steps = 0
     unlike = {2: -1, 3: -1, 4: -1}  # the first place whose character isn't that a width further on
@@ -114,9 +109,9 @@ def _arcs(value: str) -> Iterator[list[tuple[int, float]]]:
         arcs = []
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
-                if form[i:j] in _RANK:
+                if form[i:j] in known:
                     case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i].isupper() and value[i + 1 : j] == low[i + 1 : j] else 1.0
-                    arcs.append((j, math.log10(_RANK[form[i:j]] + 1) + extra + case))
+                    arcs.append((j, math.log10(known[form[i:j]] + 1) + extra + case))
         if m := _DATE.match(value, i):
             arcs.append((m.end(), 4.6 if m.end() - i > 4 else 2.1))
         if same <= i:
@@ -187,7 +182,25 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return min(*brute, *best.get(len(value), brute))
 
 
-def find(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+#: What looks like a word after a bare space must cost so many times the bound (in digits of guesses).
+_PROSE = 1.8
+
+
+def _value(text: str, at: int) -> tuple[int, int]:
+    """Where the value that begins at a place starts and ends."""
+    if text[at] in _QUOTED and (m := _QUOTED[text[at]].match(text, at)):
+        return m.span(1)
+    at += text[at] in _QUOTED
+    m = _BARE.match(text, at)
+    if m is None:
+        return at, at
+    value = m[0]
+    if cut := _NEXT.search(value):
+        value = value[: cut.start()]
+    return at, at + len(value.rstrip(".)]}:!?,;"))
+
+
+def find(text: str, least_cost: float = 10.0, least_length: int = 6) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, added spans) as (start, end, kind), in order."""
     base = []
     if ":" in text or "=" in text:
@@ -199,11 +212,13 @@ def find(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str]
     added = []
     if _TRIGGER.search(text):
         for m in _CONTEXT.finditer(text):
-            value, start = m[1].rstrip(".)]}:!?"), m.start(1)
-            end = start + len(value)
-            if len(value) < 6 or any(s <= start and end <= e for s, e, _ in base) or (added and start < added[-1][1]):
+            start, end = _value(text, m.start("value"))
+            value = text[start:end]
+            if len(value) < least_length or any(s <= start and end <= e for s, e, _ in base) or (added and start < added[-1][1]):
                 continue
-            if guess_cost(value, least_cost) >= least_cost:
+            prose = m["plain"] is not None and _WORDY.fullmatch(value)
+            least = least_cost * _PROSE if prose else least_cost
+            if guess_cost(value, least) >= least:
                 added.append((start, end, "guess"))
     return base, added
 

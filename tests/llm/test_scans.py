@@ -198,6 +198,45 @@ def test_guess_cost_is_the_cheapest_cut():
         assert secrets.guess_cost(value) == pytest.approx(best)
 
 
+def test_prose_after_credential_words():
+    """Phrases, and all longer words of a manual that isn't in the tables, after credential words and a space."""
+    import pydoc_data.topics as manual
+
+    for phrase in (
+        "the secret laboratory", "the token embeddings are summed", "a secret rendezvous", "password manually", "secret handshake", "login credentials immediately", "token classification",
+        "pin cushions", "secret underground", "secret Wednesday", "the password is incorrect", "token: required", "a secret, well-kept garden", "Secret Santa's workshop",
+    ):
+        assert secrets.find(phrase)[1] == [], phrase
+    words = sorted({w for text in manual.topics.values() for w in re.findall(r"(?<![\w`'\"_.])[A-Za-z]?[a-z]{5,}(?![\w`'\"_.(])", text)})
+    said = [f"{c} {w} " for w in words for c in ("the secret", "a token", "this password")]
+    flagged = [p for p in said if secrets.find(p)[1]]
+    assert len(words) > 2000 and len(flagged) < 0.01 * len(said), flagged
+
+
+def test_values_are_read_whole():
+    for text, value in (
+        ("password: ab,Kq9xZ!77pLm", "ab,Kq9xZ!77pLm"), ('pwd: "a\'b9Kx!2qZ7w"', "a'b9Kx!2qZ7w"), ("auth='x Y7;q<9>Zk2!w'", "x Y7;q<9>Zk2!w"), ("pwd=Zk9!qW2xv,user=bob", "Zk9!qW2xv"),
+        ("the password Zk9!qW2xv7 works", "Zk9!qW2xv7"), ("login xkqvzjwtrbnphdgm", "xkqvzjwtrbnphdgm"), ('pwd: "unclosed9!Kx2qZ', "unclosed9!Kx2qZ"),
+    ):
+        assert [text[s:e] for s, e, _ in secrets.find(text)[1]] == [value], text
+
+
+def test_planted_values_are_found():
+    import random
+    import string
+
+    rng = random.Random(8)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.printable[:94].translate({ord(c): None for c in "\"'`<>,;&"}))
+    contexts = ("pwd: {}", 'auth = "{}"', "the passphrase is {} today", "credential: {}\n", "pass={}", "login {} now", "bearer {}")
+    found = 0
+    for k in range(600):
+        value = "".join(rng.choices(alphabets[k % 3], k=rng.randint(10, 20)))
+        text = contexts[k % len(contexts)].format(value)
+        base, added = secrets.find(text)
+        found += any(s <= text.index(value) + 1 and e >= text.index(value) + len(value) - 2 for s, e, _ in base + added)
+    assert found >= 0.97 * 600, found
+
+
 def test_guess_cost_alone_decides():
     """Letters alone and values of every length go by their cost, and long runs take linear time."""
     found = lambda text: [text[s:e] for s, e, _ in secrets.find(text)[1]]
