@@ -13,7 +13,7 @@ can find it. Keys that very many fingerprints share are split, and queries ask a
 Everything is Spark expressions.
 
 `next document` is the following one by descending doc_id, after the last the first. Documents are dealt into
-ranges of doc_id, and those of one doc_id that fills ranges alone by text hash; the head of each range is also sent to
+ranges of doc_id, those of one doc_id that fills ranges alone by text hash, and many copies of one row over ranges of their own; the head of each range is also sent to
 the range before it, so that one shuffle of the texts suffices. Ranges follow the number of rows.
 
 Cases: null text is empty; a text without words has fingerprint zero. A single document is its own
@@ -101,6 +101,25 @@ def _bucket(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, half, lambda acc: acc["lo"])
 
 
+def _spread_copies(placed: DataFrame, per_range: int) -> DataFrame:
+    """placed with its ranges parted around rows (_key, _h) that repeat more often than two ranges hold, and those rows dealt over ranges of their own.
+
+    Copies are alike in doc_id and text, so it doesn't matter which follows which. Larger numbers still come first.
+    """
+    often = placed.groupBy("_bucket", "_key", "_h").count().filter(F.col("count") > 2 * per_range)
+    item = F.struct(F.bitwise_not("_key").alias("nk"), F.col("_h").alias("h"), F.ceil(F.col("count") / per_range).alias("m"))  # in the order of rows
+    # as many entries in all as the table has rows for each 2 * per_range
+    hot = often.groupBy("_bucket").agg(F.array_sort(F.collect_list(item)).alias("_hot"))
+    if hot.isEmpty():
+        return placed.withColumn("_bucket", F.col("_bucket") * (1 << 20))
+    own = F.struct(F.bitwise_not("_key").alias("nk"), F.col("_h").alias("h"))
+    before = lambda x: (x["nk"] < own["nk"]) | ((x["nk"] == own["nk"]) & (x["h"] < own["h"]))
+    here = lambda x: (x["nk"] == own["nk"]) & (x["h"] == own["h"])
+    at = F.aggregate(F.col("_hot"), F.lit(0).cast("long"), lambda acc, x: acc + F.when(before(x), x["m"] + 1).when(here(x), 1 + F.pmod(F.col("_salt"), x["m"])).otherwise(0))
+    parted = placed.withColumn("_salt", F.monotonically_increasing_id()).join(hot, "_bucket", "left")
+    return parted.withColumn("_bucket", F.col("_bucket") * (1 << 20) - F.coalesce(at, F.lit(0))).drop("_salt", "_hot")
+
+
 def with_next(docs: DataFrame, per_range: int = 1000, coarse: int = 4096) -> DataFrame:
     """doc_id, text, _next (the next document's text), _bucket, _at (place in the range), _guest (a copy for the range before).
 
@@ -128,6 +147,7 @@ def with_next(docs: DataFrame, per_range: int = 1000, coarse: int = 4096) -> Dat
     alone = (F.get(times, F.col("_zone")) > 1) & (F.col("_key") == F.get(ends, F.col("_zone") + 1))
     within = F.when(alone, fine + parts - 1 - by_hash).otherwise(width)
     placed = keyed.withColumn("_zone", zone).withColumn("_bucket", (F.col("_zone").cast("long") * (fine * (first + 1)) + within).cast("long")).drop("_zone")
+    placed = _spread_copies(placed, per_range)
     # the row that comes first in each range goes to the next larger number, the very first to the least
     heads = placed.groupBy("_bucket").agg(F.max(F.struct("_key", F.bitwise_not("_h").alias("_nh"))).alias("_head"))
     line = Window.partitionBy().orderBy("_bucket")  # one short row for each range
@@ -136,7 +156,7 @@ def with_next(docs: DataFrame, per_range: int = 1000, coarse: int = 4096) -> Dat
     if ranges <= _BROADCAST_RANGES:
         guests = F.broadcast(guests)
     own = placed.withColumn("_guest", F.lit(False))
-    sent = keyed.join(guests, ["_key", "_h"]).select("doc_id", "text", "_key", "_h", F.col("_to").alias("_bucket"), F.lit(True).alias("_guest"))
+    sent = keyed.join(guests, ["_key", "_h"]).select("doc_id", "text", "_key", "_h", F.col("_to").alias("_bucket"), F.lit(True).alias("_guest")).dropDuplicates(["_bucket"])  # one of copies
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), "_h")
     return own.unionByName(sent).withColumn("_at", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order)).drop("_key", "_h")
 

@@ -76,6 +76,19 @@ def test_one_id_may_fill_ranges(spark):
     assert many.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 120
 
 
+def test_many_copies_of_one_row_are_spread(spark):
+    rows = [(5, "the same text")] * 400 + [(5, prose(k, 8)) for k in range(60)] + [(9, "again and again")] * 150 + [(k, prose(500 + k, 8)) for k in range(100, 290)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    one, many = simhash.with_next(docs), simhash.with_next(docs, per_range=20, coarse=16)
+    for placed in (one, many):
+        assert placed.filter("not _guest").count() == len(rows) and placed.filter("_guest").count() == placed.select("_bucket").distinct().count()
+    pick = lambda rows: rows.filter("not _guest").select("doc_id", "text", "_next")
+    assert pick(one).exceptAll(pick(many)).count() == 0
+    sizes = [r["count"] for r in many.groupBy("_bucket").count().collect()]
+    assert max(sizes) < 120 and len(sizes) > 20
+    assert simhash.report(docs).count() == len(rows)
+
+
 def text_view(text):
     words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
     size, n = max(1, len(text)), max(1, len(words))
