@@ -254,17 +254,24 @@ def scan(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[str, str],
         return F.filter(F.transform(F.filter(sized, lambda u: (u["n"] >= F.lit(low)) & (u["n"] <= F.lit(high))), best), lambda m: m["dice"] >= least)
 
     def places(t: Column) -> Column:
-        """The best windows of a template's size: all that hold one of its needed bigrams are compared."""
+        """The best windows of a template's size, of all that hold one of its needed bigrams.
+
+        For a long template one start of each stretch is compared first. A window d words further on shares at most d bigrams more and has at most d fewer, so
+        a stretch is left out only if none of its windows can match; all starts of the others are compared.
+        """
         last = F.size("_grams") - t["m"] + 1  # the last start
         first = lambda i: F.greatest(i - t["m"] + 2, F.lit(0))
         part = lambda i: F.floor(i / t["stride"]).cast("int")
         at = F.filter(F.sequence(F.lit(0), F.size("_grams") - 1), lambda i: F.array_contains(t["needed"], F.get(F.col("_grams"), i)) & (first(i) <= last))
         parts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(part(first(i)), part(F.least(i, last))))))
-        starts = F.transform(parts, lambda k: k * t["stride"])
+        grams = lambda start: F.array_distinct(F.slice(F.col("_grams"), start + 1, t["m"] - 1))
+        share = lambda own: 2 * (F.size(F.array_intersect(t["grams"], own)) + t["stride"] - 1) * q >= p * (t["n"] + F.size(own) - (t["stride"] - 1))
+        hopeful = F.filter(parts, lambda k: share(grams(k * t["stride"])))
+        starts = F.flatten(F.transform(hopeful, lambda k: F.sequence(k * t["stride"], F.least(k * t["stride"] + t["stride"] - 1, last))))
         scored = F.transform(
             starts,
             lambda s: F.struct(
-                s.alias("s"), (s + t["m"]).alias("e"), dice(t, F.array_distinct(F.slice(F.col("_grams"), s + 1, t["m"] - 1))).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")
+                s.alias("s"), (s + t["m"]).alias("e"), dice(t, grams(s)).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")
             ),
         )
         return _apart(F.sort_array(F.filter(scored, lambda w: w["dice"] >= least)))

@@ -288,6 +288,34 @@ def test_licences_across_cuts(spark):
     assert licenses.scan(documents(spark, ["a b c d e f g h i"]), templates=template).first()["dice"] == 0.8
 
 
+def test_windows_match_brute_force(spark):
+    """Damaged copies of long templates, most of them about as damaged as still matches, among other words: all windows are compared."""
+    import random
+
+    rng, texts, wanted = random.Random(12), [], []
+    long = [(name, licenses.normal(text)) for name, text in licenses.TEMPLATES if len(licenses.normal(text)) > 32]
+    for k in range(90):
+        name, words = long[k % len(long)]
+        words = list(words)
+        while dice(" ".join(words), " ".join(long[k % len(long)][1])) > 0.815 + 0.05 * (k % 3 == 0):
+            words[rng.randrange(len(words))] = f"odd{rng.randrange(10**6)}"
+        around = licenses.normal(prose(k, 400))
+        text = " ".join([*around[: rng.randrange(20, 120)], *words, *around[-rng.randrange(20, 120) :]])
+        texts.append(text)
+        best, grams = (0.0, ""), [" ".join(p) for p in zip(text.split(), text.split()[1:])]
+        for other, own in long:
+            m, own_grams = len(own), set(licenses.bigrams(" ".join(own)))
+            for s in range(len(grams) - m + 2):
+                window = set(grams[s : s + m - 1])
+                best = max(best, (2 * len(window & own_grams) / (len(window) + len(own_grams)), other))
+        wanted.append(best)
+    got = every_row(spark, licenses.scan(documents(spark, texts)), len(texts))
+    assert sum(d >= 0.8 for d, _ in wanted) >= 60
+    # windows of other templates that overlap a better one don't count, so it is the best that must be found
+    missed = [k for k, (d, name) in enumerate(wanted) if d >= 0.8 and (name not in got[k]["licenses"].split(",") or got[k]["dice"] < d - 1e-12)]
+    assert not missed, missed
+
+
 def test_quality_rules(spark):
     nav = " | ".join(f"Item{i}" for i in range(60))
     texts = [*AWKWARD, prose(3, 200), nav, prose(4, 60) + "\n" + nav + " | " + nav, "same three words " * 40, prose(5, 100) + "\nWe use cookies to track you."]
