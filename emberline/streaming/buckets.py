@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -79,8 +79,11 @@ class BucketTable:
         by = F.struct(F.col(self.time).isNotNull().alias("known"), F.col(self.time).alias("time"), F.col(self.tie).isNotNull().alias("tied"), F.col(self.tie).alias("tie"))
         return rows.groupBy(F.col(self.key).alias("_key")).agg(F.max_by(row, by).alias("_row")).select("_row.*")
 
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets))
+
     def _keyed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)))
+        return rows.withColumn("_bucket", self.bucket_of(F.col(self.key)))
 
     def _read(self, names: list[str]) -> DataFrame:
         if not names:
@@ -91,6 +94,14 @@ class BucketTable:
         """The latest row of each key."""
         return self._latest(self._read(sorted(self.manifest(version).live())))
 
+    def latest_of(self, names: list[str]) -> DataFrame:
+        """The latest row of each key in these live files, which must be all of their buckets."""
+        return self._latest(self._read(sorted(names)))
+
+    def manifests(self) -> list[Manifest]:
+        """All versions that are kept, oldest first."""
+        return [self.manifest(v) for v in self._versions()]
+
     def upsert(self, batch: DataFrame, batch_id: int) -> Manifest:
         """Apply a batch once, whatever how often it is given."""
         before = self.manifest()
