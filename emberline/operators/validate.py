@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Keys and text that must never be published.
@@ -24,11 +28,14 @@ def leaked_keys(candidates: DataFrame, banned: tuple[str, ...] = BANNED_KEYS) ->
 
 def violations(candidates: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT) -> DataFrame:
     """(name, problem) of rows without a name or with forbidden text in any field."""
+    return candidates.select("name", F.explode(_problems(candidates, forbidden)).alias("problem"))
+
+
+def _problems(candidates: DataFrame, forbidden: tuple[str, ...]) -> Column:
     whole = F.to_json(F.struct(*candidates.columns))
-    problems = F.array_compact(
+    return F.array_compact(
         F.array(F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no name"), *(F.when(whole.contains(bad.replace("/", "\\/")) | whole.contains(bad), f"forbidden content: {bad}") for bad in forbidden))
     )
-    return candidates.select("name", F.explode(problems).alias("problem"))
 
 
 class Rejected(ValueError):
@@ -66,11 +73,45 @@ def drift(before: DataFrame, after: DataFrame, key: str, value: str | None = Non
     return both.select(key, change.alias("change")).filter("change is not null")
 
 
+def _hash_sums(rows: DataFrame, volatile: tuple[str, ...]) -> list[Column]:
+    """Aggregates over a digest of each row: their number and sums of four parts, whatever the order of rows."""
+    digest = F.sha2(F.to_json(F.struct(*(c for c in rows.columns if c not in volatile))).cast("binary"), 256)
+    word = lambda i: F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("n"), *(F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"w{i}") for i in range(4))]
+
+
 def content_hash(rows: DataFrame, volatile: tuple[str, ...] = ("generated_at",)) -> DataFrame:
     """One row: an order-free digest of the rows without volatile columns, from partial sums of row hashes."""
-    kept = [c for c in rows.columns if c not in volatile]
-    digest = F.sha2(F.to_json(F.struct(*kept)).cast("binary"), 256)
-    word = lambda i: F.conv(F.substring("_d", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
-    return rows.select(digest.alias("_d")).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"w{i}") for i in range(4))).select(
+    return rows.agg(*_hash_sums(rows, volatile)).select(
         F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "w0", "w1", "w2", "w3"))).cast("binary"), 256).alias("content_hash")
     )
+
+
+@dataclass(frozen=True)
+class Audit:
+    """What one pass over candidates tells: how many there are, how many have a problem, and their content's hash."""
+
+    n: int
+    faulty: int
+    content_hash: str
+
+    @classmethod
+    def of(cls, metrics: dict) -> Audit:
+        words = ":".join(str(int(metrics[c])) for c in ("n", "w0", "w1", "w2", "w3"))
+        return cls(metrics["n"], metrics["faulty"], hashlib.sha256(words.encode()).hexdigest())
+
+
+def audit_metrics(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT, volatile: tuple[str, ...] = ("generated_at",)) -> list[Column]:
+    """The aggregates of an audit, to be observed while rows are written or computed by themselves."""
+    return [*_hash_sums(rows, volatile), F.count_if(F.size(_problems(rows, forbidden)) > 0).alias("faulty")]
+
+
+def audited(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT) -> Audit:
+    """The audit of rows, in one pass."""
+    return Audit.of(rows.agg(*audit_metrics(rows, forbidden)).first().asDict())
+
+
+def observed(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT) -> tuple[DataFrame, Callable[[], Audit]]:
+    """rows to be written once, and a function that gives their audit after that, without another pass."""
+    seen = Observation()
+    return rows.observe(seen, *audit_metrics(rows, forbidden)), lambda: Audit.of(seen.get)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import clean_number, clean_text, iso_public
 from emberline.operators import rollups, selection
 from emberline.operators.links import FEED_PROVIDERS, links, links_of
+from emberline.operators.validate import Audit, observed
 from emberline.sources.readers import json_strings
 from emberline.sources.storage import shared_folder, stored
 
@@ -61,6 +62,8 @@ class Snapshot:
     sources: DataFrame
     providers: DataFrame
     surveys: DataFrame
+    #: What was seen of the candidates while they were stored, if they were.
+    audit: Audit | None = None
 
 
 def cleaned(name: str, kind: str) -> Column:
@@ -157,11 +160,13 @@ def recent_stream(shown: DataFrame, most: int = 20) -> DataFrame:
 def snapshot(tables: dict[str, DataFrame], most: int = 5000, recent: int = 20, store: str | None = None) -> Snapshot:
     """All sections. Provider counts and the number of real events cover all publishable rows, not only the candidates.
 
-    With `store`, a folder that all executors share, the candidates are stored there once and all sections read them back.
+    With `store`, a folder that all executors share, the candidates are stored there once, audited as they are written, and all sections read them back.
     """
-    shown = candidates(tables, most, store)
+    shown, audit = candidates(tables, most, store), None
     if store is not None:
-        shown.write.parquet(f"{store}/candidates")
+        watched, told = observed(shown)
+        watched.write.parquet(f"{store}/candidates")
+        audit = told()
         shown = shown.sparkSession.read.parquet(f"{store}/candidates")
     real = tables["events"].filter(selection.unset("simulation")).agg(F.count("*").alias("real_events"))
     skipped = roots(tables, most).agg(F.count_if("_kept").alias("published"), F.count_if(~F.col("_kept")).alias("skipped"))
@@ -171,7 +176,7 @@ def snapshot(tables: dict[str, DataFrame], most: int = 5000, recent: int = 20, s
     return Snapshot(
         shown, statistics(shown).crossJoin(real).crossJoin(skipped), rollups.histogram(shown, F.col("primary_messenger"), "messenger"),
         rollups.bands(shown, F.col("score")), recent_stream(shown, recent), sources(tables["sources"], counted), rollups.ranked_providers(counted, list(KINDS)),
-        rollups.surveys(tables["events"]),
+        rollups.surveys(tables["events"]), audit,
     )  # one-row frames are crossed
 
 

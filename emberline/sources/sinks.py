@@ -13,7 +13,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.validate import BANNED_KEYS_FEED, FORBIDDEN_TEXT_FEED, Rejected, check, content_hash, run_status
+from emberline.operators.validate import BANNED_KEYS, BANNED_KEYS_FEED, FORBIDDEN_TEXT, FORBIDDEN_TEXT_FEED, Audit, Rejected, audited, check, leaked_keys, run_status
 from emberline.plans import documents
 from emberline.plans.snapshot import FEED_VERSION, SCHEMA_VERSION, Snapshot
 from emberline.sources.documents import write_documents
@@ -66,17 +66,27 @@ def _publish(spark: SparkSession, folder: str, rows: DataFrame, sections: dict,
             fs.delete(entry.getPath(), True)
 
 
+def _sound(rows: DataFrame, version: int, seen: Audit | None, banned: tuple[str, ...] = BANNED_KEYS, forbidden: tuple[str, ...] = FORBIDDEN_TEXT) -> Audit:
+    """The audit of rows that may be published; Rejected if they may not. Rows are read again only to say what is wrong with them."""
+    if "name" in rows.columns and not leaked_keys(rows, banned):
+        seen = seen or audited(rows, forbidden)
+        if not seen.faulty:
+            return seen
+    check(rows, version, version, banned, forbidden)
+    raise Rejected(f"{seen.faulty if seen else 'some'} rows with problems")
+
+
 def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool = False, degraded: bool = False) -> dict:
     """Check and write a version: candidates.json and status.json with all their sections, and all sections as tables.
 
     What was current stays if nothing changed, or if the run is degraded. Candidates are best stored once
-    (`snapshot(..., store=...)`), since checks, hash, count and documents all read them. Fails with Rejected, before anything is written,
+    (`snapshot(..., store=...)`): checks, hash and count are then taken while they are written, and documents read them back. Fails with Rejected, before anything is written,
     if the candidates fail their checks.
     """
     spark = snapshot.candidates.sparkSession
-    check(snapshot.candidates, SCHEMA_VERSION, SCHEMA_VERSION)
-    digest = content_hash(snapshot.candidates).first()["content_hash"]
-    summary = {"content_hash": digest, "candidate_count": snapshot.candidates.count(), "written": False, "degraded": degraded}
+    seen = _sound(snapshot.candidates, SCHEMA_VERSION, snapshot.audit)
+    digest = seen.content_hash
+    summary = {"content_hash": digest, "candidate_count": seen.n, "written": False, "degraded": degraded}
     if dry_run:
         return summary
     before = current(spark, folder)
@@ -85,7 +95,8 @@ def publish(snapshot: Snapshot, folder: str, generated_at: str, dry_run: bool =
 
     def tables(version: str) -> None:
         for section in fields(snapshot):
-            getattr(snapshot, section.name).write.json(f"{version}/{section.name}")
+            if isinstance(rows := getattr(snapshot, section.name), DataFrame):
+                rows.write.json(f"{version}/{section.name}")
 
     rows = documents.snapshot_rows(snapshot, generated_at, summary["candidate_count"], digest, degraded)
     _publish(spark, folder, rows, documents.SNAPSHOT_SECTIONS, before, tables)
@@ -118,8 +129,8 @@ def publish_feed(shown: DataFrame, states: DataFrame, folder: str, generated_at:
         rows = documents.retained_rows(spark, states, _status(spark, before), generated_at)
         _publish(spark, folder, rows, {"status": documents.FEED_SECTIONS["status"]}, before, keep)
         return {"written": False, "degraded": True, "status": "degraded"}
-    check(shown, FEED_VERSION, FEED_VERSION, BANNED_KEYS_FEED, FORBIDDEN_TEXT_FEED)
-    digest, count = content_hash(shown).first()["content_hash"], shown.count()
+    seen = _sound(shown, FEED_VERSION, None, BANNED_KEYS_FEED, FORBIDDEN_TEXT_FEED)
+    digest, count = seen.content_hash, seen.n
     status = "degraded" if degraded else told["status"]
     rows = documents.feed_rows(shown, states, generated_at, generated_at, status, count, digest, hours, seconds, degraded)
     _publish(spark, folder, rows, documents.FEED_SECTIONS, before)

@@ -97,3 +97,17 @@ def test_feed_is_published_kept_and_refused(spark, tmp_path):
     assert empty["status"] == "degraded" and read(f"{sinks.current(spark, folder)}/candidates.json")["candidates"] == []
     idle = sinks.publish_feed(shown, states(spark, ("t", "disabled", None)), folder, "t5")
     assert idle["status"] == "idle" and not idle["degraded"]
+
+
+def test_audit_is_seen_while_storing(spark, tables, tmp_path):  # noqa: F811
+    """One pass tells what three would: the number, the hash, and whether anything is wrong."""
+    made = snapshot.snapshot(tables, store=str(tmp_path / "store"))
+    assert made.audit == validate.audited(made.candidates) and made.audit.n == 4 and made.audit.faulty == 0
+    assert made.audit.content_hash == validate.content_hash(made.candidates).first()["content_hash"]
+    bad = made.candidates.withColumn("host_name", F.when(F.col("name") == "N5", "see /Users/x")).withColumn("name", F.when(F.col("name") != "N7", F.col("name")))
+    assert validate.audited(bad).faulty == 2 and validate.violations(bad).count() == 2
+    watched, told = validate.observed(bad)
+    watched.write.parquet(str(tmp_path / "bad"))
+    assert told() == validate.audited(bad)
+    with pytest.raises(validate.Rejected, match="/Users/"):
+        sinks.publish(snapshot.Snapshot(bad, *[getattr(made, f) for f in ("statistics", "messengers", "bands", "recent", "sources", "providers", "surveys")]), str(tmp_path / "out"), "x")
