@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import scalars as fn
 from emberline.operators import browse, links, rollups, selection, sky, validate
-from emberline.plans import catalogue_sources, catalogue_streams, snapshot  # noqa: F401  the import registers queries
+from emberline.plans import catalogue_lookup, catalogue_sources, catalogue_streams, snapshot  # noqa: F401  the import registers queries
 from emberline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from emberline.sources.readers import empty_catalogue, json_object
 
