@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shared_folder, stored, texts
+from emberline.llm.common import dropped, shared_folder, stored, texts
 from emberline.llm.graph import components
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -194,6 +194,7 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
     first = stored(live.select("s", "n").join(full, "s"), folder, "matrix-1")
     again = _lone(first.select("s", every))
     matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", F.col("m").alias("fold"), *names), folder, "matrix-2")
+    dropped(rows.sparkSession, f"{folder}/matrix-1")
 
     held = matrix.select("s", "n", "k", every)
     often = held.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
@@ -241,12 +242,14 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
             first = met.filter(~F.arrays_overlap("p", "_p"))  # each pair at its first common shingle
             pairs = first.filter(_can_overlap(F.col("n"), F.col("_n"), F.col("fold"), F.col("_fold"), percent)).select("a", "b", "n", F.col("_n").alias("m"))
         good = stored(_overlapping(pairs, matrix, percent, blocks), folder, f"links-{turn}")
+        dropped(rows.sparkSession, f"{folder}/open-{turn}")
         if good.isEmpty():
             if turn < rounds:
                 continue
             break
         links = good if links is None else links.union(good)
-        found = stored(components(links, folder, f"stars-{turn}"), folder, f"components-{turn}")
+        found = stored(components(links, f"{folder}/stars-{turn}", "s"), folder, f"components-{turn}")
+        dropped(rows.sparkSession, f"{folder}/stars-{turn}")
     if found is None:
         found = rows.sparkSession.createDataFrame([], "node long, root long")
     return rows.select("doc_id", "n", "s"), found
@@ -278,14 +281,16 @@ def one_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """
     keyed = docs.select(_row_hash(docs).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     named = keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))  # linked by row hash instead of doc_id
-    rows, found = linked_sets(named, shared_folder(docs.sparkSession), percent, width)
+    folder = shared_folder(docs.sparkSession)
+    rows, found = linked_sets(named, folder, percent, width)
     linked = rows.filter("n > 0").select(F.col("doc_id").alias("_key"), "s").distinct()
     rooted = linked.join(found.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     ids = keyed.select("_key", F.col("_row.doc_id").alias("doc_id")).distinct()
     order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "s", "_key")
     least = rooted.join(ids, "_key").groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least._key").alias("_stays"))
-    gone = rooted.join(least, "root").filter("_key != _stays").select("_key")
-    kept = keyed.join(gone, "_key", "left_anti")
+    gone = stored(rooted.join(least, "root").filter("_key != _stays").select("_key"), folder, "gone")
+    small = gone.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS
+    kept = keyed.join(F.broadcast(gone) if small else gone, "_key", "left_anti")
     if rows.filter("n > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept.select("_row.*")
     worded = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -66,8 +66,6 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
 
     split() gives what lies between the matches, so adding up lengths gives places, and no place is looked up in the text again.
     """
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
     none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
@@ -88,7 +86,10 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<array<{_SPAN}>>").alias("found"))
         return F.aggregate(F.sequence(F.lit(1), F.size(all_parts), F.lit(_CHUNK)), start, chunk, lambda acc: F.flatten(acc["found"]))
 
-    return F.get(F.transform(F.array(parts), chunked), 0)  # a lambda's variable: the text is cut once
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = lambda gaps: F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
+    # lambdas' variables: the text is cut once, and zipped once
+    return F.get(F.transform(F.transform(F.array(F.split(text, pattern, -1)), parts), chunked), 0)
 
 
 def _digits(value: Column) -> Column:
