@@ -9,7 +9,7 @@ gradient is scaled by the Gram matrix of the posteriors over documents with posi
 for k domains), and rates are projected to >= 0 after each step. Steps end when all targets are met
 within `tolerance` of all tokens, or when one lowers the squared error by less than a twentieth: where a
 target is out of reach (soft memberships leave a little of each domain in every document), further steps
-would only heap the tokens on ever fewer documents. Fit.short says what is left.
+would only heap the tokens on ever fewer documents. Fit.short says what is left. (For such a target the test asks for a tenth of the error before the fit, no less.)
 
 Domains by default: `toxic` (label toxic = 1), `junk` (quality = 0) and `clean`. Tokens are words.
 All fitting on labels uses a bounded sample (`most_labelled`); totals and rates use all documents.

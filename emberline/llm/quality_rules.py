@@ -9,7 +9,7 @@ A document goes if more than `most_lost` of its word characters stand in failed
 limits fail (fewer than 50 words, or over half of its words in three-word windows that recur).
 
 Arrow batches carry the texts through numpy and Python; each text is judged alone, so memory is
-bounded by a batch. Null text counts as empty (no words, base failed). Repeated rows repeat.
+bounded by a batch. Null text counts as empty (no words, base failed). Repeated rows repeat. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ outside the held-out fold, crc32(doc_id as text) mod 5 = 0. Part of the sample c
 Scores never use labels, lang, source or doc_id.
 
 Cases: null and empty texts have one window without words. Repeated rows score alike. Without labels of
-both classes every score is the share of toxic labels (0 without labels). Texts are scored whole.
+both classes every score is the share of toxic labels (0 without labels). Texts are scored whole. An empty table gives no rows.
+
+Word embeddings don't start at random alone: a telling word's first component starts at its log-odds between toxic and clean documents of the sample.
 """
 
 from __future__ import annotations
