@@ -64,16 +64,16 @@ def run_status(sources: DataFrame, *by: str) -> DataFrame:
 
 def drift(before: DataFrame, after: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """(key, change): keys removed, added and, with a value (a content hash, say), changed. Missing `before` rows are a baseline."""
-    a = before.select(F.col(key), F.lit(True).alias("_a"), *([F.col(value).alias("_va")] if value else []))
-    b = after.select(F.col(key), F.lit(True).alias("_b"), *([F.col(value).alias("_vb")] if value else []))
-    both = a.join(b, key, "full")
+    a = before.select(F.col(key).alias("_k"), F.lit(True).alias("_a"), *([F.col(value).alias("_va")] if value else [])).alias("a")
+    b = after.select(F.col(key).alias("_k"), F.lit(True).alias("_b"), *([F.col(value).alias("_vb")] if value else [])).alias("b")
+    both = a.join(b, F.col("a._k").eqNullSafe(F.col("b._k")), "full").withColumn(key, F.coalesce("a._k", "b._k"))
     change = F.when(F.col("_b").isNull(), "removed").when(F.col("_a").isNull(), "added")
     if value:
         change = change.when(~F.col("_va").eqNullSafe(F.col("_vb")), "changed")
     return both.select(key, change.alias("change")).filter("change is not null")
 
 
-def _hash_sums(rows: DataFrame, volatile: tuple[str, ...]) -> list[Column]:
+def hash_sums(rows: DataFrame, volatile: tuple[str, ...]) -> list[Column]:
     """Aggregates over a digest of each row: their number and sums of four parts, whatever the order of rows."""
     digest = F.sha2(F.to_json(F.struct(*(c for c in rows.columns if c not in volatile))).cast("binary"), 256)
     word = lambda i: F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
@@ -82,7 +82,7 @@ def _hash_sums(rows: DataFrame, volatile: tuple[str, ...]) -> list[Column]:
 
 def content_hash(rows: DataFrame, volatile: tuple[str, ...] = ("generated_at",)) -> DataFrame:
     """One row: an order-free digest of the rows without volatile columns, from partial sums of row hashes."""
-    return rows.agg(*_hash_sums(rows, volatile)).select(
+    return rows.agg(*hash_sums(rows, volatile)).select(
         F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "w0", "w1", "w2", "w3"))).cast("binary"), 256).alias("content_hash")
     )
 
@@ -103,7 +103,7 @@ class Audit:
 
 def audit_metrics(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT, volatile: tuple[str, ...] = ("generated_at",)) -> list[Column]:
     """The aggregates of an audit, to be observed while rows are written or computed by themselves."""
-    return [*_hash_sums(rows, volatile), F.count_if(F.size(_problems(rows, forbidden)) > 0).alias("faulty")]
+    return [*hash_sums(rows, volatile), F.count_if(F.size(_problems(rows, forbidden)) > 0).alias("faulty")]
 
 
 def audited(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_TEXT) -> Audit:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberline.operators.digest import changes, stored_version
 from emberline.operators.paging import Pages
 from emberline.operators.search import SearchIndex
 from emberline.plans.registry import query
@@ -26,3 +27,14 @@ def search_index(t):
     index = SearchIndex.of(t("documents").select("doc_id", "text"), "doc_id", F.col("text"), shared_folder(t.spark))
     found = [index.find(wanted).select("doc_id", F.lit(wanted).alias("wanted")) for wanted in ("licensed under", "é")]
     return found[0].unionByName(found[1])
+
+
+@query("""select k, case when b is null then 'removed' when a is null then 'added' else 'changed' end as change from (select o_orderkey as k, o_totalprice as a from orders where o_orderkey % 101 <> 7) full join
+(select o_orderkey as k, case when o_orderkey % 97 = 0 then -1 else o_totalprice end as b from orders where o_orderkey % 103 <> 9) using (k) where a is distinct from b""")
+def drift_by_digest(t):
+    """Orders removed, added and changed between two stored versions, from the parts whose digests differ."""
+    k, folder = F.col("o_orderkey"), shared_folder(t.spark)
+    rows = t("orders").select(k.alias("k"), F.col("o_totalprice").alias("v"))
+    before = stored_version(rows.filter("k % 101 <> 7"), "k", f"{folder}/before")
+    after = stored_version(rows.filter("k % 103 <> 9").withColumn("v", F.when(F.col("k") % 97 == 0, F.lit(-1.0)).otherwise(F.col("v"))), "k", f"{folder}/after")
+    return changes(before, after)
