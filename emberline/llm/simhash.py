@@ -224,7 +224,8 @@ def _met(prints: DataFrame, queries: DataFrame, radius: int, together: int = _TO
     first = F.lit(2 * _HASHES)
     for k in reversed(range(2 * _HASHES)):
         first = F.when(by_block[k] <= flips, k).otherwise(first)
-    met = probes.join(index, on).withColumn("distance", sum(apart, F.lit(0)))
+    # each query makes len(masks) probes for each table: merged, as their number isn't seen where a broadcast is chosen by the queries' size
+    met = probes.join(index.hint("merge"), on).withColumn("distance", sum(apart, F.lit(0)))
     return met.filter((F.col("distance") <= radius) & (F.col("table") == first)).drop(*on)
 
 

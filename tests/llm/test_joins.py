@@ -117,3 +117,11 @@ def test_block_tables_find_all(spark):
     apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
     wanted = {(a, b, apart(a, b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if apart(a, b) <= 12}
     assert {tuple(r) for r in pairs.collect()} == wanted and wanted
+
+
+def test_probes_are_not_broadcast(spark):
+    """A query makes 192 probes, so those of few queries (small enough for a broadcast) would still fill the driver."""
+    prints = stored(spark.range(2000).select(*(F.shiftrightunsigned(F.xxhash64("id", F.lit(k)), 2).alias(f"f{k}") for k in range(3)), F.lit(1).alias("n")), shared_folder(spark), "p")
+    found = simhash.counted(prints, prints.select("f0", "f1", "f2").limit(100).distinct())
+    assert len(found.collect()) == 100
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
