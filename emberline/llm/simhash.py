@@ -3,7 +3,8 @@
 A text's terms are its pairs of neighbouring lower-case words (a lone word is a term), each as often
 as it occurs and weighing more if it is long. Every term's hash bits vote with that weight, for
 the bit if set and against it if not; a fingerprint bit is set if the votes for it win. All votes of
-a text are sums: 31 sums for each of three 62-bit hashes, two bits' votes side by side in a sum.
+a text are sums: 16 sums for each of three 62-bit hashes, four bits' votes side by side in a sum. They hold 10,000 terms,
+so a longer text has such sums for each stretch of that many terms, and then sums of two bits over its stretches.
 
 Likeness of two fingerprints is the share of equal bits. Block tables find all fingerprints within a Hamming
 radius of given ones: the 186 bits are six blocks of 31, and there is a table for each, with that block in front as its key.
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import shared_folder, stored, texts
 
-_HASHES, _SHIFTS, _LANE = 3, 31, 31
+_HASHES, _SHIFTS = 3, 31
 BITS = _HASHES * 2 * _SHIFTS
-_PAIR = 1 + (1 << _LANE)
+#: Lanes of 16 bits (the votes of a stretch, up to 3 * _STRETCH) and of 32 bits (those of a text).
+_FOUR, _TWO, _STRETCH = 1 + (1 << 16) + (1 << 32) + (1 << 48), 1 + (1 << 32), 10_000
 _LEAST_KEY = -(2**63)
 _BROADCAST_RANGES = 200_000
 _PARTS = tuple(f"f{k}" for k in range(_HASHES))
@@ -49,27 +51,38 @@ def terms(words: Column) -> Column:
 
 
 def _votes() -> list[Column]:
+    """Sums over a stretch of terms: sum s of a hash has the votes for its bits s, s + 16, s + 32 and s + 48."""
     weight = F.when(F.col("term").isNull(), 0).when(F.length("term") >= 12, 3).when(F.length("term") >= 8, 2).otherwise(1).cast("long")
     out = [F.sum(weight).alias("w")]
     for k in range(_HASHES):
-        out += [F.sum(F.shiftright(F.col(f"h{k}"), s).bitwiseAND(F.lit(_PAIR)) * weight).alias(f"v{k}_{s}") for s in range(_SHIFTS)]
+        out += [F.sum(F.shiftright(F.col(f"h{k}"), s).bitwiseAND(F.lit(_FOUR)) * weight).alias(f"v{k}_{s}") for s in range(16)]
+    return out
+
+
+def _totals() -> list[Column]:
+    """Sums over a text's stretches: sum s of a hash has the votes for its bits s and s + 32."""
+    out, low = [F.sum("w").alias("w")], F.lit(_TWO * 0xFFFF)
+    for k in range(_HASHES):
+        out += [F.sum(F.shiftrightunsigned(F.col(f"v{k}_{s % 16}"), s // 16 * 16).bitwiseAND(low)).alias(f"v{k}_{s}") for s in range(32)]
     return out
 
 
 def _bits(k: int) -> Column:
-    """62 bits from the sums: adding 2^30 - 1 - half of all votes to a lane carries into its top bit if the votes for it win."""
-    lift = (F.lit((1 << 30) - 1) - F.floor(F.col("w") / 2)) * F.lit(_PAIR)
+    """62 bits from the sums: adding 2^30 - 1 - half of all votes to a lane carries into its bit 30 if the votes for it win."""
+    lift = (F.lit((1 << 30) - 1) - F.floor(F.col("w") / 2)) * F.lit(_TWO)
     bits = F.lit(0).cast("long")
-    for s in range(_SHIFTS):
-        bits = bits.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"v{k}_{s}") + lift, 30).bitwiseAND(F.lit(_PAIR)), s))
-    return bits
+    for s in range(32):
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"v{k}_{s}") + lift, 30).bitwiseAND(F.lit(_TWO)), s))
+    return bits.bitwiseAND(F.lit((1 << 2 * _SHIFTS) - 1))
 
 
 def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and f0, f1, f2 (62 bits each) from rows of keys and `words`; keys tell the rows apart."""
-    exploded = rows.select(*keys, F.explode(terms(F.col("words"))).alias("term"))
-    hashed = exploded.select(*keys, "term", *(F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(_HASHES)))
-    return hashed.groupBy(*keys).agg(*_votes()).select(*keys, *(_bits(k).alias(f"f{k}") for k in range(_HASHES)))
+    exploded = rows.select(*keys, F.posexplode(terms(F.col("words"))).alias("_place", "term"))
+    hashes = (F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(_HASHES))
+    hashed = exploded.select(*keys, F.floor(F.col("_place") / _STRETCH).alias("_stretch"), "term", *hashes)
+    sums = hashed.groupBy(*keys, "_stretch").agg(*_votes()).groupBy(*keys).agg(*_totals())
+    return sums.select(*keys, *(_bits(k).alias(f"f{k}") for k in range(_HASHES)))
 
 
 def words_of(text: Column) -> Column:

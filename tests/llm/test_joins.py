@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from emberline.llm import graph, ngram_join, simhash
@@ -125,3 +126,20 @@ def test_probes_are_not_broadcast(spark):
     found = simhash.counted(prints, prints.select("f0", "f1", "f2").limit(100).distinct())
     assert len(found.collect()) == 100
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_of_long_texts(spark):
+    """Fingerprints of texts of several stretches, and of one term alone, against a count of each bit's votes; a term costs 49 sums."""
+    texts = [" ".join(f"{w % 997}{'y' * (w % 15)}" for w in range(n)) for n in (300, 10_001, 25_000)] + ["internationalization " * 30_000]
+    got = {r["doc_id"]: [r["f0"], r["f1"], r["f2"]] for r in simhash.printed(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        votes = [0] * simhash.BITS
+        for term, n in collections.Counter(map(" ".join, zip(words, words[1:], strict=False))).items():
+            weight = n * (3 if len(term) >= 12 else 2 if len(term) >= 8 else 1)
+            for k in range(3):
+                h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(term, 42))
+                for b in range(62):
+                    votes[62 * k + b] += weight if h >> b & 1 else -weight
+        assert got[i] == [sum(1 << b for b in range(62) if votes[62 * k + b] > 0) for k in range(3)]
+    assert len(simhash._votes()) == 49
