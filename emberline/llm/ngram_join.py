@@ -6,12 +6,12 @@ in blocks by hash. What its size rules out is discarded as soon as it is:
 1. First block of columns, all rows: a set of n shingles that links with anything
    misses at most n - ceil(0.8 n) of its partner's. Shingles that only one set holds are misses with every
    partner, so a set with more of them is discarded. Counting them takes one aggregate by shingle.
-2. All blocks, the rows left: the same bound again, and each remaining set's rarest shingles, as many as a
-   partner can't all miss, open its pairs: only pairs that share one of them, so early in both orders that
+2. All blocks, the rows left: one count of each shingle's sets gives the same bound again, and each remaining set's rarest shingles,
+   as many as a partner can't all miss, open its pairs: only pairs that share one of them, so early in both orders that
    they can link, become entries of the product. All other entries are known to miss their bound.
 3. Entries accumulate their overlap block by block. After each block an entry goes if what it has, plus the fewer of the
    two sets' shingles in the blocks to come, stays below the overlap that its sizes ask for. What is left after the last
-   block are the links.
+   block are the links. Only the rows of sets that have an entry take part.
 
 To lose no component without opening all pairs of a group, in a few rounds the sets of a column first meet in parties of
 about sixteen, and each opens up to three entries, with those whose sketches are likest its own among a third each; then all entries are opened whose sets
@@ -162,20 +162,22 @@ def _can_overlap(n: Column, m: Column, x: Column, y: Column, percent: int) -> Co
     return F.least(n - alone(x, y), m - alone(y, x)) >= _least_overlap(n, m, percent)
 
 
-def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ids: a broadcast up to a checked size, a shuffled join beyond it."""
-    known = ids.filter("doc_id is not null").distinct()
+def _restricted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ids: a broadcast up to a checked size, a shuffled join beyond it."""
+    known = ids.filter(F.col(key).isNotNull()).distinct()
     small = known.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS
-    return docs.join(F.broadcast(known) if small else known, "doc_id", "left_semi")
+    return rows.join(F.broadcast(known) if small else known, key, "left_semi")
 
 
 def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5, blocks: int = 4, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(rows, components): rows has doc_id, n, s; components has (node, root) over linked sets s."""
     plain = texts(docs)
-    rows = stored(_rows(plain, width, blocks), folder, "rows")
+    heads = stored(_rows(plain, width, blocks), folder, "heads")
+    rows = stored(heads.select("doc_id", "n", "s"), folder, "rows")
     classes = rows.filter("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    lone = _lone(rows.select("s", F.explode("head").alias("t")))
+    lone = _lone(heads.select("s", F.explode("head").alias("t")))
     live = stored(classes.join(lone, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "doc_id"), folder, "live")
+    dropped(rows.sparkSession, f"{folder}/heads")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Words()
@@ -183,29 +185,25 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
             found = [shingles(t, width, memo) for t in batch["text"]]
             parts = [_block(f, blocks) for f in found]
             columns = {f"x{k}": [f[p == k] for f, p in zip(found, parts, strict=True)] for k in range(blocks)}
-            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "k": [_sketch(f) for f in found], "m": [_folded(f) for f in found], **columns})
+            yield pd.DataFrame({"s": [np.int64(xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63) for f in found], "k": [_sketch(f) for f in found], "fold": [_folded(f) for f in found], **columns})
 
     names = [f"x{k}" for k in range(blocks)]
-    every = F.explode(F.concat(*names)).alias("t")
 
     # a class whose rows all lack a doc_id can't be found by it, so rows without one come along
-    named = _restricted(plain, live.select("doc_id")).union(plain.filter("doc_id is null"))
-    full = named.mapInPandas(whole, "s long, k long, m array<long>, " + ", ".join(f"{x} array<long>" for x in names)).dropDuplicates(["s"])
-    first = stored(live.select("s", "n").join(full, "s"), folder, "matrix-1")
-    again = _lone(first.select("s", every))
-    matrix = stored(first.join(again, "s", "left").filter(F.coalesce("lone", F.lit(0)) <= _most_missed(F.col("n"), percent)).select("s", "n", "k", F.col("m").alias("fold"), *names), folder, "matrix-2")
-    dropped(rows.sparkSession, f"{folder}/matrix-1")
-
-    held = matrix.select("s", "n", "k", every)
+    named = _restricted(plain, live.select("doc_id"), "doc_id").union(plain.filter("doc_id is null"))
+    full = named.mapInPandas(whole, "s long, k long, fold array<long>, " + ", ".join(f"{x} array<long>" for x in names)).dropDuplicates(["s"])
+    matrix = stored(live.select("s", "n").join(full, "s"), folder, "matrix")
+    held = matrix.select("s", F.explode(F.concat(*names)).alias("t"))
     often = held.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = held.join(often, "t").groupBy("s", "n", "k").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_by"))
+    listed = held.join(often, "t").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_by"))
+    shared = listed.join(matrix.select("s", "n", "k"), "s")
     alone = F.col("n") - F.size("_by")  # these come first in the set's order
-    wanted = _most_missed(F.col("n"), percent) + 1 - alone
+    wanted = _most_missed(F.col("n"), percent) + 1 - alone  # none for a set with more lone shingles than it can miss
     taken = shared.withColumn("_a", alone).withColumn("_k", wanted.cast("int")).filter("_k > 0")
-    taken = taken.withColumn("_early", F.slice("_by", F.lit(1), F.col("_k"))["t"])
-    placed = taken.select("s", "n", "k", "_a", "_early", F.posexplode("_early").alias("_i", "t"))
-    before = F.slice("_early", F.lit(1), F.col("_i")).alias("p")  # the blocking shingles before this one
-    blocking = stored(placed.select("t", "s", "n", "k", (F.col("_a") + F.col("_i") + 1).alias("r"), before), folder, "blocking")
+    taken = taken.withColumn("_early", F.slice("_by", F.lit(1), F.greatest("_k", F.lit(0)))["t"])
+    early = stored(taken.select("s", "n", "k", "_a", "_early"), folder, "early")
+    placed = early.select("s", "n", "k", "_a", F.posexplode("_early").alias("i", "t"))
+    blocking = stored(placed.select("t", "s", "n", "k", (F.col("_a") + F.col("i") + 1).alias("r"), "i"), folder, "blocking")
 
     links, found = None, None
 
@@ -221,10 +219,12 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
     for turn in range(rounds + 1):
         columns = open_columns()
         if turn == rounds:
-            columns = columns.join(matrix.select("s", "fold"), "s")
+            before = F.slice("_early", F.lit(1), F.col("i"))  # the blocking shingles before this one
+            whole_sets = matrix.select("s", "fold").join(early.select("s", "_early"), "s")
+            columns = columns.join(whole_sets, "s").withColumn("p", before).drop("_early", "i")
         else:
             party = F.pmod(F.xxhash64("s", "t", F.lit(turn)), F.ceil(F.col("f") / _PARTY))
-            columns = columns.withColumn("g", party).drop("p")
+            columns = columns.withColumn("g", party).drop("i")
         columns = stored(columns.drop("f"), folder, f"open-{turn}")
         on = ["t", "g"] if turn < rounds else ["t"]
         other = columns.select(*on, F.col("s").alias("b"), F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("c").alias("_c"), *([] if turn < rounds else [F.col("p").alias("_p"), F.col("fold").alias("_fold")]))
@@ -241,9 +241,16 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
         else:
             first = met.filter(~F.arrays_overlap("p", "_p"))  # each pair at its first common shingle
             pairs = first.filter(_can_overlap(F.col("n"), F.col("_n"), F.col("fold"), F.col("_fold"), percent)).select("a", "b", "n", F.col("_n").alias("m"))
-        good = stored(_overlapping(pairs, matrix, percent, blocks), folder, f"links-{turn}")
+        pairs = stored(pairs, folder, f"pairs-{turn}")
         dropped(rows.sparkSession, f"{folder}/open-{turn}")
-        if good.isEmpty():
+        good = None
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s")))
+            met_sets = stored(_restricted(matrix.select("s", *names), ends, "s"), folder, f"met-{turn}")
+            good = stored(_overlapping(pairs, met_sets, percent, blocks), folder, f"links-{turn}")
+            dropped(rows.sparkSession, f"{folder}/met-{turn}")
+        dropped(rows.sparkSession, f"{folder}/pairs-{turn}")
+        if good is None or good.isEmpty():
             if turn < rounds:
                 continue
             break
@@ -252,7 +259,7 @@ def linked_sets(docs: DataFrame, folder: str, percent: int = 80, width: int = 5,
         dropped(rows.sparkSession, f"{folder}/stars-{turn}")
     if found is None:
         found = rows.sparkSession.createDataFrame([], "node long, root long")
-    return rows.select("doc_id", "n", "s"), found
+    return rows, found
 
 
 def joined(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:

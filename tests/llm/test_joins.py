@@ -143,3 +143,23 @@ def test_votes_of_long_texts(spark):
                     votes[62 * k + b] += weight if h >> b & 1 else -weight
         assert got[i] == [sum(1 << b for b in range(62) if votes[62 * k + b] > 0) for k in range(3)]
     assert len(simhash._votes()) == 49
+
+
+def test_only_sets_with_entries_are_read(spark, monkeypatch):
+    """The product of a turn reads the rows of its pairs' sets alone, and a turn without pairs reads none."""
+    seen, plain = [], ngram_join._overlapping
+
+    def watched(pairs, matrix, *more):
+        sets = {s for r in pairs.select("a", "b").collect() for s in r}
+        seen.append((sorted(sets), sorted(r["s"] for r in matrix.select("s").collect())))
+        return plain(pairs, matrix, *more)
+
+    monkeypatch.setattr(ngram_join, "_overlapping", watched)
+    near = [prose(1, 80), prose(1, 80) + " end"]
+    passage = prose(77, 70)
+    others = [passage + " " + prose(50 + k, 10) + " " + prose(90 + k, 2) for k in range(3)]
+    assert ngram_join.joined(documents(spark, [*near, *others, *(prose(k, 60) for k in range(10, 14))])).count() == 9
+    assert seen and all(sets == read for sets, read in seen)
+    seen.clear()
+    assert ngram_join.joined(documents(spark, [prose(k, 60) for k in range(5)])).count() == 5
+    assert not seen
