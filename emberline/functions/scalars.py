@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: through a one-element array."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def clean_text(value: Column) -> Column:
     """Trimmed of all Unicode white space; blank is null."""
     return F.nullif(F.regexp_replace(value, r"(?U)\A\s+|\s+\z", ""), F.lit(""))
@@ -106,8 +112,7 @@ def mollweide(ra: Column, dec: Column, width: float = 960.0, height: float = 480
         (width / 2 + (2 * root / math.pi) * F.radians(180 - ra) * F.cos(t) * ((width - 2 * margin) / (4 * root))).alias("x"),
         (height / 2 - root * F.sin(t) * ((height - 2 * margin) / (2 * root))).alias("y"),
     )
-    # through a one-element array, so that the fold is computed once
-    return F.element_at(F.transform(F.array(theta), place), 1)
+    return bound(theta, place)
 
 
 #: The colours at magnitudes 13, 18 and 23, and the colour for none.
@@ -167,18 +172,28 @@ FACTOR_LABELS = (
 
 
 def shown_factors(factors: Column) -> Column:
-    """array<struct<label, value>> of a map of factors (variants), in the order of the labels; missing and empty ones left out."""
-    rows = []
-    for key, label in FACTOR_LABELS:
-        value = F.try_variant_get(F.try_element_at(factors, F.lit(key)), "$", "string")
-        rows.append(F.when(value != "", F.struct(F.lit(label).alias("label"), factor_text(F.lit(key), value).alias("value"))))
-    return F.array_compact(F.array(*rows))
+    """array<struct<label, value>> of a map of factors (variants), in the order of the labels; missing and empty ones left out.
+
+    The map is computed once, and so is each value: named in full at each use, the text would be parsed thousands of times.
+    """
+
+    def rows(known: Column) -> Column:
+        text = lambda key: F.try_variant_get(F.try_element_at(known, F.lit(key)), "$", "string")
+        found = F.array(*(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), text(key).alias("value")) for key, label in FACTOR_LABELS))
+        shown = F.filter(found, lambda row: row["value"] != "")
+        return F.transform(shown, lambda row: F.struct(row["label"].alias("label"), factor_text(row["key"], row["value"]).alias("value")))
+
+    return bound(factors, rows)
 
 
 def factor_text(key: Column, value: Column) -> Column:
     """Numbers with two decimals, but for the status override, which is text."""
-    number = value.try_cast("double")
-    return F.when((key != "status") & number.isNotNull(), fixed(number, 2)).otherwise(value)
+
+    def shown(x: Column) -> Column:
+        number = F.when(x["key"] != "status", x["value"].try_cast("double"))
+        return bound(number, lambda n: F.when(n.isNotNull(), fixed(n, 2)).otherwise(x["value"]))
+
+    return bound(F.struct(key.alias("key"), value.alias("value")), shown)
 
 
 def source_indicator(state: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.scalars import clean_number, clean_text, iso_public
+from emberline.functions.scalars import bound, clean_number, clean_text, iso_public
 from emberline.operators import rollups, selection
 from emberline.operators.links import FEED_PROVIDERS, links, links_of
 from emberline.operators.validate import Audit, observed
@@ -78,21 +78,26 @@ def cleaned(name: str, kind: str) -> Column:
 def score_factors(text: Column, cleaned_values: bool = True) -> Column:
     """map<string, variant> of the allowed factors with plain values; null if there are none.
 
-    A value keeps its type: number, text or truth. Cleaned: text is trimmed and blank text left out, fractions are rounded.
+    A value keeps its type: number, text or truth. Cleaned: text is trimmed and blank text left out, fractions are rounded. The text is parsed once, and each
+    factor is taken once.
     """
-    parsed = F.try_parse_json(text)
-    pairs = []
-    for key in FACTORS:
-        value = F.try_variant_get(parsed, f"$.{key}", "variant")
+
+    def plain(pair: Column) -> Column:
+        value = pair["value"]
         kind = F.schema_of_variant(value)
-        plain = F.when(kind.rlike(r"\A(?:STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT|LONG)\z"), value)
+        kept = F.when(kind.rlike(r"\A(?:STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT|LONG)\z"), value)
         if cleaned_values:
-            string = clean_text(F.try_variant_get(parsed, f"$.{key}", "string")).cast("variant")
-            number = clean_number(F.try_variant_get(parsed, f"$.{key}", "double")).cast("variant")
-            plain = F.when(kind == "STRING", string).when(kind.rlike(r"\A(?:DOUBLE|FLOAT|DECIMAL)"), number).otherwise(plain)
-        pairs.append(F.when(plain.isNotNull(), F.struct(F.lit(key).alias("key"), plain.alias("value"))))
-    found = F.array_compact(F.array(*pairs))
-    return F.when(F.size(found) > 0, F.map_from_entries(found))
+            string = clean_text(F.try_variant_get(value, "$", "string")).cast("variant")
+            number = bound(F.try_variant_get(value, "$", "double"), clean_number).cast("variant")
+            kept = F.when(kind == "STRING", string).when(kind.rlike(r"\A(?:DOUBLE|FLOAT|DECIMAL)"), number).otherwise(kept)
+        return F.struct(pair["key"].alias("key"), kept.alias("value"))
+
+    def pairs(parsed: Column) -> Column:
+        taken = F.array(*(F.struct(F.lit(key).alias("key"), F.try_variant_get(parsed, f"$.{key}", "variant").alias("value")) for key in FACTORS))
+        present = F.filter(taken, lambda pair: pair["value"].isNotNull())
+        return F.filter(F.transform(present, plain), lambda pair: pair["value"].isNotNull())
+
+    return bound(bound(F.try_parse_json(text), pairs), lambda found: F.when(F.size(found) > 0, F.map_from_entries(found)))
 
 
 def evidence(tables: dict[str, DataFrame], kind: str, events: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from emberline.functions import scalars as fn
+from emberline.plans.snapshot import score_factors
 
 
 def values(spark, column, rows, schema):
@@ -89,3 +90,19 @@ def test_colours_and_texts(spark):
     age = fn.relative_time(F.col("v"), F.lit("2024-01-10 00:00:00").cast("timestamp"))
     cases = [("2024-01-09 23:59:50",), ("2024-01-09 23:59:00",), ("2024-01-09 23:30:00",), ("2024-01-09 23:00:00",), ("2024-01-08 12:00:00",), ("2024-01-01 00:00:00",), ("x",)]
     assert values(spark, age, cases, "v string") == ["just now", "1 minute ago", "30 minutes ago", "1 hour ago", "36 hours ago", "9 days ago", ""]
+
+
+def test_factors_are_computed_once(spark):
+    texts = [
+        ('{"recency_points": 5, "status": " held ", "secret": 1}', [("Recency points", "5.00"), ("Status override", "held")]),
+        ('{"recency_points": "  ", "brightness_points": 1.23456789, "status": true}', [("Brightness points", "1.23"), ("Status override", "true")]),
+        ('{"recency_points": null, "multimessenger_points": "abc", "status": [1]}', [("Multimessenger points", "abc")]),
+        ('{"observation_gap_points": "1e3", "status": 2.5}', [("Observation-gap points", "1000.00"), ("Status override", "2.5")]),
+        ("{broken", []), ("[]", []), ("", []), (None, []),
+    ]
+    shown = fn.shown_factors(score_factors(F.col("v")))
+    plan = spark.createDataFrame([], "v string").select(shown.alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 1  # 18,144 when each use of a value named it in full
+    assert len(plan) < 20_000
+    got = values(spark, shown, [(t,) for t, _ in texts], "v string")
+    assert [[tuple(row) for row in rows] for rows in got] == [rows for _, rows in texts]
