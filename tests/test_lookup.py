@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.operators import search
 from emberline.operators.paging import Pages
 from emberline.operators.search import SearchIndex
 
@@ -52,3 +54,41 @@ def test_search_equals_contains(spark, tmp_path, texts, wanted):
 def test_search_of_nothing(spark, tmp_path):
     frame = spark.createDataFrame([], "id_ long, body string")
     assert SearchIndex.of(frame, "id_", F.col("body"), str(tmp_path / "index")).find("abc").count() == 0
+
+
+def test_postings_are_rows_of_chunks(spark, tmp_path):
+    """A row for each trigram of a chunk, and not for each trigram of each text."""
+    texts = [f"the same words again, number {k}" for k in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, body string").coalesce(1)
+    index = SearchIndex.of(frame, "id", F.col("body"), str(tmp_path / "index"), parts=4)
+    grams = len({t[k : k + 3] for t in texts for k in range(len(t) - 2)})
+    assert spark.read.parquet(str(tmp_path / "index" / "postings")).count() <= grams + 1
+    assert sorted(r["id"] for r in index.find("NUMBER 77").collect()) == [k for k, t in enumerate(texts) if "number 77" in t]
+
+
+def test_too_many_candidates_are_scanned(spark, tmp_path, texts, monkeypatch):
+    monkeypatch.setattr(search, "_BROADCAST", 3)
+    frame = spark.createDataFrame(texts, "id_ long, body string")
+    found = SearchIndex.of(frame, "id_", F.col("body"), str(tmp_path / "index"), parts=8).find("alpha")
+    assert sorted((r["id_"], r["body"]) for r in found.collect()) == sorted((i, t) for i, t in texts if i is not None and "alpha" in (t or "").lower())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("n_bytes", "n_texts"), [(1, 1), (7, 3), (64, 1000), (1 << 20, 1 << 16)])
+def test_chunks_hold_all_trigrams(monkeypatch, n_bytes, n_texts):
+    """Chunks and their postings against sets, with texts longer than a chunk, empty ones, and bytes that aren't UTF-8."""
+    monkeypatch.setattr(search, "_BYTES", n_bytes)
+    monkeypatch.setattr(search, "_TEXTS", n_texts)
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.choice([0, 1, 2, 3, 5, 40]))) for _ in range(200)] + [b"zzzz", b"", b"ab"]
+    data, ends = np.frombuffer(b"head" + b"".join(texts), np.uint8), 4 + np.cumsum([0, *map(len, texts)])
+    chunks, met = list(search._chunks(ends)), {}
+    assert [a for a, _ in chunks] == [0, *(z for _, z in chunks[:-1])] and chunks[-1][1] == len(texts)
+    for a, z in chunks:
+        assert z - a <= n_texts and (z - a == 1 or ends[z] - ends[a] <= n_bytes)
+        for grams, counts, postings in search._postings(search._keys(data, ends[a : z + 1]), z - a):
+            for g, n, posting in zip(grams, counts, postings.to_pylist(), strict=True):
+                held = search._held(posting, z - a)
+                assert len(held) == n
+                met.setdefault(int(g), []).extend(int(a + k) for k in held)
+    assert met == {g: [k for k, t in enumerate(texts) if g in search.trigrams(t)] for g in sorted({g for t in texts for g in search.trigrams(t)})}
